@@ -1,0 +1,9 @@
+"""Streaming.
+
+The analyses this library re-expresses are batch jobs over static Parquet
+dumps; there is no stream source, watermark or stateful operator to carry
+over, so this package intentionally holds no operators.  Every operator in
+``readlens.operators`` is a pure DataFrame -> DataFrame function, so the
+stateless ones (parsing, filtering, per-key counts) also apply unchanged to a
+streaming DataFrame if a caller has one.
+"""
