@@ -6,8 +6,8 @@ Plan shape for the whole chain, at any scale:
    (entity, yyyymm) -> shuffle -> final aggregate.  Map-side combining folds a
    hot entity down to one row per (task, month) before the shuffle.
 2. ``attention_features``: ONE aggregate on entity over the monthly rows:
-   total, first month and the peak (``max(struct(n, -yyyymm))`` = most rows,
-   earliest month on ties) together.  No window sort, no self join.  An entity
+   total, first month and the peak (max of one packed bigint = most rows,
+   earliest month on ties) together, all hash-aggregated.  No window sort, no self join.  An entity
    contributes at most one row per month to this shuffle, so skew cannot pile
    up here.
 3. ``quantile_thresholds``: a global one-row aggregate (partial sketches per
@@ -96,9 +96,23 @@ def entity_totals(monthly: DataFrame, min_total: int = 1000, id_col: str = "book
     )
 
 
-def _peak_struct() -> Column:
-    # Largest n_month; on ties the earliest month (largest -yyyymm).
-    return F.max(F.struct(F.col("n_month").alias("n"), (-F.col("yyyymm")).alias("neg_ym")))
+# yyyymm comes from a four-digit year, so 0 <= yyyymm <= 999_912 < YM_SPAN.
+YM_SPAN = 1_000_000
+
+
+def _peak_key() -> Column:
+    """max() of this bigint picks the month with most rows, the earliest on ties:
+    n_month * YM_SPAN + (YM_SPAN - 1 - yyyymm).  A plain bigint keeps the
+    aggregate hash-based (a struct buffer would force a sort-based aggregate)."""
+    return F.max(F.col("n_month") * YM_SPAN + (YM_SPAN - 1 - F.col("yyyymm")))
+
+
+def _peak_cols(key: str = "_pk") -> list[Column]:
+    k = F.col(key)
+    return [
+        (F.lit(YM_SPAN - 1) - k % YM_SPAN).cast("int").alias("peak_yyyymm"),
+        F.floor(k / YM_SPAN).cast("long").alias("peak_interactions"),
+    ]
 
 
 def peak_month(monthly: DataFrame, totals: DataFrame, id_col: str = "book_id") -> DataFrame:
@@ -106,12 +120,8 @@ def peak_month(monthly: DataFrame, totals: DataFrame, id_col: str = "book_id") -
     return (
         monthly.join(totals.select(id_col), on=id_col, how="left_semi")
         .groupBy(id_col)
-        .agg(_peak_struct().alias("_pk"))
-        .select(
-            id_col,
-            (-F.col("_pk.neg_ym")).alias("peak_yyyymm"),
-            F.col("_pk.n").alias("peak_interactions"),
-        )
+        .agg(_peak_key().alias("_pk"))
+        .select(id_col, *_peak_cols())
     )
 
 
@@ -127,16 +137,10 @@ def attention_features(monthly: DataFrame, min_total: int = 1000, id_col: str =
         .agg(
             F.sum("n_month").alias("total_interactions"),
             F.min("yyyymm").alias("first_yyyymm"),
-            _peak_struct().alias("_pk"),
+            _peak_key().alias("_pk"),
         )
         .where(F.col("total_interactions") >= min_total)
-        .select(
-            id_col,
-            "total_interactions",
-            "first_yyyymm",
-            (-F.col("_pk.neg_ym")).alias("peak_yyyymm"),
-            F.col("_pk.n").alias("peak_interactions"),
-        )
+        .select(id_col, "total_interactions", "first_yyyymm", *_peak_cols())
         .withColumn("peak_share", share("peak_interactions", "total_interactions"))
         .withColumn("time_to_peak_months", months_between_idx("peak_yyyymm", "first_yyyymm"))
     )
