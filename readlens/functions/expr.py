@@ -5,6 +5,13 @@ month are cut out of the text as written (the UTC offset is ignored), so no
 row moves across a year or month boundary because of time-zone conversion.
 All casts are ``try_cast`` so malformed text becomes NULL under ANSI mode
 instead of failing the job.
+
+Parsing text is the main per-row cost of every operator.  The operators
+therefore evaluate each parse once per row: a parsed value that is NULL or out
+of range is kept as a NULL grouping key and that group is dropped *after* the
+aggregate (``count(key) > 0``).  A ``where`` on the parsed value would be
+pushed below the projection by the optimizer and parse the text again for
+every predicate.
 """
 
 from __future__ import annotations
@@ -51,10 +58,15 @@ def trailing_year(col: str | Column) -> Column:
 
 
 def month_abbrev_to_num(col: str | Column) -> Column:
-    """Month number 1..12 from the ``Www Mmm d`` prefix; NULL when absent or unknown."""
+    """Month number 1..12 from the ``Www Mmm d`` prefix; NULL when absent or unknown.
+
+    A literal map lookup keeps the token to one regex evaluation per row
+    (a missing key gives NULL)."""
     token = F.regexp_extract(_c(col), MONTH_TOKEN_PATTERN, 1)
-    pos = F.array_position(F.array(*[F.lit(m) for m in MONTH_ABBREVIATIONS]), token)
-    return F.when(pos > 0, pos.cast("int"))
+    lookup = F.create_map(
+        *[x for i, m in enumerate(MONTH_ABBREVIATIONS, start=1) for x in (F.lit(m), F.lit(i))]
+    )
+    return lookup[token]
 
 
 def yyyymm(year: str | Column, month: str | Column) -> Column:

@@ -60,27 +60,25 @@ def dated_months(
     require_text: bool = True,
     extra: tuple[str | Column, ...] = (),
 ) -> DataFrame:
-    """(id as long, yyyymm, *extra) for rows whose text date has a year and a month."""
+    """(id as long, yyyymm, *extra); yyyymm is NULL when the text has no year or no
+    month.  Consumers aggregate with ``count("yyyymm")`` and drop the NULL-month
+    group afterwards, so the text is parsed once per row."""
     src = df.where(non_empty(date_col)) if require_text else df
-    return (
-        src.select(
-            F.col(id_col).try_cast("long").alias(id_col),
-            trailing_year(date_col).alias("_y"),
-            month_abbrev_to_num(date_col).alias("_m"),
-            *extra,
-        )
-        .where(F.col("_y").isNotNull() & F.col("_m").isNotNull())
-        .withColumn("yyyymm", yyyymm("_y", "_m"))
-        .drop("_y", "_m")
+    return src.select(
+        F.col(id_col).try_cast("long").alias(id_col),
+        yyyymm(trailing_year(date_col), month_abbrev_to_num(date_col)).alias("yyyymm"),
+        *extra,
     )
 
 
 def monthly_counts(df: DataFrame, id_col: str = "book_id", date_col: str = "date_added") -> DataFrame:
-    """book_id, yyyymm, n_month — rows per entity and calendar month."""
+    """book_id, yyyymm, n_month — rows per entity and calendar month; rows without a
+    year or a month are dropped."""
     return (
         dated_months(df, id_col, date_col)
         .groupBy(id_col, "yyyymm")
-        .agg(F.count(F.lit(1)).alias("n_month"))
+        .agg(F.count("yyyymm").alias("n_month"))
+        .where(F.col("n_month") > 0)
     )
 
 
@@ -262,17 +260,15 @@ def rating_decay(
     Reviews are first folded to (entity, month) -> (count, rating sum) with
     map-side combining; only those partial sums meet the labels, so the join
     input is bounded by entities x months and a hot entity cannot skew it."""
+    rated = reviews.where(F.col(rating_col).try_cast("double").isNotNull())
     per_month = (
         dated_months(
-            reviews.where(F.col(rating_col).isNotNull()),
-            id_col,
-            date_col,
-            require_text=False,
+            rated, id_col, date_col, require_text=False,
             extra=(F.col(rating_col).try_cast("double").alias("_r"),),
         )
-        .where(F.col("_r").isNotNull())
         .groupBy(id_col, "yyyymm")
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_r").alias("_s"))
+        .agg(F.count("yyyymm").alias("_n"), F.sum("_r").alias("_s"))
+        .where(F.col("_n") > 0)
     )
     return (
         per_month.join(labels.select(id_col, "peak_yyyymm", "class"), on=id_col, how="inner")

@@ -1,13 +1,14 @@
 """Dataset context: rows per calendar year (Q01-Q03).
 
-Each operator is one scan -> project -> partial/final aggregate on the year.
+Each operator is one scan -> project -> partial/final aggregate on the year,
+parsing the text once per row.
 The shuffle carries at most one row per (map task, year), so it stays tiny no
 matter how large or skewed the input is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlens.functions.expr import four_digit_year, has_text, non_empty, trailing_year
@@ -16,16 +17,22 @@ YEAR_MIN = 1900
 YEAR_MAX = 2026
 
 
+def _in_range(year: Column, ymin: int, ymax: int) -> Column:
+    """The year when inside [ymin, ymax], else NULL.  Out-of-range rows fall into the
+    NULL group, which the operators drop after aggregating (see functions.expr)."""
+    return F.when(year.between(ymin, ymax), year)
+
+
 def interactions_per_year(
     df: DataFrame, date_col: str = "date_added", ymin: int = YEAR_MIN, ymax: int = YEAR_MAX
 ) -> DataFrame:
     """year, n_interactions — rows per trailing year of ``date_col`` within [ymin, ymax]."""
     return (
         df.where(non_empty(date_col))
-        .select(trailing_year(date_col).alias("year"))
-        .where(F.col("year").between(ymin, ymax))
+        .select(_in_range(trailing_year(date_col), ymin, ymax).alias("year"))
         .groupBy("year")
-        .agg(F.count(F.lit(1)).alias("n_interactions"))
+        .agg(F.count("year").alias("n_interactions"))
+        .where(F.col("n_interactions") > 0)
         .orderBy("year")
     )
 
@@ -35,10 +42,10 @@ def publications_per_year(
 ) -> DataFrame:
     """year, n_published_books — rows whose ``year_col`` is exactly four digits."""
     return (
-        df.select(four_digit_year(year_col).alias("year"))
-        .where(F.col("year").between(ymin, ymax))
+        df.select(_in_range(four_digit_year(year_col), ymin, ymax).alias("year"))
         .groupBy("year")
-        .agg(F.count(F.lit(1)).alias("n_published_books"))
+        .agg(F.count("year").alias("n_published_books"))
+        .where(F.col("n_published_books") > 0)
         .orderBy("year")
     )
 
@@ -59,16 +66,16 @@ def reviews_per_year(
     return (
         df.where(non_empty(date_col))
         .select(
-            trailing_year(date_col).alias("year"),
+            _in_range(trailing_year(date_col), ymin, ymax).alias("year"),
             (F.col(rating_col).isNotNull() & ~text).alias("_rating_only"),
             text.alias("_with_text"),
         )
-        .where(F.col("year").between(ymin, ymax))
         .groupBy("year")
         .agg(
-            F.count(F.lit(1)).alias("n_reviews_total"),
+            F.count("year").alias("n_reviews_total"),
             F.count_if("_rating_only").alias("n_reviews_rating_only"),
             F.count_if("_with_text").alias("n_reviews_with_text"),
         )
+        .where(F.col("n_reviews_total") > 0)
         .orderBy("year")
     )

@@ -190,9 +190,9 @@ def added_years(
     return (
         interactions.where(non_empty(date_col))
         .select(id_col, trailing_year(date_col).alias("added_year"))
-        .where(F.col("added_year").isNotNull())
         .groupBy(id_col, "added_year")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count("added_year").alias("n"))
+        .where(F.col("n") > 0)
     )
 
 
@@ -286,10 +286,10 @@ def _window_counts(
     # Only a NULL check on the date here (no length check), as in the spike job.
     return (
         interactions.where(F.col(date_col).isNotNull())
-        .select(id_col, trailing_year(date_col).alias("_y"))
-        .where(F.col("_y").between(start, end))
+        .select(id_col, trailing_year(date_col).between(start, end).alias("_in"))
         .groupBy(id_col)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count_if("_in").alias("n"))
+        .where(F.col("n") > 0)
     )
 
 

@@ -29,7 +29,7 @@ DRIVER_TABLES = (
 
 # ------------------------------------------------------------------ helpers
 def _monthly(spark: SparkSession, sf: str) -> DataFrame:
-    return at.monthly_counts(fx.interactions(spark, sf, clean=True))
+    return at.monthly_counts(fx.table(spark, sf, "interactions_clean"))
 
 
 def _feats(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +42,7 @@ def _labeled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sentiment(spark: SparkSession, sf: str) -> DataFrame:
-    return se.clean_sentiment(fx.sentiment_scores(spark, sf))
+    return se.clean_sentiment(fx.table(spark, sf, "sentiment_scores"))
 
 
 def _hybrid_args() -> dict:
@@ -50,34 +50,34 @@ def _hybrid_args() -> dict:
 
 
 def _membership(spark: SparkSession, sf: str) -> DataFrame:
-    g = fx.genres(spark, sf)
+    g = fx.table(spark, sf, "genres")
     book_genre = gn.genre_membership(gn.genre_votes(g), fx.HYBRID_THRESH)
     hybrid = gn.hybrid_membership(g, ratio=fx.HYBRID_RATIO, **_hybrid_args())
     return gn.membership_with_hybrid(book_genre, hybrid)
 
 
 def _flags(spark: SparkSession, sf: str) -> DataFrame:
-    return gn.hybrid_flags(fx.genres(spark, sf), **_hybrid_args())
+    return gn.hybrid_flags(fx.table(spark, sf, "genres"), **_hybrid_args())
 
 
 def _hybrid_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return gn.hybrid_ids(fx.genres(spark, sf), ratio=fx.HYBRID_RATIO, **_hybrid_args())
+    return gn.hybrid_ids(fx.table(spark, sf, "genres"), ratio=fx.HYBRID_RATIO, **_hybrid_args())
 
 
 def _supply(spark: SparkSession, sf: str) -> DataFrame:
-    return gn.supply_share(fx.books(spark, sf), _membership(spark, sf))
+    return gn.supply_share(fx.table(spark, sf, "books"), _membership(spark, sf))
 
 
 def _demand(spark: SparkSession, sf: str) -> DataFrame:
-    return gn.demand_share(fx.interactions(spark, sf), _membership(spark, sf))
+    return gn.demand_share(fx.table(spark, sf, "interactions"), _membership(spark, sf))
 
 
 def _adoption(spark: SparkSession, sf: str) -> DataFrame:
-    return gn.hybrid_adoption_trend(fx.interactions(spark, sf), _flags(spark, sf))
+    return gn.hybrid_adoption_trend(fx.table(spark, sf, "interactions"), _flags(spark, sf))
 
 
 def _decay(spark: SparkSession, sf: str) -> DataFrame:
-    return at.rating_decay(fx.reviews(spark, sf), _labeled(spark, sf))
+    return at.rating_decay(fx.table(spark, sf, "reviews"), _labeled(spark, sf))
 
 
 def _top3_demand(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,7 +93,7 @@ def _align_null(spark: SparkSession, sf: str) -> DataFrame:
 
 def _csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "interactions_per_year_csv")
-    write_result(cx.interactions_per_year(fx.interactions(spark, sf)), path, single_file=True)
+    write_result(cx.interactions_per_year(fx.table(spark, sf, "interactions")), path, single_file=True)
     return read_result_csv(spark, path, {"year": "int", "n_interactions": "long"})
 
 
@@ -105,11 +105,11 @@ def _catalog(spark: SparkSession, sf: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # context
-        "interactions_per_year": lambda s, sf: cx.interactions_per_year(fx.interactions(s, sf)),
-        "publications_per_year": lambda s, sf: cx.publications_per_year(fx.books(s, sf)),
-        "reviews_per_year": lambda s, sf: cx.reviews_per_year(fx.reviews(s, sf)),
+        "interactions_per_year": lambda s, sf: cx.interactions_per_year(fx.table(s, sf, "interactions")),
+        "publications_per_year": lambda s, sf: cx.publications_per_year(fx.table(s, sf, "books")),
+        "reviews_per_year": lambda s, sf: cx.reviews_per_year(fx.table(s, sf, "reviews")),
         # attention
-        "monthly_counts": lambda s, sf: at.monthly_counts(fx.interactions(s, sf)),
+        "monthly_counts": lambda s, sf: at.monthly_counts(fx.table(s, sf, "interactions")),
         "entity_totals": lambda s, sf: at.entity_totals(_monthly(s, sf), fx.MIN_TOTAL),
         "peak_month": lambda s, sf: at.peak_month(
             _monthly(s, sf), at.entity_totals(_monthly(s, sf), fx.MIN_TOTAL)
@@ -118,31 +118,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quantile_thresholds": lambda s, sf: at.quantile_thresholds(_feats(s, sf), fx.QUANTILE),
         "classify_attention": _labeled,
         "class_counts": lambda s, sf: at.class_counts(_labeled(s, sf)),
-        "top_viral": lambda s, sf: at.top_viral(_labeled(s, sf), fx.books(s, sf), TOP_K),
-        "top_traditional": lambda s, sf: at.top_traditional(_labeled(s, sf), fx.books(s, sf), TOP_K),
+        "top_viral": lambda s, sf: at.top_viral(_labeled(s, sf), fx.table(s, sf, "books"), TOP_K),
+        "top_traditional": lambda s, sf: at.top_traditional(_labeled(s, sf), fx.table(s, sf, "books"), TOP_K),
         "rating_decay": _decay,
         # sentiment
         "clean_sentiment": _sentiment,
         "sentiment_by_class_rating": lambda s, sf: se.sentiment_by_class_rating(_sentiment(s, sf), _labeled(s, sf)),
         "corr_by_class": lambda s, sf: se.corr_by_class(_sentiment(s, sf), _labeled(s, sf)),
         # genres
-        "genre_votes": lambda s, sf: gn.genre_votes(fx.genres(s, sf)),
-        "genre_membership": lambda s, sf: gn.genre_membership(gn.genre_votes(fx.genres(s, sf)), fx.HYBRID_THRESH),
+        "genre_votes": lambda s, sf: gn.genre_votes(fx.table(s, sf, "genres")),
+        "genre_membership": lambda s, sf: gn.genre_membership(gn.genre_votes(fx.table(s, sf, "genres")), fx.HYBRID_THRESH),
         "hybrid_membership": lambda s, sf: gn.hybrid_membership(
-            fx.genres(s, sf), ratio=fx.HYBRID_RATIO, **_hybrid_args()
+            fx.table(s, sf, "genres"), ratio=fx.HYBRID_RATIO, **_hybrid_args()
         ),
         "hybrid_flags": _flags,
         "membership_with_hybrid": _membership,
         "supply_share": _supply,
         "demand_share": _demand,
         "latest_year_slice": lambda s, sf: gn.latest_year_slice(_demand(s, sf), gn.HYBRID_LABEL),
-        "hybrid_publication_trend": lambda s, sf: gn.hybrid_publication_trend(fx.books(s, sf), _flags(s, sf)),
+        "hybrid_publication_trend": lambda s, sf: gn.hybrid_publication_trend(fx.table(s, sf, "books"), _flags(s, sf)),
         "hybrid_adoption_trend": _adoption,
         "window_totals": lambda s, sf: gn.window_totals(
-            fx.interactions(s, sf), _hybrid_ids(s, sf), WINDOW_START, WINDOW_END
+            fx.table(s, sf, "interactions"), _hybrid_ids(s, sf), WINDOW_START, WINDOW_END
         ),
         "spike_culprits": lambda s, sf: gn.spike_culprits(
-            fx.interactions(s, sf), _hybrid_ids(s, sf), fx.books(s, sf), WINDOW_START, WINDOW_END, WINDOW_K
+            fx.table(s, sf, "interactions"), _hybrid_ids(s, sf), fx.table(s, sf, "books"), WINDOW_START, WINDOW_END, WINDOW_K
         ),
         "dataset_report": _catalog,
         # series shaping over result tables
@@ -150,12 +150,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "with_highlight": lambda s, sf: sr.with_highlight(_top3_demand(s, sf), gn.HYBRID_LABEL),
         "align_series_null": _align_null,
         "align_series_zero": lambda s, sf: sr.align_series_zero(
-            cx.reviews_per_year(fx.reviews(s, sf)), "year",
+            cx.reviews_per_year(fx.table(s, sf, "reviews")), "year",
             ["n_reviews_total", "n_reviews_rating_only", "n_reviews_with_text"], 1990, 2017,
         ),
         "crop_years": lambda s, sf: sr.crop_years(_adoption(s, sf), "added_year", 1996, 2000),
         "scale_units": lambda s, sf: sr.scale_units(
-            sr.scale_units(cx.interactions_per_year(fx.interactions(s, sf)), {"n_interactions": 1_000}, "k"),
+            sr.scale_units(cx.interactions_per_year(fx.table(s, sf, "interactions")), {"n_interactions": 1_000}, "k"),
             {"n_interactions": 1_000_000}, "m",
         ),
         "error_bars": lambda s, sf: sr.error_bars(
