@@ -411,4 +411,6 @@ def sql() -> dict[str, str]:
         "AND class IN ('viral', 'traditional') AND months_since_peak BETWEEN -6 AND 24",
     )
     out["read_result_csv"] = out["interactions_per_year"]
+    out["read_table_json"] = out["publications_per_year"]
+    out["preview_last_years"] = out["interactions_per_year"].replace("ORDER BY year", "ORDER BY year DESC LIMIT 3")
     return out

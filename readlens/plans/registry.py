@@ -16,7 +16,7 @@ from readlens.operators import sentiment as se
 from readlens.operators import series as sr
 from readlens.plans.materialize import scratch_path
 from readlens.sources import fixtures as fx
-from readlens.sources.readers import dataset_report, read_result_csv, write_result
+from readlens.sources.readers import dataset_report, preview, read_result_csv, read_table, write_result
 
 # Parameters of the registered queries (see FIXTURES.md)
 WINDOW_START, WINDOW_END, WINDOW_K = 1996, 1998, 50
@@ -97,6 +97,12 @@ def _csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return read_result_csv(spark, path, {"year": "int", "n_interactions": "long"})
 
 
+def _json_scan(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "books_json")
+    fx.table(spark, sf, "books").write.json(path)
+    return cx.publications_per_year(read_table(spark, path, "json", ["publication_year"]))
+
+
 def _catalog(spark: SparkSession, sf: str) -> DataFrame:
     items = [(t, "parquet", os.path.join(sf, f"{t}.parquet")) for t in DRIVER_TABLES]
     return dataset_report(spark, items)
@@ -166,4 +172,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             keep={"class": ["viral", "traditional"]}, ranges={"months_since_peak": (-6, 24)},
         ),
         "read_result_csv": _csv_round_trip,
+        # scans and previews
+        "read_table_json": _json_scan,
+        "preview_last_years": lambda s, sf: preview(
+            cx.interactions_per_year(fx.table(s, sf, "interactions")), "year", 3
+        ),
     }

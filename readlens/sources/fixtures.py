@@ -11,6 +11,8 @@ with the input, nothing is generated on the driver.
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,6 +143,7 @@ DERIVATIONS = {
     "sentiment_scores": sentiment_scores,
 }
 _WRITTEN: dict[tuple, str] = {}
+_LOCK = threading.Lock()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -152,11 +155,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     column pruning and filter pushdown included — instead of re-running the
     text formatting of the derivation inside every query."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    path = _WRITTEN.get(key)
-    if path is None:
-        tag = "".join(ch if ch.isalnum() else "_" for ch in sf_dir.strip("/"))
-        path = f"{checkpoint_dir(spark).rstrip('/')}/fixtures/{tag}/{name}.parquet"
-        df = DERIVATIONS[name](spark, sf_dir)
-        df.repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
-        _WRITTEN[key] = path
+    with _LOCK:
+        path = _WRITTEN.get(key)
+        if path is None:
+            tag = "".join(ch if ch.isalnum() else "_" for ch in sf_dir.strip("/"))
+            path = f"{checkpoint_dir(spark).rstrip('/')}/fixtures/{tag}/{name}.parquet"
+            df = DERIVATIONS[name](spark, sf_dir)
+            df.repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
+            _WRITTEN[key] = path
     return spark.read.parquet(path)
