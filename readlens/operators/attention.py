@@ -270,12 +270,19 @@ def rating_decay(
         .agg(F.count("yyyymm").alias("_n"), F.sum("_r").alias("_s"))
         .where(F.col("_n") > 0)
     )
+    # Offsets outside [lo, hi] become a NULL key whose group is dropped after the
+    # aggregate; a where() on the offset would let the optimizer infer
+    # "yyyymm IS NOT NULL" and re-parse the review dates at the scan.
+    msp = months_between_idx("yyyymm", "peak_yyyymm")
     return (
         per_month.join(labels.select(id_col, "peak_yyyymm", "class"), on=id_col, how="inner")
-        .withColumn("months_since_peak", months_between_idx("yyyymm", "peak_yyyymm"))
-        .where(F.col("months_since_peak").between(lo, hi))
+        .select("class", F.when(msp.between(lo, hi), msp).alias("months_since_peak"), "_n", "_s")
         .groupBy("class", "months_since_peak")
-        .agg(F.sum("_n").alias("n_ratings"), F.sum("_s").alias("_s"))
+        .agg(
+            F.sum(F.when(F.col("months_since_peak").isNotNull(), F.col("_n"))).alias("n_ratings"),
+            F.sum("_s").alias("_s"),
+        )
+        .where(F.col("n_ratings").isNotNull())
         .select(
             "class",
             "months_since_peak",

@@ -175,12 +175,22 @@ def supply_share(
         .agg(F.count_distinct(id_col).alias("n_books_genre"))
     )
     return (
-        counts.join(F.broadcast(total), on="pub_year", how="inner")
+        _join_year_totals(counts, total, "pub_year")
         .withColumn("share_books_genre", share("n_books_genre", "n_books_total"))
         .orderBy("pub_year", "genre")
     )
 
 
+def _join_year_totals(counts: DataFrame, totals: DataFrame, year: str) -> DataFrame:
+    """Attach the per-year totals (at most 10^4 rows: broadcast).
+
+    Both sides are already free of NULL years.  The null-safe equality keeps
+    the optimizer from inferring ``year IS NOT NULL`` on the join inputs and
+    pushing it down to the scan, where it would parse the text a second time."""
+    t = F.broadcast(totals.withColumnRenamed(year, "_ty"))
+    return counts.join(t, counts[year].eqNullSafe(t["_ty"]), "inner").drop("_ty")
+
+
 def added_years(
     interactions: DataFrame, id_col: str = "book_id", date_col: str = "date_added"
 ) -> DataFrame:
@@ -212,7 +222,7 @@ def demand_share(
         .agg(F.sum("n").alias("n_interactions_genre"))
     )
     return (
-        counts.join(F.broadcast(total), on="added_year", how="inner")
+        _join_year_totals(counts, total, "added_year")
         .withColumn("share_interactions_genre", share("n_interactions_genre", "n_interactions_total"))
         .orderBy("added_year", "genre")
     )
