@@ -174,3 +174,31 @@ def test_series_helpers(spark):
         "year", ["v"], 2000, 2005,
     )
     assert [tuple(r) for r in z.collect()] == [(2001, 3.0), (2002, 0.0)]
+
+
+def test_weighted_percentiles_equal_percentile_disc(spark):
+    import random
+
+    rnd = random.Random(7)
+    rows = [(rnd.randint(1, 40), rnd.randint(1, 5), round(rnd.choice([-1, 1]) * rnd.randint(0, 12) / 12, 4))
+            for _ in range(3000)]
+    rows += [(1, 5, 0.5)] * 900  # one hot book
+    sent = spark.createDataFrame(rows, "book_id long, rating int, sentiment_score double")
+    labels = spark.createDataFrame([(b, "c%d" % (b % 3)) for b in range(1, 41)], "book_id long, class string")
+    got = {(r["class"], r.rating): r for r in se.sentiment_by_class_rating(sent, labels).collect()}
+    raw = se.join_labels(sent, labels).groupBy("class", "rating").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("sentiment_score").alias("a"),
+        F.expr("percentile_disc(0.05) WITHIN GROUP (ORDER BY sentiment_score)").alias("p05"),
+        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY sentiment_score)").alias("p95"),
+    )
+    for r in raw.collect():
+        g = got[(r["class"], r.rating)]
+        assert (g.n, g.p05_sentiment, g.p95_sentiment) == (r.n, r.p05, r.p95)
+        assert g.avg_sentiment == pytest.approx(r.a, abs=1e-12)
+    corr = {r["class"]: r.pearson_corr for r in se.corr_by_class(sent, labels).collect()}
+    ref = se.join_labels(sent, labels).groupBy("class").agg(se.pearson("rating", "sentiment_score").alias("c"))
+    for r in ref.collect():
+        assert corr[r["class"]] == pytest.approx(r.c, abs=1e-12)
+    approx = se.sentiment_by_class_rating(sent, labels, accuracy=10000).collect()
+    assert len(approx) == len(got)
