@@ -53,13 +53,11 @@ def align_series_null(
     """genre, year, value: one row per kept genre and every year that any kept genre has
     in [ymin, ymax]; a missing point is NULL.
 
-    The kept genres are a short list (top k + highlight) and the year axis has at
-    most ymax - ymin + 1 entries: it enters as one array-valued scalar subquery,
-    exploded per genre."""
+    The year axis has at most ymax - ymin + 1 entries (a bound set by the
+    parameters): it enters as one array-valued scalar subquery, exploded per
+    kept genre, so no cross join is planned."""
     keep = genres.select(genre_col).distinct()
-    cropped = df.where(F.col(year_col).between(ymin, ymax)).join(
-        F.broadcast(keep), on=genre_col, how="left_semi"
-    )
+    cropped = df.where(F.col(year_col).between(ymin, ymax)).join(keep, on=genre_col, how="left_semi")
     axis = cropped.agg(F.array_sort(F.collect_set(year_col))).scalar()
     grid = keep.select(genre_col, F.explode(axis).alias(year_col))
     points = cropped.select(genre_col, year_col, value_col)
