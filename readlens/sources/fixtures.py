@@ -22,7 +22,7 @@ from readlens.plans.materialize import checkpoint_dir
 # Fixed values of the fixture mapping (kept equal to the DuckDB oracle)
 # ---------------------------------------------------------------------------
 # Text date layout of the source data, with a literal UTC offset.
-DATE_TEXT_FORMAT = "EEE MMM dd HH:mm:ss '+0000' yyyy"
+DATE_TEXT_FORMAT = "Www Mmm dd HH:mm:ss +0000 yyyy"
 # Genre slots: one vote column per customer market segment, in this order.
 GENRE_SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 # Hybrid-genre parameters that give non-trivial sets on the driver data.
@@ -40,7 +40,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def _date_text(ts: str) -> Column:
-    return F.date_format(F.col(ts), DATE_TEXT_FORMAT)
+    """``Www Mmm dd HH:mm:ss +0000 yyyy`` from a timestamp_ntz, independent of the
+    session time zone: calendar parts come from the date, clock parts from the
+    wall-clock fields, and the offset is a literal."""
+    day = F.to_date(F.col(ts))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    return F.concat(
+        F.date_format(day, "EEE MMM dd"), F.lit(" "),
+        two(F.hour(ts)), F.lit(":"), two(F.minute(ts)), F.lit(":"), two(F.second(ts)),
+        F.lit(" +0000 "), F.date_format(day, "yyyy"),
+    )
 
 
 def interactions(spark: SparkSession, sf_dir: str, clean: bool = False) -> DataFrame:
