@@ -40,3 +40,37 @@ def test_has_text(spark):
 def test_share_zero_denominator(spark):
     df = spark.createDataFrame([(1, 0), (1, 4)], "a long, b long")
     assert [r[0] for r in df.select(X.share("a", "b")).collect()] == [None, 0.25]
+
+
+def _py_year(s):
+    import re
+
+    m = re.search(r"(\d{4})$", s) if s is not None else None
+    return int(m.group(1)) if m else None
+
+
+def _py_month(s):
+    import re
+
+    m = re.match(r"^[A-Za-z]{3}\s+([A-Za-z]{3})\s+\d{1,2}\s", s) if s is not None else None
+    if not m or m.group(1) not in X.MONTH_ABBREVIATIONS:
+        return None
+    return X.MONTH_ABBREVIATIONS.index(m.group(1)) + 1
+
+
+def test_text_parsers_on_random_strings(spark):
+    import random
+
+    rnd = random.Random(11)
+    words = ["Tue", "Mar", "Dec", "Jan", "Foo", "mar", "Sept", "1", "03", "123", "2015", "12015",
+             "0101", "08:19:07", "-0800", "+0000", "x", ""]
+    spaces = [" ", "  ", "\t", ""]
+    values = [None]
+    for _ in range(600):
+        parts = [rnd.choice(words) for _ in range(rnd.randint(0, 7))]
+        values.append("".join(p + rnd.choice(spaces) for p in parts).rstrip(rnd.choice(["", " "])))
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = df.select("v", X.trailing_year("v").alias("y"), X.month_abbrev_to_num("v").alias("m")).collect()
+    for r in got:
+        assert r.y == _py_year(r.v), r.v
+        assert r.m == _py_month(r.v), r.v
