@@ -12,6 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -42,9 +43,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def materialize(df: DataFrame, mode: str = "checkpoint") -> DataFrame:
     """``checkpoint``: write to the shared checkpoint folder and cut lineage;
-    ``none``: return ``df`` unchanged (let Spark recompute or reuse exchanges)."""
+    ``persist``: keep in executor memory/disk (a lost executor recomputes its
+    part from lineage); ``none``: return ``df`` unchanged."""
     if mode == "none":
         return df
+    if mode == "persist":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     if mode != "checkpoint":
         raise ValueError(f"unknown mode {mode!r}")
     checkpoint_dir(df.sparkSession)

@@ -202,3 +202,24 @@ def test_weighted_percentiles_equal_percentile_disc(spark):
         assert corr[r["class"]] == pytest.approx(r.c, abs=1e-12)
     approx = se.sentiment_by_class_rating(sent, labels, accuracy=10000).collect()
     assert len(approx) == len(got)
+
+
+def test_duplicate_catalogue_ids(spark):
+    # a duplicated id fans title joins out, n_books stays distinct, flags are summed over rows
+    books = spark.createDataFrame(
+        [("1", "A", "2001"), ("1", "A again", "2001"), ("2", "B", "2001"), ("3", "C", "2002")],
+        "book_id string, title string, publication_year string",
+    )
+    schema = "book_id string, genres struct<f: bigint, r: bigint>"
+    g = spark.createDataFrame([("1", (20, 20)), ("2", (20, 1)), ("3", (1, 1))], schema)
+    flags = gn.hybrid_flags(g, "f", "r", thresh=10)
+    trend = {r.pub_year: r for r in gn.hybrid_publication_trend(books, flags, 1960, 2019).collect()}
+    assert trend[2001].n_books == 2 and trend[2001].n_romantasy == 2 and trend[2001].n_fantasy_only == 1
+    labeled = spark.createDataFrame(
+        [(1, 30, 201501, 201502, 10, 0.5, 1, "viral"), (2, 30, 201501, 201501, 5, 0.2, 0, "viral")],
+        "book_id long, total_interactions long, first_yyyymm int, peak_yyyymm int, peak_interactions long, "
+        "peak_share double, time_to_peak_months int, class string",
+    )
+    top = [tuple(r)[:2] for r in at.top_viral(labeled, books, k=10).collect()]
+    assert top == [(1, "A"), (1, "A again"), (2, "B")]
+    assert [tuple(r)[:2] for r in at.top_viral(labeled, books, k=2).collect()] == [(1, "A"), (1, "A again")]
