@@ -170,7 +170,7 @@ def supply_share(
     by = published_years(books, ymin, ymax, id_col, year_col)
     total = by.groupBy("pub_year").agg(F.count_distinct(id_col).alias("n_books_total"))
     counts = (
-        by.join(membership.select(id_col, "genre"), on=id_col, how="inner")
+        _join_on_id(by, membership.select(id_col, "genre"), id_col)
         .groupBy("pub_year", "genre")
         .agg(F.count_distinct(id_col).alias("n_books_genre"))
     )
@@ -181,6 +181,19 @@ def supply_share(
     )
 
 
+def _join_on_id(big: DataFrame, small: DataFrame, id_col: str) -> DataFrame:
+    """Inner join on the id that leaves ``big``'s plan untouched.
+
+    A plain inner join makes the optimizer infer ``id IS NOT NULL`` on both
+    inputs and push it into ``big``.  When ``big`` also feeds another branch of
+    the same query (the year totals), the two copies then differ, exchange
+    reuse fails and the interaction scan and its shuffle run twice.  Dropping
+    NULL ids on the small side and joining null-safe gives the same rows (a
+    NULL id matches nothing) and keeps one shared copy of ``big``."""
+    s = small.where(F.col(id_col).isNotNull()).withColumnRenamed(id_col, "_sid")
+    return big.join(s, big[id_col].eqNullSafe(s["_sid"]), "inner").drop("_sid")
+
+
 def _join_year_totals(counts: DataFrame, totals: DataFrame, year: str) -> DataFrame:
     """Attach the per-year totals (at most 10^4 rows: broadcast).
 
@@ -217,7 +230,7 @@ def demand_share(
     per = added_years(interactions, id_col, date_col)
     total = per.groupBy("added_year").agg(F.sum("n").alias("n_interactions_total"))
     counts = (
-        per.join(membership.select(id_col, "genre"), on=id_col, how="inner")
+        _join_on_id(per, membership.select(id_col, "genre"), id_col)
         .groupBy("added_year", "genre")
         .agg(F.sum("n").alias("n_interactions_genre"))
     )
@@ -336,7 +349,7 @@ def spike_culprits(
     the k hybrid entities with most rows in the window (ties: id ascending)."""
     per = _window_counts(interactions, start, end, id_col, date_col)
     ids = hybrid.select(id_col).distinct()
-    counts = per.join(ids, on=id_col, how="inner").select(
+    counts = _join_on_id(per, ids, id_col).select(
         id_col, F.col("n").alias(f"n_{label}_interactions")
     )
     tot = window_totals(interactions, hybrid, start, end, id_col, date_col).select(

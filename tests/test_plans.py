@@ -94,3 +94,14 @@ def test_text_is_not_reparsed_in_filters(spark, name):
 def test_monthly_counts_parses_each_value_once(spark):
     p = plan(at.monthly_counts(fx.table(spark, SF_SMALL, "interactions_clean")))
     assert p.count("regexp_extract") == 2  # one year parse, one month-token parse
+
+
+@pytest.mark.parametrize("name", ["demand_share", "spike_culprits"])
+def test_interaction_pass_is_shared_between_branches(spark, name):
+    # no inferred id filter on the interaction scans: both branches (counts and
+    # totals) keep the same plan, so the scan and its shuffle are reused
+    p = plan(rg.queries()[name](spark, SF_SMALL))
+    scans = [ln for ln in p.splitlines() if "FileScan parquet [book_id,date_added]" in ln]
+    assert len(scans) >= 2
+    assert len({ln.split("DataFilters:")[1].split("]")[0] for ln in scans}) == 1
+    assert all("isnotnull(book_id" not in ln for ln in scans)
