@@ -24,18 +24,40 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Uses the cluster's ``spark.checkpoint.dir`` (or a directory already set on
     the context).  Only when neither exists — a local test session — a fresh
     temporary folder is created and registered."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a remote (Connect) session has no local context
+        sc = None
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
-    configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
+    configured = spark.conf.get(CHECKPOINT_CONF, None)
+    if not configured and sc is not None:
+        configured = sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
         configured = tempfile.mkdtemp(prefix="readlens-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
+    if sc is None:
+        return configured
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def parallelism(spark: SparkSession) -> int:
+    """Total task slots of the application (falls back to the shuffle partitions)."""
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:
+        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def application_key(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return str(getattr(spark, "session_id", id(spark)))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for written results."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -16,7 +16,7 @@ import threading
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlens.plans.materialize import checkpoint_dir
+from readlens.plans.materialize import application_key, checkpoint_dir, parallelism
 
 # ---------------------------------------------------------------------------
 # Fixed values of the fixture mapping (kept equal to the DuckDB oracle)
@@ -163,13 +163,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     (``spark.checkpoint.dir``).  Queries then scan it like any stored dataset —
     column pruning and filter pushdown included — instead of re-running the
     text formatting of the derivation inside every query."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    key = (application_key(spark), sf_dir.rstrip("/"), name)
     with _LOCK:
         path = _WRITTEN.get(key)
         if path is None:
             tag = "".join(ch if ch.isalnum() else "_" for ch in sf_dir.strip("/"))
             path = f"{checkpoint_dir(spark).rstrip('/')}/fixtures/{tag}/{name}.parquet"
             df = DERIVATIONS[name](spark, sf_dir)
-            df.repartition(spark.sparkContext.defaultParallelism).write.mode("overwrite").parquet(path)
+            df.repartition(parallelism(spark)).write.mode("overwrite").parquet(path)
             _WRITTEN[key] = path
     return spark.read.parquet(path)
