@@ -7,9 +7,9 @@ Plan shape for the whole chain, at any scale:
    hot entity down to one row per (task, month) before the shuffle.
 2. ``attention_features``: ONE aggregate on entity over the monthly rows:
    total, first month and the peak (max of one packed bigint = most rows,
-   earliest month on ties) together, all hash-aggregated.  No window sort, no self join.  An entity
-   contributes at most one row per month to this shuffle, so skew cannot pile
-   up here.
+   earliest month on ties) together, all hash-aggregated.  No window sort,
+   no self join.  An entity contributes at most one row per month to this
+   shuffle, so skew cannot pile up here.
 3. ``quantile_thresholds``: a global one-row aggregate (partial sketches per
    task, merged once).
 4. ``classify_attention``: the one-row thresholds enter the plan as a scalar
@@ -109,7 +109,7 @@ def _peak_cols(key: str = "_pk") -> list[Column]:
     k = F.col(key)
     return [
         (F.lit(YM_SPAN - 1) - k % YM_SPAN).cast("int").alias("peak_yyyymm"),
-        F.floor(k / YM_SPAN).cast("long").alias("peak_interactions"),
+        F.expr(f"`{key}` div {YM_SPAN}").alias("peak_interactions"),  # exact integer division
     ]
 
 
