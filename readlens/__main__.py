@@ -23,12 +23,23 @@ def main(argv: list[str] | None = None) -> None:
         p.add_argument("--ratio", type=float, default=0.2)
         p.add_argument("--start", type=int, default=2001)
         p.add_argument("--end", type=int, default=2004)
+    p = sub.add_parser("schemas", help="schema tree and 5-row sample per dataset")
+    p.add_argument("--dataset", action="append", default=[], metavar="NAME:FORMAT:PATH")
+    p.add_argument("--out", default="./schemas")
     a = ap.parse_args(argv)
 
     from pyspark.sql import SparkSession
 
     owned = SparkSession.getActiveSession() is None
     spark = configure(SparkSession.builder.appName(f"readlens_{a.job}").getOrCreate())
+    if a.job == "schemas":
+        items = [tuple(d.split(":", 2)) for d in a.dataset]
+        report = jobs.schema_report_job(spark, items)
+        report.coalesce(1).write.mode("overwrite").json(a.out)
+        failed = report.where("status <> 'ok'").count()
+        if owned:
+            spark.stop()
+        raise SystemExit(2 if failed else 0)
     if a.job == "context":
         jobs.context_job(spark, a.interactions, a.books, a.reviews, a.out)
     elif a.job == "virality":

@@ -74,3 +74,13 @@ def test_cli_context(spark, paths):
     cli(["context", "--interactions", paths["interactions"], "--books", paths["books"],
          "--reviews", paths["reviews"], "--out", out])
     assert os.path.isdir(f"{out}/publications_per_year")
+
+
+def test_cli_schemas(spark, paths):
+    out = paths["out"] + "_schemas"
+    with pytest.raises(SystemExit) as ex:
+        cli(["schemas", "--dataset", f"books:parquet:{paths['books']}", "--dataset", "bad:parquet:/nonexistent",
+             "--out", out])
+    assert ex.value.code == 2  # one dataset failed, the other was still reported
+    rows = {r.name: r.status for r in spark.read.json(out).collect()}
+    assert rows == {"books": "ok", "bad": "error"}
