@@ -59,23 +59,35 @@ def dated_months(
     date_col: str = "date_added",
     require_text: bool = True,
     extra: tuple[str | Column, ...] = (),
+    ymin: int | None = None,
+    ymax: int | None = None,
 ) -> DataFrame:
     """(id as long, yyyymm, *extra); yyyymm is NULL when the text has no year or no
-    month.  Consumers aggregate with ``count("yyyymm")`` and drop the NULL-month
-    group afterwards, so the text is parsed once per row."""
+    month, or (with ``ymin``/``ymax``) a year outside the bounds.  Consumers
+    aggregate with ``count("yyyymm")`` and drop the NULL-month group afterwards,
+    so the text is parsed once per row."""
     src = df.where(non_empty(date_col)) if require_text else df
-    return src.select(
-        F.col(id_col).try_cast("long").alias(id_col),
-        yyyymm(trailing_year(date_col), month_abbrev_to_num(date_col)).alias("yyyymm"),
-        *extra,
-    )
+    ym = yyyymm(trailing_year(date_col), month_abbrev_to_num(date_col))
+    if ymin is not None or ymax is not None:
+        lo = (ymin if ymin is not None else 0) * 100
+        hi = (ymax if ymax is not None else 9999) * 100 + 99
+        ym = F.when(ym.between(lo, hi), ym)
+    return src.select(F.col(id_col).try_cast("long").alias(id_col), ym.alias("yyyymm"), *extra)
 
 
-def monthly_counts(df: DataFrame, id_col: str = "book_id", date_col: str = "date_added") -> DataFrame:
+def monthly_counts(
+    df: DataFrame,
+    id_col: str = "book_id",
+    date_col: str = "date_added",
+    ymin: int | None = None,
+    ymax: int | None = None,
+) -> DataFrame:
     """book_id, yyyymm, n_month — rows per entity and calendar month; rows without a
-    year or a month are dropped."""
+    year or a month are dropped.  Years are not bounded unless ``ymin``/``ymax``
+    are given (junk years such as 0101 then drop out instead of stretching the
+    time to peak)."""
     return (
-        dated_months(df, id_col, date_col)
+        dated_months(df, id_col, date_col, ymin=ymin, ymax=ymax)
         .groupBy(id_col, "yyyymm")
         .agg(F.count("yyyymm").alias("n_month"))
         .where(F.col("n_month") > 0)

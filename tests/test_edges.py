@@ -223,3 +223,11 @@ def test_duplicate_catalogue_ids(spark):
     top = [tuple(r)[:2] for r in at.top_viral(labeled, books, k=10).collect()]
     assert top == [(1, "A"), (1, "A again"), (2, "B")]
     assert [tuple(r)[:2] for r in at.top_viral(labeled, books, k=2).collect()] == [(1, "A"), (1, "A again")]
+
+
+
+def test_monthly_counts_optional_year_bounds(spark):
+    rows = [("1", D.format(m="Jan", y=2015)), ("1", D.format(m="Feb", y="0101")), ("1", D.format(m="Mar", y=2030))]
+    df = inter(spark, rows)
+    assert sorted(r.yyyymm for r in at.monthly_counts(df).collect()) == [10102, 201501, 203003]
+    assert [r.yyyymm for r in at.monthly_counts(df, ymin=1900, ymax=2026).collect()] == [201501]
