@@ -231,3 +231,15 @@ def test_monthly_counts_optional_year_bounds(spark):
     df = inter(spark, rows)
     assert sorted(r.yyyymm for r in at.monthly_counts(df).collect()) == [10102, 201501, 203003]
     assert [r.yyyymm for r in at.monthly_counts(df, ymin=1900, ymax=2026).collect()] == [201501]
+
+
+def test_correlation_constant_fractional_score_is_null(spark):
+    labels = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b")], "book_id long, class string")
+    sent = spark.createDataFrame(
+        [(1, 1, 0.1), (2, 2, 0.1), (3, 5, 0.1), (4, 1, 0.1), (4, 3, 0.3), (4, 2, 0.3)],
+        "book_id long, rating int, sentiment_score double",
+    )
+    got = {r["class"]: r.pearson_corr for r in se.corr_by_class(sent, labels).collect()}
+    assert got["a"] is None
+    ref = se.join_labels(sent, labels).where("class = 'b'").agg(se.pearson("rating", "sentiment_score")).first()[0]
+    assert got["b"] == pytest.approx(ref, abs=1e-12)
