@@ -242,9 +242,17 @@ def demand_share(
 
 
 def latest_year_slice(demand: DataFrame, genre: str = HYBRID_LABEL, year_col: str = "added_year") -> DataFrame:
-    """Rows of ``genre`` in the latest year present in ``demand`` (max year as a scalar subquery)."""
-    latest = demand.agg(F.max(year_col)).scalar()
-    return demand.where((F.col(year_col) == latest) & (F.col("genre") == genre))
+    """Rows of ``genre`` in the latest year present in ``demand``.
+
+    The latest year is a one-row aggregate (broadcast: one row) matched
+    null-safe, so nothing is inferred onto ``demand``'s plan and both uses
+    share one pass over the interactions."""
+    latest = F.broadcast(demand.agg(F.max(year_col).alias("_latest")))
+    return (
+        demand.where(F.col("genre") == genre)
+        .join(latest, F.col(year_col).eqNullSafe(F.col("_latest")), "inner")
+        .drop("_latest")
+    )
 
 
 def hybrid_publication_trend(
