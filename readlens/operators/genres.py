@@ -197,10 +197,14 @@ def _join_on_id(big: DataFrame, small: DataFrame, id_col: str) -> DataFrame:
 def _join_year_totals(counts: DataFrame, totals: DataFrame, year: str) -> DataFrame:
     """Attach the per-year totals (at most 10^4 rows: broadcast).
 
-    Both sides are already free of NULL years.  The null-safe equality keeps
-    the optimizer from inferring ``year IS NOT NULL`` on the join inputs and
-    pushing it down to the scan, where it would parse the text a second time."""
+    Both sides are already free of NULL years.  A nullable year is matched
+    null-safe, which keeps the optimizer from inferring ``year IS NOT NULL``
+    and pushing it down to the scan (a second parse of the text).  A year that
+    is non-nullable in the schema needs no such care: the plain equi-join also
+    lets a later year filter reach both sides, so they keep sharing one pass."""
     t = F.broadcast(totals.withColumnRenamed(year, "_ty"))
+    if not counts.schema[year].nullable:
+        return counts.join(t, counts[year] == t["_ty"], "inner").drop("_ty")
     return counts.join(t, counts[year].eqNullSafe(t["_ty"]), "inner").drop("_ty")
 
 
@@ -216,6 +220,10 @@ def added_years(
         .groupBy(id_col, "added_year")
         .agg(F.count("added_year").alias("n"))
         .where(F.col("n") > 0)
+        # The NULL-year group is gone; saying so in the schema (non-nullable)
+        # stops the optimizer from inferring "added_year IS NOT NULL" for joins
+        # on the year and pushing it down to re-parse the text at the scan.
+        .select(id_col, F.coalesce(F.col("added_year"), F.lit(0)).alias("added_year"), "n")
     )
 
 

@@ -96,7 +96,7 @@ def test_monthly_counts_parses_each_value_once(spark):
     assert p.count("regexp_extract") == 2  # one year parse, one month-token parse
 
 
-@pytest.mark.parametrize("name", ["demand_share", "spike_culprits", "latest_year_slice"])
+@pytest.mark.parametrize("name", ["demand_share", "spike_culprits", "latest_year_slice", "top_k_by_mean_share"])
 def test_interaction_pass_is_shared_between_branches(spark, name):
     # no inferred id filter on the interaction scans: both branches (counts and
     # totals) keep the same plan, so the scan and its shuffle are reused
