@@ -261,7 +261,7 @@ BOOK_TITLES = "(SELECT TRY_CAST(book_id AS BIGINT) AS book_id, title FROM books)
 
 
 def sql() -> dict[str, str]:
-    rq1 = with_(*ATTENTION)
+    attention_ctes = with_(*ATTENTION)
     genre_base = [INTERACTIONS, BOOKS] + GENRES
     out = {
         "interactions_per_year": with_(INTERACTIONS) + f"""
@@ -289,8 +289,8 @@ def sql() -> dict[str, str]:
         "attention_features": with_(INTERACTIONS_CLEAN, MONTHLY, TOTALS, PEAK, FEATS) + "SELECT * FROM feats",
         "quantile_thresholds": with_(INTERACTIONS_CLEAN, MONTHLY, TOTALS, PEAK, FEATS, THRESHOLDS)
         + "SELECT * FROM thresholds",
-        "classify_attention": rq1 + "SELECT * FROM labeled",
-        "class_counts": rq1 + 'SELECT class, count(*) AS "count" FROM labeled GROUP BY class ORDER BY class',
+        "classify_attention": attention_ctes + "SELECT * FROM labeled",
+        "class_counts": attention_ctes + 'SELECT class, count(*) AS "count" FROM labeled GROUP BY class ORDER BY class',
         "top_viral": with_(*ATTENTION, BOOKS) + f"""
             SELECT {TOP_COLS} FROM labeled f LEFT JOIN {BOOK_TITLES} b ON f.book_id = b.book_id
             WHERE f.class = 'viral'
