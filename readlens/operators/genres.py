@@ -11,6 +11,11 @@ Scale notes
 * Year totals have at most 10,000 rows (a year is four digits), a proven size
   bound, so they are broadcast into the share joins.
 * Window totals (Q27) come back as one scalar subquery (a single struct).
+* One pass over interactions per query: where the per-(entity, year) counts
+  feed two branches (genre counts and year totals), nothing is inferred onto
+  one branch only (NULL ids are dropped on the small side of a null-safe id
+  join; the year is non-nullable once its NULL group is gone), so both
+  branches keep the same plan and share the scan and its shuffle.
 """
 
 from __future__ import annotations
