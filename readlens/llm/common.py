@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from readlens.plans.materialize import materialize, scratch_path
 
-__all__ = ["read", "materialize", "scratch_path", "mix", "string_batch", "row_slices", "Words",
-           "SPACE_SEPARATED", "ALNUM_WORDS", "LOWER", "fixed_size_sum", "broadcast_value"]
+__all__ = ["read", "only", "materialize", "scratch_path", "mix", "string_batch", "row_slices", "Words", "SPACE_SEPARATED",
+           "ALNUM_WORDS", "LOWER", "fixed_size_sum", "packed_slices", "broadcast_value", "membership", "maybe_in", "within"]
 
 U = np.uint64
 
@@ -133,15 +133,21 @@ class Words:
 
 # ---- arrays of a fixed size, filled by all tasks --------------------------------
 def fixed_size_sum(partials: DataFrame, dtype: type, slices: int, how: str = "sum") -> np.ndarray:
-    """Adds (or ORs) zlib-packed partial arrays ``(slice int, packed binary)`` slice by slice in
-    Spark and returns the joined array.  Its size is fixed by the caller, whatever the input."""
+    """Adds (``sum``: unsigned 32-bit counters that stop at their maximum; ``or``: bit tables) zlib-packed partial
+    arrays ``(slice int, packed binary)`` slice by slice in Spark and returns the joined array.  Its size is fixed by
+    the caller, whatever the input."""
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for packed in batch.column("packed").to_pylist():
                 part = np.frombuffer(zlib.decompress(packed), dtype=dtype)
-                total = part.copy() if total is None else (np.add if how == "sum" else np.bitwise_or)(total, part, out=total)
+                if total is None:
+                    total = part.copy()
+                elif how == "or":
+                    total |= part
+                else:
+                    total = np.minimum(total.astype(np.uint64) + part, np.iinfo(dtype).max).astype(dtype)
         yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()),
                                           "packed": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
@@ -168,3 +174,43 @@ def broadcast_value(spark: SparkSession, value):
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that a caller's further columns can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+# ---- bit tables: a fixed-size filter for ids that some rows have -------------------
+MEMBER_BITS, MEMBER_SLICES = 1 << 26, 64
+
+
+def _bit(values: np.ndarray) -> np.ndarray:
+    return (mix(values.astype(U)) & U(MEMBER_BITS - 1)).astype(np.int64)
+
+
+def membership(ids: DataFrame, column: str) -> np.ndarray:
+    """A bit for each hashed value of a long column (8 MB).  Others may share a bit; no value is missing."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(MEMBER_BITS, dtype=bool)
+        for batch in batches:
+            seen[_bit(batch.column(0).drop_null().to_numpy())] = True
+        yield packed_slices(np.packbits(seen, bitorder="little"), MEMBER_SLICES)
+
+    return fixed_size_sum(only(ids, column).mapInArrow(mark, "slice int, packed binary"), np.uint8, MEMBER_SLICES, "or")
+
+
+def maybe_in(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(values), dtype=bool)
+    at = _bit(values)
+    return (table[at >> 3] >> (at & 7) & 1).astype(bool)
+
+
+def within(df: DataFrame, column: str, table: np.ndarray) -> DataFrame:
+    """The rows whose long ``column`` may be among those the table was made from."""
+    shared = broadcast_value(df.sparkSession, table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.schema.get_field_index(column))
+            mask = maybe_in(shared.value, at.fill_null(0).to_numpy())
+            yield batch.filter(pa.array(mask & ~at.is_null().to_numpy(zero_copy_only=False)))
+
+    return df.mapInArrow(keep, df.schema)

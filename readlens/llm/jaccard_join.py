@@ -35,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlens.llm.common import (SPACE_SEPARATED, Words, broadcast_value, fixed_size_sum, materialize, mix, only,
-                                 packed_slices, row_slices, string_batch)
+from readlens.llm.common import (SPACE_SEPARATED, Words, broadcast_value, fixed_size_sum, materialize, maybe_in, membership,
+                                 mix, only, packed_slices, row_slices, string_batch)
 
 SHINGLE_WORDS, PERCENT = 5, 80
-#: Counters of the rarity table and bits of the table of classes to fetch, in this many slices.
-RARITY_CELLS, CLASS_BITS, SLICES = 1 << 22, 1 << 26, 64
+#: Counters of the rarity table, in this many slices.
+RARITY_CELLS, SLICES = 1 << 22, 64
 #: Cells of at most this many members are known by their members, so that equal cells are joined once.
 SMALL_CELL = 64
 PIVOT_ROUNDS = 3
@@ -166,27 +166,15 @@ def _cells_of(cell: np.ndarray, node: np.ndarray, n: np.ndarray, streaming: int
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text): one text of every class in ``nodes``."""
 
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(CLASS_BITS, dtype=bool)
-        for batch in batches:
-            seen[(batch.column(0).to_numpy().astype(np.uint64) & np.uint64(CLASS_BITS - 1)).astype(np.int64)] = True
-        yield packed_slices(np.packbits(seen, bitorder="little"), SLICES)
-
-    wanted = broadcast_value(docs.sparkSession, fixed_size_sum(
-        nodes.mapInArrow(bits, "slice int, packed binary"), np.uint8, SLICES, "or"))
+    wanted = broadcast_value(docs.sparkSession, membership(nodes, "node"))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = wanted.value
-        for batch in batches if len(table) else ():
-            rows, nodes_, seen = [], [], set()
-            for r, s in enumerate(shingle_sets(batch.column(1))):
-                if len(s) and (node := class_of(s)) not in seen:
-                    at = node & (CLASS_BITS - 1)
-                    if table[at >> 3] >> (at & 7) & 1:
-                        seen.add(node)
-                        rows.append(r)
-                        nodes_.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes_, pa.int64()), batch.column(1).take(pa.array(rows, pa.int64()))], names=["node", "text"])
+        for batch in batches:
+            first = {class_of(s): r for r, s in reversed(list(enumerate(shingle_sets(batch.column(1))))) if len(s)}
+            found = np.array(list(first), dtype=np.int64)
+            found = found[maybe_in(wanted.value, found)]
+            rows = pa.array([first[int(x)] for x in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(1).take(rows)], names=["node", "text"])
 
     found = docs.mapInArrow(pick, "node long, text string")
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlens.llm import decontaminate, jaccard_join, langid, mixing, tokens
+from readlens.llm import chat, decontaminate, fingerprints, html, jaccard_join, langid, linededup, mixing, quality, tokens
 from readlens.llm.common import read
 
 
@@ -18,11 +18,16 @@ def token_path(name: str = "word_bpe_49k.json") -> str:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_fingerprints": lambda s, d: fingerprints.fingerprints(read(s, d, "documents")),
         "op2_jaccard_join": lambda s, d: jaccard_join.components(read(s, d, "documents")),
         "op3_decontaminate": lambda s, d: decontaminate.report(read(s, d, "documents"), read(s, d, "benchmark")),
+        "op4_chat_format": lambda s, d: chat.format_conversations(read(s, d, "conversations")),
         "op5_mix_sources": lambda s, d: mixing.mix_sources(read(s, d, "documents")),
+        "op6_quality": lambda s, d: quality.classify(read(s, d, "documents"), read(s, d, "labels")),
         "op7_language_id": lambda s, d: langid.predictions(read(s, d, "documents")),
+        "op8_line_dedup": lambda s, d: linededup.dedup_lines(read(s, d, "documents")),
         "op9_token_ids": lambda s, d: tokens.token_id_output(read(s, d, "documents"), token_path()),
+        "op10_html_extract": lambda s, d: html.extract(read(s, d, "pages")),
     }
 
 
