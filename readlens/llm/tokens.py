@@ -18,6 +18,8 @@ further columns are ignored."""
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 import struct
 import zlib
@@ -34,8 +36,8 @@ from readlens.llm.common import only, scratch_path
 END_ID = 1
 #: A block is closed when it holds this many ids.
 BLOCK_IDS = 2_000_000
-#: Words kept with their ids by each Python worker; the memory is emptied when full.
-CACHE_WORDS = 400_000
+#: Pieces kept with their ids by each Python worker (about 170 bytes each); half go when it is full.
+CACHE_PIECES = 1_000_000
 
 
 # ---- Elias-Fano ----------------------------------------------------------------
@@ -109,63 +111,65 @@ class EliasFano:
 class Encoder:
     """A tokenizer's ids for whole texts.
 
-    The tokenizer's patterns never join characters across ASCII white space, so a text's ids are
-    those of its white-space separated parts in turn; parts met before are looked up.  Parts of
-    plain letters are split further, by the tokenizer's own pattern, so that one word with
-    different punctuation is encoded once.  A tokenizer of another kind is called on whole texts."""
+    For a tokenizer that lower-cases, splits by its pattern and merges inside each piece, a text's ids are those of its
+    pieces in turn.  Texts of Latin letters, digits and ASCII marks are split here by that pattern; pieces met before
+    are looked up, and new ones are encoded together, without being normalised and split again.  In other texts,
+    the parts between ASCII white space, which no piece crosses, are encoded by the tokenizer.  A tokenizer of another
+    kind is called on whole texts."""
 
-    _PLAIN = re.compile(r"[!-;=-~À-ÖØ-öø-ž]+")  # no '<': special tokens begin with it
-    _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^a-z0-9ß-öø-ž]+")
+    _PLAIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ž]*")
+    _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\t\n\r a-z0-9ß-öø-ž]+")
+    _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str):
-        import json
-
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tok = Tokenizer.from_file(path)
         kinds = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-        splits = [x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x.get("type") == "Split"]
-        self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and len(splits) == 1 and \
-            splits[0]["pattern"].get("Regex") == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and \
-            spec.get("post_processor") is None
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_piece = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and \
+            steps[0]["pattern"].get("Regex") == self._PATTERN and spec.get("post_processor") is None
+        if self.by_piece:
+            lean = spec | {"normalizer": None, "pre_tokenizer": steps[1], "added_tokens": []}
+            self.merge = Tokenizer.from_str(json.dumps(lean))
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.parts) + len(parts) > CACHE_WORDS:
-            self.parts.clear()
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces.clear()
-        split = {p: self._PIECES.findall(p.lower()) for p in parts if self._PLAIN.fullmatch(p)}
-        new = list({x for s in split.values() for x in s if x not in self.pieces})
-        self.pieces.update(zip(new, self._raw(new), strict=True))
-        get = self.pieces.__getitem__
-        self.parts.update((p, b"".join(map(get, s))) for p, s in split.items())
-        rest = [p for p in parts if p not in split]
-        self.parts.update(zip(rest, self._raw(rest), strict=True))
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.known) + len(pieces) > CACHE_PIECES:  # what was met first is met most often
+            for p in list(itertools.islice(reversed(self.known), len(self.known) // 2)):
+                del self.known[p]
+        found = self.merge.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(found.ids, dtype=self.dtype).tobytes()
+        cuts = (self.width * np.searchsorted(np.array(found.word_ids, dtype=np.int64), np.arange(len(pieces) + 1))).tolist()
+        self.known.update((p, raw[a:b]) for p, a, b in zip(pieces, cuts, cuts[1:], strict=False))
+
+    def _pieces(self, text: str) -> list[str] | None:
+        return self._PIECES.findall(text.lower()) if self._PLAIN.fullmatch(text) and "<|" not in text else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text, ``width`` bytes each."""
-        if not self.by_word:
-            return self._raw(texts)
-        out = []
-        for text in texts:
-            parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            known = self.parts
-            new = [p for p in set(parts) if p not in known]
-            if new:
-                self._learn(new)
-                if any(p not in known for p in parts):  # the memory was emptied for the new ones
-                    self._learn([p for p in set(parts) if p not in known])
-            out.append(b"".join(map(known.__getitem__, parts)))
-        return out
+        if not self.by_piece:
+            return self._whole(texts)
+        split = [self._pieces(t) for t in texts]
+        known = self.known
+        found = [None if s is None else list(map(known.get, s)) for s in split]
+        new = list({p for s, f in zip(split, found, strict=True) if f and None in f for p, x in zip(s, f, strict=True) if x is None})
+        if new:
+            self._learn(new)
+        return [self._odd(t) if f is None else b"".join(f if None not in f else [known[p] if x is None else x for p, x in zip(s, f, strict=True)])
+                for t, s, f in zip(texts, split, found, strict=True)]
+
+    def _odd(self, text: str) -> bytes:
+        parts = re.split("[ \t\n\r]+", text)
+        ids = dict(zip(seen := list(set(parts)), self._whole(seen), strict=True))
+        return b"".join(map(ids.__getitem__, parts))
 
 
 _ENCODERS: dict[str, Encoder] = {}
