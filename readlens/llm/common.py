@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from readlens.plans.materialize import materialize, scratch_path
 
-__all__ = ["read", "only", "materialize", "scratch_path", "mix", "string_batch", "row_slices", "Words", "SPACE_SEPARATED",
+__all__ = ["read", "only", "fresh", "materialize", "scratch_path", "mix", "string_batch", "row_slices", "Words", "SPACE_SEPARATED",
            "ALNUM_WORDS", "LOWER", "fixed_size_sum", "packed_slices", "broadcast_value", "membership", "maybe_in", "within"]
 
 U = np.uint64
@@ -176,6 +176,14 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or as much of it with underscores as the columns of ``df`` don't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 # ---- bit tables: a fixed-size filter for ids that some rows have -------------------
 MEMBER_BITS, MEMBER_SLICES = 1 << 26, 64
 

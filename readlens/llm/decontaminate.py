@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlens.llm.common import ALNUM_WORDS, Words, broadcast_value, materialize, only, row_slices, string_batch
+from readlens.llm.common import ALNUM_WORDS, Words, broadcast_value, fresh, materialize, only, row_slices, string_batch
 
 WINDOW_WORDS = 10
 #: Windows in one broadcast block (hash, words and item: about 150 bytes each).
@@ -153,16 +153,10 @@ def mark_benchmark_words(docs: DataFrame, benchmark: DataFrame, column: str = "h
     return marked
 
 
-def _fresh(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "document", words: int = WINDOW_WORDS) -> DataFrame:
     """``docs`` without benchmark text, same columns.  ``document`` drops every document with a hit word;
     ``span`` cuts the hit spans out of the text (and corrects ``n_chars`` where there is one)."""
-    column = _fresh(docs, "hits")
+    column = fresh(docs, "hits")
     marked = mark_benchmark_words(docs, benchmark, column, words)
     if mode == "document":
         return marked.where(F.size(f"{column}.runs") == 0).drop(column)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlens.llm.common import (SPACE_SEPARATED, Words, broadcast_value, fixed_size_sum, materialize, maybe_in, membership,
+from readlens.llm.common import (SPACE_SEPARATED, Words, broadcast_value, fixed_size_sum, fresh, materialize, maybe_in, membership,
                                  mix, only, packed_slices, row_slices, string_batch)
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -200,7 +200,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of ``edges`` (a, b): large-star and small-star steps until nothing changes."""
+    """(node, root) for the nodes of ``edges`` (a, b) but the roots, the least of each component: large-star and small-star steps until nothing changes."""
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -308,5 +308,6 @@ def components(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` (all columns) with one document of each group: the one with the smallest doc_id."""
-    first = components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, F.col("doc_id") == F.col("first_id"), "left_semi")
+    name = fresh(docs, "first_id")
+    first = components(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(first, docs["doc_id"] == first[name], "left_semi")

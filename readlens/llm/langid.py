@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readlens.llm.common import LOWER, broadcast_value, only, row_slices, string_batch
+from readlens.llm.common import LOWER, broadcast_value, fresh, only, row_slices, string_batch
 
 #: Bytes in a window, embedding size, filter widths and filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 8
@@ -218,9 +218,7 @@ def identify(docs: DataFrame, net: bytes, column: str = "language") -> DataFrame
 
 def keep_identified(docs: DataFrame, net: bytes, min_score: float = 0.0) -> DataFrame:
     """``docs`` without those that are undetermined or score below ``min_score``; same columns."""
-    column = "language"
-    while column in docs.columns:
-        column += "_"
+    column = fresh(docs, "language")
     seen = identify(docs, net, column)
     return seen.where((F.col(f"{column}.lang_pred") != UNDETERMINED) & (F.col(f"{column}.score") >= min_score)).drop(column)
 

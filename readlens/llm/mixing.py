@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readlens.llm.common import materialize, only
+from readlens.llm.common import fresh, materialize, only
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -144,7 +144,7 @@ def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats
               share: float = 1.0, seed: int = 7) -> DataFrame:
     """``docs`` as the mix takes them, same columns: every row as often as it is taken, 0 to ``max_repeats`` times.
     Rows equal in doc_id, source and text share out the copies taken of them."""
-    key, total, n, rank = (_fresh(docs, x) for x in ("mix_key", "mix_total", "mix_rows", "mix_rank"))
+    key, total, n, rank = (fresh(docs, x) for x in ("mix_key", "mix_total", "mix_rows", "mix_rank"))
     taken = mix_sources(docs, weights, max_repeats, share, seed).groupBy(F.col("row_key").alias(key)) \
         .agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(n))
     rows = docs.withColumn(key, _row_key(seed)).join(taken, key) \
@@ -154,12 +154,6 @@ def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeats
         .select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _fresh(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def _walk_blocks(rows: DataFrame, seed: int) -> DataFrame:
     """One round: every block walks; ``p`` is what it came to, ``open`` marks what the next round goes on with."""
     keyed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "h", F.lit(seed)), F.col("blocks")))
