@@ -10,8 +10,8 @@ Plan shape for the whole chain, at any scale:
    earliest month on ties) together, all hash-aggregated.  No window sort,
    no self join.  An entity contributes at most one row per month to this
    shuffle, so skew cannot pile up here.
-3. ``quantile_thresholds``: a global one-row aggregate (partial sketches per
-   task, merged once).
+3. ``quantile_thresholds``: exact percentiles from bounded bucket tables (or, on
+   request, a sketch of bounded size).
 4. ``classify_attention``: the one-row thresholds enter the plan as a scalar
    subquery — a single value, no driver round trip, no join.
 """
@@ -29,19 +29,12 @@ from readlens.functions.expr import (
     trailing_year,
     yyyymm,
 )
+from readlens.operators.quantiles import exact_percentiles
 
 CLASS_VIRAL = "viral"
 CLASS_TRADITIONAL = "traditional"
 CLASS_OTHER = "other"
 
-FEATURE_COLUMNS = (
-    "total_interactions",
-    "first_yyyymm",
-    "peak_yyyymm",
-    "peak_interactions",
-    "peak_share",
-    "time_to_peak_months",
-)
 TOP_COLUMNS = (
     "book_id",
     "title",
@@ -156,34 +149,34 @@ def attention_features(monthly: DataFrame, min_total: int = 1000, id_col: str =
     )
 
 
-def _quantile(col: str, p: float, relative_error: float | None) -> Column:
-    if relative_error is None:
-        # Exact: smallest value whose cumulative share reaches p.  Partial
-        # aggregation keeps a value -> count map per task.
-        return F.expr(f"percentile_disc({float(p)!r}) WITHIN GROUP (ORDER BY `{col}`)")
-    # Mergeable sketch with bounded memory (relative rank error ``relative_error``).
-    return F.percentile_approx(col, float(p), max(1, int(round(1.0 / relative_error))))
-
-
 def quantile_thresholds(
     feats: DataFrame, q: float = 0.90, relative_error: float | None = None
 ) -> DataFrame:
     """ps_low, ps_high, ttp_low, ttp_high: the (1 - q) and q quantiles of peak_share
     and time_to_peak_months, as doubles.  One row, or no row for empty input.
 
-    ``relative_error=None`` is exact; ``0.001`` reproduces a GK sketch with the
-    error bound of the original job."""
-    q_low = 1.0 - q
+    ``relative_error=None`` is exact at every size, with bounded tables (``quantiles``): both columns are folded to
+    (column, value) -> count and ranked together.  ``0.001`` is a mergeable sketch with the error bound of
+    the original job; its state grows with 1 / relative_error only."""
+    probs = {"low": 1.0 - q, "high": float(q)}
+    if relative_error is None:
+        columns = {"ps": "peak_share", "ttp": "time_to_peak_months"}
+        pairs = F.explode(F.array(*[
+            F.struct(F.lit(k).alias("column"), F.col(c).cast("double").alias("value")) for k, c in columns.items()
+        ]))
+        dist = feats.select(pairs.alias("x")).groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("w"))
+        found = exact_percentiles(dist, ["column"], "value", "w", probs)
+        thresholds = [F.max(F.when(F.col("column") == k, F.col(p))).alias(f"{k}_{p}") for k in columns for p in probs]
+        return found.agg(F.count(F.lit(1)).alias("_n"), *thresholds).where(F.col("_n") > 0).drop("_n")
+    accuracy = max(1, int(round(1.0 / relative_error)))
+    both = [
+        F.percentile_approx(c, list(probs.values()), accuracy).alias(k)
+        for k, c in (("ps", "peak_share"), ("ttp", "time_to_peak_months"))
+    ]
     return (
-        feats.agg(
-            F.count(F.lit(1)).alias("_n"),
-            _quantile("peak_share", q_low, relative_error).cast("double").alias("ps_low"),
-            _quantile("peak_share", q, relative_error).cast("double").alias("ps_high"),
-            _quantile("time_to_peak_months", q_low, relative_error).cast("double").alias("ttp_low"),
-            _quantile("time_to_peak_months", q, relative_error).cast("double").alias("ttp_high"),
-        )
+        feats.agg(F.count(F.lit(1)).alias("_n"), *both)
         .where(F.col("_n") > 0)
-        .drop("_n")
+        .select(*[F.col(k)[i].cast("double").alias(f"{k}_{p}") for k in ("ps", "ttp") for i, p in enumerate(probs)])
     )
 
 
@@ -219,14 +212,14 @@ def attach_titles(
 ) -> DataFrame:
     """Left-join titles onto a small, bounded row set (a top-k list).
 
-    The catalogue is first reduced with a semi join against the broadcast ids
-    of ``top`` (at most k rows, so the broadcast has a proven size bound);
-    only the matching catalogue rows reach the final join."""
+    The catalogue is first reduced with a semi join against the ids of ``top``;
+    only the matching catalogue rows reach the final join.  How is left to adaptive
+    execution, which broadcasts ids it measures as few."""
     ids = books.select(
         (F.col(id_col).try_cast(id_type) if id_type else F.col(id_col)).alias(id_col),
         F.col(title_col).alias("title"),
     )
-    wanted = ids.join(F.broadcast(top.select(id_col)), on=id_col, how="left_semi")
+    wanted = ids.join(top.select(id_col), on=id_col, how="left_semi")
     return top.join(wanted, on=id_col, how="left")
 
 

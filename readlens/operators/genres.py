@@ -172,12 +172,13 @@ def supply_share(
     """pub_year, genre, n_books_genre, n_books_total, share_books_genre.
 
     The denominator is every distinct book with a valid year, genre or not."""
-    by = published_years(books, ymin, ymax, id_col, year_col)
-    total = by.groupBy("pub_year").agg(F.count_distinct(id_col).alias("n_books_total"))
+    # distinct (book, year) pairs once, shared by both branches
+    by = published_years(books, ymin, ymax, id_col, year_col).distinct()
+    total = by.groupBy("pub_year").agg(F.count(id_col).alias("n_books_total"))
     counts = (
-        _join_on_id(by, membership.select(id_col, "genre"), id_col)
+        _join_on_id(by, membership.select(id_col, "genre").distinct(), id_col)
         .groupBy("pub_year", "genre")
-        .agg(F.count_distinct(id_col).alias("n_books_genre"))
+        .agg(F.count(id_col).alias("n_books_genre"))
     )
     return (
         _join_year_totals(counts, total, "pub_year")

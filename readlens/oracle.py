@@ -10,6 +10,10 @@ from __future__ import annotations
 
 from readlens.sources import fixtures as fx
 
+DRIVER_TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
+    "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
 Q = fx.QUANTILE
 Q_LOW = 1.0 - fx.QUANTILE
 T = fx.HYBRID_THRESH
@@ -96,7 +100,7 @@ reviews AS (
          CASE WHEN l.l_suppkey % 11 = 0 THEN NULL ELSE CAST(l.l_quantity AS BIGINT) % 6 END AS rating,
          CASE l.l_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN '   ' WHEN 2 THEN NULL
               ELSE 'order ' || CAST(l.l_orderkey AS VARCHAR) END AS review_text
-  FROM lineitem l WHERE l.l_linenumber <= 3)"""
+  FROM lineitem l)"""
 
 SENTIMENT = """
 sentiment_scores AS (
@@ -413,4 +417,10 @@ def sql() -> dict[str, str]:
     out["read_result_csv"] = out["interactions_per_year"]
     out["read_table_json"] = out["publications_per_year"]
     out["preview_last_years"] = out["interactions_per_year"].replace("ORDER BY year", "ORDER BY year DESC LIMIT 3")
+    out["sentiment_by_class_rating_sketch"] = out["sentiment_by_class_rating"]  # exact for groups of under 10,000 rows
+    out["dataset_report"] = " UNION ALL ".join(
+        f"SELECT '{t}' AS name, 'parquet' AS format, 'ok' AS status, count(*) AS n_columns, "
+        f"string_agg(column_name, ',' ORDER BY column_name) AS column_names FROM (DESCRIBE {t})"
+        for t in DRIVER_TABLES
+    )
     return out

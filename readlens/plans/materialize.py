@@ -19,11 +19,10 @@ CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session.
+    """The shared checkpoint folder of the session: the one set on the context, or ``spark.checkpoint.dir``.
 
-    Uses the cluster's ``spark.checkpoint.dir`` (or a directory already set on
-    the context).  Only when neither exists — a local test session — a fresh
-    temporary folder is created and registered."""
+    Only a local session without either (a test) gets a fresh temporary folder; on a cluster the executors could not
+    see it, so a missing setting is an error there."""
     try:
         sc = spark.sparkContext
     except Exception:  # a remote (Connect) session has no local context
@@ -35,6 +34,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not configured and sc is not None:
         configured = sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
+        if sc is None or not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError(f"{CHECKPOINT_CONF} is not set: a folder that driver and executors share is needed")
         configured = tempfile.mkdtemp(prefix="readlens-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, configured)
     if sc is None:
@@ -43,21 +44,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def parallelism(spark: SparkSession) -> int:
-    """Total task slots of the application (falls back to the shuffle partitions)."""
-    try:
-        return spark.sparkContext.defaultParallelism
-    except Exception:
-        return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-def application_key(spark: SparkSession) -> str:
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:
-        return str(getattr(spark, "session_id", id(spark)))
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for written results."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -75,3 +61,10 @@ def materialize(df: DataFrame, mode: str = "checkpoint") -> DataFrame:
         raise ValueError(f"unknown mode {mode!r}")
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(*dfs: DataFrame) -> None:
+    """Gives back what ``materialize(df, "persist")`` holds.  Checkpoint files belong to the session's folder and go
+    with it, or with ``spark.cleaner.referenceTracking.cleanCheckpoints`` when their DataFrame does."""
+    for df in dfs:
+        df.unpersist()

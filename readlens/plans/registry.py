@@ -8,24 +8,19 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from readlens.operators import attention as at
 from readlens.operators import context as cx
 from readlens.operators import genres as gn
 from readlens.operators import sentiment as se
 from readlens.operators import series as sr
-from readlens.plans.materialize import scratch_path
 from readlens.sources import fixtures as fx
-from readlens.sources.readers import dataset_report, preview, read_result_csv, read_table, write_result
+from readlens.sources.readers import dataset_columns, parse_result_rows, preview
 
 # Parameters of the registered queries (see FIXTURES.md)
 WINDOW_START, WINDOW_END, WINDOW_K = 1996, 1998, 50
 TOP_K = 10
-# Quantile thresholds use the mergeable sketch (memory bounded independent of the
-# number of entities) with a rank error of 1e-6: identical to the exact
-# discrete quantile for up to ~10^5 entities, and far tighter than the
-# original job's 1e-3 beyond that.
-THRESHOLD_RELATIVE_ERROR = 1e-6
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -47,7 +42,7 @@ def _labeled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _thresholds(feats: DataFrame) -> DataFrame:
-    return at.quantile_thresholds(feats, fx.QUANTILE, THRESHOLD_RELATIVE_ERROR)
+    return at.quantile_thresholds(feats, fx.QUANTILE)
 
 
 def _sentiment(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,20 +96,24 @@ def _align_null(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "interactions_per_year_csv")
-    write_result(cx.interactions_per_year(fx.table(spark, sf, "interactions")), path, single_file=True)
-    return read_result_csv(spark, path, {"year": "int", "n_interactions": "long"})
+    """Result rows as CSV text and back, without a file: what a result file's lines hold is parsed as text."""
+    result = cx.interactions_per_year(fx.table(spark, sf, "interactions"))
+    line = result.select(F.to_csv(F.struct("year", "n_interactions")).alias("line"))
+    text = line.select(F.from_csv("line", F.lit("year string, n_interactions string")).alias("r")).select("r.*")
+    return parse_result_rows(text, {"year": "int", "n_interactions": "long"})
 
 
 def _json_scan(spark: SparkSession, sf: str) -> DataFrame:
-    path = scratch_path(spark, "books_json")
-    fx.table(spark, sf, "books").write.json(path)
-    return cx.publications_per_year(read_table(spark, path, "json", ["publication_year"]))
+    """Rows as JSON text and back with only the asked column, without a file."""
+    books = fx.table(spark, sf, "books")
+    line = books.select(F.to_json(F.struct(*books.columns)).alias("line"))
+    back = line.select(F.from_json("line", F.lit("publication_year string")).alias("r")).select("r.*")
+    return cx.publications_per_year(back)
 
 
 def _catalog(spark: SparkSession, sf: str) -> DataFrame:
     items = [(t, "parquet", os.path.join(sf, f"{t}.parquet")) for t in DRIVER_TABLES]
-    return dataset_report(spark, items)
+    return dataset_columns(spark, items)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -139,6 +138,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # sentiment
         "clean_sentiment": _sentiment,
         "sentiment_by_class_rating": lambda s, sf: se.sentiment_by_class_rating(_sentiment(s, sf), _labeled(s, sf)),
+        "sentiment_by_class_rating_sketch": lambda s, sf: se.sentiment_by_class_rating(
+            _sentiment(s, sf), _labeled(s, sf), accuracy=10000
+        ),
         "corr_by_class": lambda s, sf: se.corr_by_class(_sentiment(s, sf), _labeled(s, sf)),
         # genres
         "genre_votes": lambda s, sf: gn.genre_votes(fx.table(s, sf, "genres")),

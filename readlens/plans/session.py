@@ -22,10 +22,16 @@ RUNTIME_CONF = {
 }
 
 
+# Adaptive execution joins small shuffle partitions but doesn't split those of an aggregate, so a cluster job starts
+# from many.  Local sessions keep their own number.
+CLUSTER_CONF = {"spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192"}
+
+
 def configure(spark: SparkSession, shuffle_partitions: int | None = None) -> SparkSession:
     """Apply the runtime settings to an existing session (cluster sessions keep
     their own resource settings)."""
-    for k, v in RUNTIME_CONF.items():
+    on_cluster = not spark.conf.get("spark.master", "local").startswith("local")
+    for k, v in (RUNTIME_CONF | (CLUSTER_CONF if on_cluster else {})).items():
         spark.conf.set(k, v)
     if shuffle_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))

@@ -3,16 +3,17 @@
 * ``read_table`` — format switch with an allow-list; unknown formats raise.
 * ``write_result`` — header CSV, overwrite; one part file only on request
   (the caller guarantees the result is small, e.g. one row per year).
-* ``read_result_csv`` — read such a CSV back with typed columns, dropping rows
-  whose values do not parse.
+* ``read_result_csv`` — read such a CSV back with typed columns; rows whose values
+  do not parse are skipped or raise.
 * ``dataset_report`` — schema tree plus a 5-row JSON sample per dataset, as a
-  DataFrame; a dataset that fails to load yields an ``error`` row instead of
-  stopping the others.
+  DataFrame; a dataset that fails to open or read yields an ``error`` row instead
+  of stopping the others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from json import dumps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,11 +60,39 @@ def write_result(df: DataFrame, path: str, single_file: bool = False) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
+_WHOLE_NUMBERS = ("byte", "tinyint", "short", "smallint", "int", "integer", "long", "bigint")
+
+
+def _converted(name: str, kind: str) -> Column:
+    """A text column as ``kind``, NULL where it does not parse.  Whole numbers may be written as decimals (``5.0``)."""
+    c = F.col(name)
+    if kind == "string":
+        return c
+    if kind in _WHOLE_NUMBERS:
+        exact = F.trim(c).try_cast("decimal(38,10)")
+        return F.coalesce(c.try_cast(kind), F.when(exact == F.floor(exact), exact.try_cast(kind)))
+    return c.try_cast(kind)
+
+
+def parse_result_rows(raw: DataFrame, columns: Mapping[str, str], on_error: str = "skip") -> DataFrame:
+    """Text rows with typed columns.  ``skip`` drops rows where a value is missing or does not parse; ``raise`` fails on
+    the first such value when the rows are computed."""
+    if on_error not in ("skip", "raise"):
+        raise ValueError(f"unknown on_error {on_error!r}")
+    if on_error == "raise":
+        return raw.select(*[
+            F.coalesce(_converted(c, t), F.raise_error(F.concat(
+                F.lit(f"column {c}: not a value of type {t}: "), F.coalesce(F.col(c), F.lit("missing")))).cast(t)).alias(c)
+            for c, t in columns.items()
+        ])
+    typed = raw.select(*[_converted(c, t).alias(c) for c, t in columns.items()])
+    return typed.dropna(how="any")
+
+
 def read_result_csv(
-    spark: SparkSession, path: str, columns: Mapping[str, str]
+    spark: SparkSession, path: str, columns: Mapping[str, str], on_error: str = "skip"
 ) -> DataFrame:
-    """Read a header CSV as text, convert each listed column with ``try_cast`` and
-    skip rows where a value is missing or does not parse.  ``columns`` maps
+    """Read a header CSV as text and convert each listed column.  ``columns`` maps
     column name -> Spark type name ("int", "double", "string", ...)."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     raw = (
@@ -72,17 +101,7 @@ def read_result_csv(
         .option("enforceSchema", False)
         .csv(path)
     )
-    typed = raw.select(
-        *[
-            (F.col(c) if t == "string" else F.col(c).try_cast(t)).alias(c)
-            for c, t in columns.items()
-        ]
-    )
-    ok = None
-    for c in columns:
-        cond = F.col(c).isNotNull()
-        ok = cond if ok is None else ok & cond
-    return typed.where(ok)
+    return parse_result_rows(raw, columns, on_error)
 
 
 def preview(df: DataFrame, order_col: str, n: int = 10) -> DataFrame:
@@ -90,46 +109,39 @@ def preview(df: DataFrame, order_col: str, n: int = 10) -> DataFrame:
     return df.orderBy(F.col(order_col).desc()).limit(n)
 
 
-def _report_row(spark: SparkSession, values: tuple) -> DataFrame:
-    return spark.createDataFrame([values], REPORT_SCHEMA)
-
-
 def dataset_report(
     spark: SparkSession, datasets: Iterable[tuple[str, str, str]], sample_rows: int = 5
 ) -> DataFrame:
     """One row per (name, format, path): status, schema tree, JSON sample, error.
 
-    The sample is built inside the plan (``limit`` + ``to_json`` + ``collect_list``),
-    so only ``sample_rows`` rows per dataset are ever gathered, and on the
-    executors, not the driver."""
-    parts: list[DataFrame] = []
+    Each dataset is opened and sampled by itself, so one that can't be opened or read yields an ``error`` row and the
+    others stay.  The sample is the first ``sample_rows`` rows; ``take`` opens as few splits as it needs, and the
+    rows of the report are as many as the datasets named."""
+    rows = []
     for name, fmt, path in datasets:
         try:
             df = read_table(spark, path, fmt)
-            tree = df.schema.treeString()
-            sample = (
-                df.limit(sample_rows)
-                .select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("j"))
-                .agg(F.to_json(F.collect_list("j")).alias("sample"))
-            )
-            parts.append(
-                sample.select(
-                    F.lit(name).alias("name"),
-                    F.lit(fmt).alias("format"),
-                    F.lit(path).alias("path"),
-                    F.lit("ok").alias("status"),
-                    F.lit(tree).alias("schema"),
-                    F.col("sample"),
-                    F.lit(None).cast("string").alias("error"),
-                )
-            )
+            json = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("j"))
+            sample = [r["j"] for r in json.take(sample_rows)]
+            rows.append((name, fmt, path, "ok", df.schema.treeString(), dumps(sample), None))
         except Exception as exc:  # one bad dataset must not stop the rest
-            parts.append(
-                _report_row(spark, (name, fmt, path, "error", None, None, f"{type(exc).__name__}: {exc}"))
-            )
-    if not parts:
-        return spark.createDataFrame([], REPORT_SCHEMA)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            rows.append((name, fmt, path, "error", None, None, f"{type(exc).__name__}: {exc}"))
+    return spark.createDataFrame(rows, REPORT_SCHEMA)
+
+
+def dataset_columns(
+    spark: SparkSession, datasets: Iterable[tuple[str, str, str]]
+) -> DataFrame:
+    """name, format, status, n_columns, column_names (in name order) of the report's datasets."""
+    rows = [
+        (r.name, r.format, r.status, *(_columns_of(spark, r.path, r.format) if r.status == "ok" else (None, None)))
+        for r in dataset_report(spark, datasets).collect()  # a row per dataset named
+    ]
+    return spark.createDataFrame(
+        rows, "name string, format string, status string, n_columns long, column_names string"
+    )
+
+
+def _columns_of(spark: SparkSession, path: str, fmt: str) -> tuple[int, str]:
+    names = read_table(spark, path, fmt).columns
+    return len(names), ",".join(sorted(names))

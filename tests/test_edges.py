@@ -13,6 +13,14 @@ from readlens.operators import sentiment as se
 from readlens.operators import series as sr
 from readlens.sources import readers as rd
 
+def joined(sent, labels):
+    return sent.join(labels, "book_id").select("class", "rating", "sentiment_score")
+
+
+def pearson(x, y):
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 D = "Tue {m} 03 08:19:07 -0800 {y}"
 
 
@@ -137,6 +145,19 @@ def test_result_csv_skips_bad_rows(spark):
         f.write("year,n\n2001,5\nabc,3\n2002,\n2003,7\n")
     got = [tuple(r) for r in rd.read_result_csv(spark, p, {"year": "int", "n": "long"}).collect()]
     assert got == [(2001, 5), (2003, 7)]
+    with pytest.raises(Exception, match="not a value of type"):
+        rd.read_result_csv(spark, p, {"year": "int", "n": "long"}, on_error="raise").collect()
+    with pytest.raises(ValueError):
+        rd.read_result_csv(spark, p, {"year": "int"}, on_error="?")
+
+
+def test_result_rows_with_decimals(spark):
+    raw = spark.createDataFrame([("5.0",), ("5",), ("5.5",), ("abc",), ("",), (None,), ("1e2",), ("-3.00",)], "n string")
+    assert [r.n for r in rd.parse_result_rows(raw, {"n": "long"}).collect()] == [5, 5, 100, -3]
+    assert [r.n for r in rd.parse_result_rows(raw.where("n in ('5.0', '-3.00')"), {"n": "int"}, "raise").collect()] == [5, -3]
+    for bad in ("abc", "", "5.5"):
+        with pytest.raises(Exception, match="not a value of type"):
+            rd.parse_result_rows(raw.where(F.col("n") == bad), {"n": "int"}, "raise").collect()
 
 
 def test_dataset_report_keeps_going(spark):
@@ -151,6 +172,21 @@ def test_dataset_report_keeps_going(spark):
     assert st["region"].sample.count("r_regionkey") == 5
 
 
+def test_dataset_report_isolates_read_errors(spark, tmp_path):
+    good, bad = str(tmp_path / "good.parquet"), str(tmp_path / "bad.parquet")
+    spark.range(40).repartition(40).write.parquet(good)
+    spark.range(2000).selectExpr("cast(id as string) as s").coalesce(1).write.parquet(bad)
+    part = next(os.path.join(bad, f) for f in os.listdir(bad) if f.endswith(".parquet"))
+    raw = bytearray(open(part, "rb").read())
+    raw[20: len(raw) // 2] = b"\xff" * (len(raw) // 2 - 20)  # pages, not the footer
+    open(part, "wb").write(bytes(raw))
+    crc = os.path.join(bad, f".{os.path.basename(part)}.crc")
+    if os.path.exists(crc):
+        os.rename(crc, str(tmp_path / "old.crc"))
+    st = {r.name: r for r in rd.dataset_report(spark, [("bad", "parquet", bad), ("good", "parquet", good)]).collect()}
+    assert st["bad"].status == "error" and st["good"].status == "ok" and st["good"].sample.count("id") == 5
+
+
 def test_read_table_rejects_unknown_format(spark):
     with pytest.raises(ValueError):
         rd.read_table(spark, "/root/testdata/sf0.001/region.parquet", "orc")
@@ -167,8 +203,10 @@ def test_series_helpers(spark):
     grid = sr.align_series_null(df, "y", "s", keep, 2000, 2005)
     got = {(r.genre, r.y): r.s for r in grid.collect()}
     assert len(got) == 9 and got[("b", 2002)] is None and got[("a", 2002)] == 0.7
-    with pytest.raises(RuntimeError):
-        sr.crop_years(df, "y", 1800, 1801)
+    with pytest.raises(Exception, match="No rows with y"):
+        sr.crop_years(df, "y", 1800, 1801).collect()
+    assert sr.crop_years(df, "y", 1800, 1801, require_rows=False).count() == 0
+    assert [r.y for r in sr.crop_years(df, "y", 2001, 2002).collect()] == [2001, 2001, 2002]
     z = sr.align_series_zero(
         spark.createDataFrame([("2001", "3"), ("2002", "x"), ("bad", "1")], "year string, v string"),
         "year", ["v"], 2000, 2005,
@@ -186,7 +224,7 @@ def test_weighted_percentiles_equal_percentile_disc(spark):
     sent = spark.createDataFrame(rows, "book_id long, rating int, sentiment_score double")
     labels = spark.createDataFrame([(b, "c%d" % (b % 3)) for b in range(1, 41)], "book_id long, class string")
     got = {(r["class"], r.rating): r for r in se.sentiment_by_class_rating(sent, labels).collect()}
-    raw = se.join_labels(sent, labels).groupBy("class", "rating").agg(
+    raw = joined(sent, labels).groupBy("class", "rating").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("sentiment_score").alias("a"),
         F.expr("percentile_disc(0.05) WITHIN GROUP (ORDER BY sentiment_score)").alias("p05"),
@@ -197,11 +235,11 @@ def test_weighted_percentiles_equal_percentile_disc(spark):
         assert (g.n, g.p05_sentiment, g.p95_sentiment) == (r.n, r.p05, r.p95)
         assert g.avg_sentiment == pytest.approx(r.a, abs=1e-12)
     corr = {r["class"]: r.pearson_corr for r in se.corr_by_class(sent, labels).collect()}
-    ref = se.join_labels(sent, labels).groupBy("class").agg(se.pearson("rating", "sentiment_score").alias("c"))
+    ref = joined(sent, labels).groupBy("class").agg(pearson("rating", "sentiment_score").alias("c"))
     for r in ref.collect():
         assert corr[r["class"]] == pytest.approx(r.c, abs=1e-12)
     approx = se.sentiment_by_class_rating(sent, labels, accuracy=10000).collect()
-    assert len(approx) == len(got)
+    assert {(r["class"], r.rating): tuple(r)[2:3] + tuple(r)[4:] for r in approx} == {k: tuple(r)[2:3] + tuple(r)[4:] for k, r in got.items()}
 
 
 def test_duplicate_catalogue_ids(spark):
@@ -241,5 +279,5 @@ def test_correlation_constant_fractional_score_is_null(spark):
     )
     got = {r["class"]: r.pearson_corr for r in se.corr_by_class(sent, labels).collect()}
     assert got["a"] is None
-    ref = se.join_labels(sent, labels).where("class = 'b'").agg(se.pearson("rating", "sentiment_score")).first()[0]
+    ref = joined(sent, labels).where("class = 'b'").agg(pearson("rating", "sentiment_score")).first()[0]
     assert got["b"] == pytest.approx(ref, abs=1e-12)

@@ -21,8 +21,6 @@ def optimized(df) -> str:
 
 @pytest.mark.parametrize("name", sorted(rg.queries()))
 def test_no_python_udf_in_any_query(spark, name):
-    if name in ("read_result_csv", "crop_years", "read_table_json"):
-        pytest.skip("runs a write / emptiness check while building")
     p = plan(rg.queries()[name](spark, SF_SMALL))
     for node in ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "CartesianProduct"):
         assert node not in p, (name, node)
@@ -100,10 +98,45 @@ def test_monthly_counts_parses_each_value_once(spark):
 def test_interaction_pass_is_shared_between_branches(spark, name):
     # no inferred id filter on the interaction scans: both branches (counts and
     # totals) keep the same plan, so the scan and its shuffle are reused
+    assert scanned_rows(spark, rg.queries()[name], "lineitem") == 1
+
+
+def scanned_rows(spark, query, *tables) -> float:
+    """Rows the executed query scans, as a multiple of the rows that ``tables`` have together.  Reused exchanges and
+    their scans are in the final plan once."""
     import re
 
-    p = re.sub(r"#\d+L?", "", plan(rg.queries()[name](spark, SF_SMALL)))
-    scans = [ln for ln in p.splitlines() if "FileScan parquet [book_id,date_added]" in ln]
-    assert len(scans) >= 2
-    assert len({ln.split("DataFilters:")[1].split("]")[0] for ln in scans}) == 1
-    assert all("isnotnull(book_id" not in ln for ln in scans)
+    paths = {t: f"{SF_SMALL}/{t}.parquet" for t in tables}
+    df = query(spark, SF_SMALL)
+    df.collect()
+    p = plan(df)
+    assert "isFinalPlan=true" in p
+    final = p.split("+- == Initial Plan ==")[0]
+    total = sum(len(re.findall(rf"FileScan parquet [^\n]*{t}\.parquet", final)) for t in paths)
+    return total / len(tables)
+
+
+@pytest.mark.parametrize("name", sorted(rg.queries()))
+def test_building_a_query_writes_nothing(spark, name, tmp_path):
+    import os
+
+    before = spark.sparkContext.getCheckpointDir()
+    seen = set(os.listdir(before.removeprefix("file:"))) if before else set()
+    rg.queries()[name](spark, SF_SMALL)
+    after = set(os.listdir(before.removeprefix("file:"))) if before else set()
+    assert after == seen
+
+
+def test_shared_folder_is_required_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from readlens.plans.materialize import checkpoint_dir
+
+    def session(master, conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d), set=conf.__setitem__), sparkContext=SimpleNamespace(
+            master=master, getCheckpointDir=lambda: None, getConf=lambda: conf, setCheckpointDir=lambda d: None))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            checkpoint_dir(session(master, {}))
+        assert checkpoint_dir(session(master, {"spark.checkpoint.dir": "hdfs:///x"})) == "hdfs:///x"
