@@ -148,6 +148,36 @@ def membership_with_hybrid(book_genre: DataFrame, hybrid: DataFrame) -> DataFram
     return book_genre.unionByName(hybrid)
 
 
+def all_membership(
+    genres: DataFrame,
+    key_a: str = FANTASY_KEY,
+    key_b: str = ROMANCE_KEY,
+    thresh: int = 10,
+    ratio: float = 0.2,
+    label: str = HYBRID_LABEL,
+    id_col: str = "book_id",
+    struct_col: str = "genres",
+) -> DataFrame:
+    """The rows of ``membership_with_hybrid`` over ``genre_membership`` and ``hybrid_membership``, from one pass over
+    ``genres``: each row lists its genres, the hybrid with them, and is exploded once."""
+    dtype = genres.schema[struct_col].dataType
+    if isinstance(dtype, T.MapType):
+        pairs = F.transform(F.map_entries(struct_col), lambda e: F.struct(
+            e["key"].alias("genre"), e["value"].cast("long").alias("votes")))
+    else:
+        pairs = F.array(*[
+            F.struct(F.lit(name).alias("genre"), _vote(genres, struct_col, name).alias("votes"))
+            for name in dtype.fieldNames()
+        ])
+    enough = F.transform(F.filter(pairs, lambda p: p["votes"] >= thresh), lambda p: F.struct(
+        p["genre"].alias("genre"), F.lit(False).alias("_hybrid")))
+    a, b = _pair_votes(genres, key_a, key_b, struct_col)
+    balanced = F.try_divide(F.least(a, b), F.greatest(a, b)) >= F.lit(float(ratio))
+    hybrid = F.array(F.struct(F.lit(label).alias("genre"), F.lit(True).alias("_hybrid")))
+    listed = F.when((a >= thresh) & (b >= thresh) & balanced, F.concat(enough, hybrid)).otherwise(enough)
+    return genres.select(id_col, F.inline(listed)).distinct().select(id_col, "genre")
+
+
 def published_years(
     books: DataFrame,
     ymin: int = PUB_YEAR_MIN,

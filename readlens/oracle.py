@@ -418,6 +418,7 @@ def sql() -> dict[str, str]:
     out["read_table_json"] = out["publications_per_year"]
     out["preview_last_years"] = out["interactions_per_year"].replace("ORDER BY year", "ORDER BY year DESC LIMIT 3")
     out["sentiment_by_class_rating_sketch"] = out["sentiment_by_class_rating"]  # exact for groups of under 10,000 rows
+    out["all_membership"] = out["membership_with_hybrid"]
     out["dataset_report"] = " UNION ALL ".join(
         f"SELECT '{t}' AS name, 'parquet' AS format, 'ok' AS status, count(*) AS n_columns, "
         f"string_agg(column_name, ',' ORDER BY column_name) AS column_names FROM (DESCRIBE {t})"

@@ -22,7 +22,7 @@ from readlens.operators import attention as at
 from readlens.operators import context as cx
 from readlens.operators import genres as gn
 from readlens.operators import sentiment as se
-from readlens.plans.materialize import materialize
+from readlens.plans.materialize import materialize, release
 from readlens.sources.readers import dataset_report, read_table, tagged_path, write_result
 
 
@@ -30,6 +30,12 @@ def _pq(spark: SparkSession, path: str, *cols: str) -> DataFrame:
     return read_table(spark, path, "parquet", list(cols) or None)
 
 
+def _done(persist: str, *tables: DataFrame) -> None:
+    """The outputs are written: cached tables are given back.  A returned DataFrame recomputes them if used again."""
+    if persist == "persist":
+        release(*tables)
+
+
 def context_job(spark, interactions: str, books: str, reviews: str, out: str) -> dict[str, DataFrame]:
     res = {
         "interactions_per_year": cx.interactions_per_year(_pq(spark, interactions, "date_added")),
@@ -43,7 +49,7 @@ def context_job(spark, interactions: str, books: str, reviews: str, out: str) ->
 
 def attention_labels(
     spark, interactions: str, min_total: int = 1000, q: float = 0.90,
-    relative_error: float | None = 0.001, persist: str = "checkpoint",
+    relative_error: float | None = None, persist: str = "checkpoint",
 ) -> DataFrame:
     """Per book: features, peak month and class; materialised for reuse."""
     monthly = at.monthly_counts(_pq(spark, interactions, "book_id", "date_added"))
@@ -54,7 +60,7 @@ def attention_labels(
 
 def virality_job(
     spark, interactions: str, books: str, min_total: int = 1000, q: float = 0.90, k: int = 10,
-    relative_error: float | None = 0.001, persist: str = "checkpoint",
+    relative_error: float | None = None, persist: str = "checkpoint",
 ) -> dict[str, DataFrame]:
     labels = attention_labels(spark, interactions, min_total, q, relative_error, persist)
     titles = _pq(spark, books, "book_id", "title")
@@ -67,17 +73,18 @@ def virality_job(
 
 def rating_decay_job(
     spark, interactions: str, reviews: str, out: str, min_total: int = 1000, q: float = 0.90,
-    lo: int = -6, hi: int = 36, relative_error: float | None = 0.001, persist: str = "checkpoint",
+    lo: int = -6, hi: int = 36, relative_error: float | None = None, persist: str = "checkpoint",
 ) -> DataFrame:
     labels = attention_labels(spark, interactions, min_total, q, relative_error, persist)
     res = at.rating_decay(_pq(spark, reviews, "book_id", "date_added", "rating"), labels, lo, hi)
     write_result(res, f"{out}/rating_decay_by_class", single_file=True)
+    _done(persist, labels)
     return res
 
 
 def sentiment_job(
     spark, interactions: str, sentiment: str, out: str, min_total: int = 1000, q: float = 0.90,
-    accuracy: int | None = 10000, relative_error: float | None = 0.001, persist: str = "checkpoint",
+    accuracy: int | None = None, relative_error: float | None = None, persist: str = "checkpoint",
 ) -> dict[str, DataFrame]:
     labels = attention_labels(spark, interactions, min_total, q, relative_error, persist)
     sent = se.clean_sentiment(_pq(spark, sentiment, "book_id", "rating", "sentiment_score"))
@@ -88,6 +95,7 @@ def sentiment_job(
     }
     write_result(res["by_rating"], tagged_path(out, "sentiment_by_class_rating_min{m}_q{q}", m=min_total, q=q), True)
     write_result(res["corr"], tagged_path(out, "corr_by_class_min{m}_q{q}", m=min_total, q=q), True)
+    _done(persist, labels)
     return res
 
 
@@ -96,17 +104,12 @@ def genre_trends_job(
     key_a: str = gn.FANTASY_KEY, key_b: str = gn.ROMANCE_KEY, persist: str = "checkpoint",
 ) -> dict[str, DataFrame]:
     g = _pq(spark, genres, "book_id", "genres")
-    membership = materialize(
-        gn.membership_with_hybrid(
-            gn.genre_membership(gn.genre_votes(g), thresh),
-            gn.hybrid_membership(g, key_a, key_b, thresh, ratio),
-        ),
-        persist,
-    )
+    membership = materialize(gn.all_membership(g, key_a, key_b, thresh, ratio), persist)
     supply = gn.supply_share(_pq(spark, books, "book_id", "publication_year"), membership)
     demand = gn.demand_share(_pq(spark, interactions, "book_id", "date_added"), membership)
     write_result(supply, tagged_path(out, "pub_year_genre_shares_thresh_{t}", t=thresh), True)
     write_result(demand, tagged_path(out, "interaction_year_genre_shares_thresh_{t}", t=thresh), True)
+    _done(persist, membership)
     return {"supply": supply, "demand": demand, "latest": gn.latest_year_slice(demand)}
 
 
@@ -119,6 +122,7 @@ def hybrid_trends_job(
     adopt = gn.hybrid_adoption_trend(_pq(spark, interactions, "book_id", "date_added"), flags)
     write_result(pub, tagged_path(out, "pub_year_trend_thresh_{t}", t=thresh), True)
     write_result(adopt, tagged_path(out, "interaction_year_trend_thresh_{t}", t=thresh), True)
+    _done(persist, flags)
     return {"publication": pub, "adoption": adopt}
 
 
@@ -132,6 +136,7 @@ def spike_culprits_job(
         _pq(spark, interactions, "book_id", "date_added"), ids, _pq(spark, books, "book_id", "title"), start, end, k
     )
     write_result(res, tagged_path(out, "top_romantasy_books_{s}_{e}_THRESH_{t}", s=start, e=end, t=thresh), True)
+    _done(persist, ids)
     return res
 
 

@@ -54,6 +54,10 @@ def _hybrid_args() -> dict:
 
 
 def _membership(spark: SparkSession, sf: str) -> DataFrame:
+    return gn.all_membership(fx.table(spark, sf, "genres"), ratio=fx.HYBRID_RATIO, **_hybrid_args())
+
+
+def _membership_union(spark: SparkSession, sf: str) -> DataFrame:
     g = fx.table(spark, sf, "genres")
     book_genre = gn.genre_membership(gn.genre_votes(g), fx.HYBRID_THRESH)
     hybrid = gn.hybrid_membership(g, ratio=fx.HYBRID_RATIO, **_hybrid_args())
@@ -149,7 +153,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             fx.table(s, sf, "genres"), ratio=fx.HYBRID_RATIO, **_hybrid_args()
         ),
         "hybrid_flags": _flags,
-        "membership_with_hybrid": _membership,
+        "membership_with_hybrid": _membership_union,
+        "all_membership": _membership,
         "supply_share": _supply,
         "demand_share": _demand,
         "latest_year_slice": lambda s, sf: gn.latest_year_slice(_demand(s, sf), gn.HYBRID_LABEL),

@@ -94,26 +94,41 @@ def test_monthly_counts_parses_each_value_once(spark):
     assert p.count("regexp_extract") == 2  # one year parse, one month-token parse
 
 
+def scans(spark, query, table, column="") -> int:
+    """Scans of a driver table (reading ``column``) in the plans that ran, subqueries included; a reused exchange
+    has no scan of its own."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before = store.executionsCount()
+    query(spark, SF_SMALL).collect()
+    bus.waitUntilEmpty()
+    found = 0
+    for i in range(before, store.executionsCount()):
+        nodes = store.planGraph(store.executionsList().apply(i).executionId()).allNodes()
+        descs = [nodes.apply(j).desc() for j in range(nodes.size()) if nodes.apply(j).name().startswith("Scan parquet")]
+        found += sum(f"/{table}.parquet" in d and column in d for d in descs)
+    return found
+
+
 @pytest.mark.parametrize("name", ["demand_share", "spike_culprits", "latest_year_slice", "top_k_by_mean_share"])
 def test_interaction_pass_is_shared_between_branches(spark, name):
-    # no inferred id filter on the interaction scans: both branches (counts and
-    # totals) keep the same plan, so the scan and its shuffle are reused
-    assert scanned_rows(spark, rg.queries()[name], "lineitem") == 1
-
-
-def scanned_rows(spark, query, *tables) -> float:
-    """Rows the executed query scans, as a multiple of the rows that ``tables`` have together.  Reused exchanges and
-    their scans are in the final plan once."""
-    import re
-
-    paths = {t: f"{SF_SMALL}/{t}.parquet" for t in tables}
-    df = query(spark, SF_SMALL)
-    df.collect()
-    p = plan(df)
-    assert "isFinalPlan=true" in p
-    final = p.split("+- == Initial Plan ==")[0]
-    total = sum(len(re.findall(rf"FileScan parquet [^\n]*{t}\.parquet", final)) for t in paths)
-    return total / len(tables)
+    # the ship date is read for interactions only
+    assert scans(spark, rg.queries()[name], "lineitem", "l_shipdate") == 1
+
+
+@pytest.mark.parametrize("name", ["supply_share", "align_series_null"])
+def test_supply_reads_each_table_once(spark, name):
+    assert scans(spark, rg.queries()[name], "part") == 1
+    assert scans(spark, rg.queries()[name], "lineitem") == 1
+
+
+def test_crop_and_correlation_are_one_pass(spark):
+    q = rg.queries()
+    assert scans(spark, q["crop_years"], "lineitem") == scans(spark, q["hybrid_adoption_trend"], "lineitem")
+    # scores once, interactions once for the labels
+    assert scans(spark, q["corr_by_class"], "lineitem", "l_shipdate") == 1
+    assert scans(spark, q["corr_by_class"], "lineitem", "l_discount") == 1
 
 
 @pytest.mark.parametrize("name", sorted(rg.queries()))
