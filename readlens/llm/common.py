@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from readlens.plans.materialize import materialize, scratch_path
 
 __all__ = ["read", "only", "fresh", "materialize", "scratch_path", "mix", "string_batch", "row_slices", "Words", "SPACE_SEPARATED",
-           "ALNUM_WORDS", "LOWER", "fixed_size_sum", "packed_slices", "broadcast_value", "membership", "maybe_in", "within"]
+           "ALNUM_WORDS", "LOWER", "fixed_size_sum", "packed_slices", "stored", "broadcast_value", "membership", "maybe_in", "within"]
 
 U = np.uint64
 
@@ -167,6 +167,13 @@ def packed_slices(total: np.ndarray, slices: int) -> pa.RecordBatch:
                                        "packed": pa.array([zlib.compress(parts[i].tobytes(), 1) for i in keep], pa.binary())})
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared checkpoint folder and read back: for texts, smaller than a checkpoint."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_value(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)
 

@@ -4,7 +4,8 @@ Jaccard distance is a metric, but a sparse one: unrelated texts are at distance
 pivots drawn from the whole corpus would leave every text in every boundary window.  Regions are therefore laid
 out where distances are below 1.  The cell of a shingle holds the texts that have it among their rarest
 ``n - ceil(0.8 n) + 1`` shingles; a text lies in several cells, and two texts with similarity of 0.8 or more
-always share one (they lack at most a fifth of each other's shingles).  Rarity only orders the shingles; it is
+always share one (they lack at most a fifth of each other's shingles).  Where a member's shingle of the cell stands in its own order
+bounds what it can share from there on, and so the sizes of possible partners.  Rarity only orders the shingles; it is
 read from a table of fixed size that all texts are counted into, and any order gives the exact result.
 
 A cell is then joined around pivots:
@@ -32,18 +33,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlens.llm.common import (SPACE_SEPARATED, Words, broadcast_value, fixed_size_sum, fresh, materialize, maybe_in, membership,
-                                 mix, only, packed_slices, row_slices, string_batch)
+                                 mix, only, packed_slices, row_slices, stored, string_batch, within)
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Counters of the rarity table, in this many slices.
-RARITY_CELLS, SLICES = 1 << 22, 64
+RARITY_CELLS, SLICES = 1 << 23, 64
 #: Cells of at most this many members are known by their members, so that equal cells are joined once.
 SMALL_CELL = 64
 PIVOT_ROUNDS = 3
+#: Partners compared with a text in one group.
+PARTNERS = 1000
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
@@ -95,7 +98,7 @@ def cells(docs: DataFrame) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shingles, nodes, sizes, seen = [], [], [], set()
+            shingles, nodes, sizes, caps, seen = [], [], [], [], set()
             for s in shingle_sets(batch.column(1)):
                 n = len(s)
                 node = class_of(s) if n else None
@@ -105,13 +108,16 @@ def cells(docs: DataFrame) -> DataFrame:
                 often = counts.value[(s & np.uint64(RARITY_CELLS - 1)).astype(np.int64)]
                 size = n - (-(-PERCENT * n // 100)) + 1
                 order = np.lexsort((s, often))[:size]
-                order = order[often[order] > 1]  # counted once: nobody else has it
+                cap = (((100 + PERCENT) * (n - np.arange(size)) - PERCENT * n) // PERCENT).astype(np.int32)
+                shared = often[order] > 1  # counted once: nobody else has it
+                order, cap = order[shared], cap[shared]
                 shingles.append(s[order])
                 nodes.append(np.full(len(order), node, dtype=np.int64))
                 sizes.append(np.full(len(order), n, dtype=np.int32))
+                caps.append(cap)
             if shingles:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).astype(np.int64)), pa.array(np.concatenate(nodes)),
-                                                  pa.array(np.concatenate(sizes))], names=["cell", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).astype(np.int64)), *(
+                    pa.array(np.concatenate(x)) for x in (nodes, sizes, caps))], names=["cell", "node", "n", "cap"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order of (cell, node).  Holds back the last, perhaps unfinished cell while it is small;
@@ -119,48 +125,56 @@ def cells(docs: DataFrame) -> DataFrame:
         rest = None
         streaming = None  # the shingle of a cell that passes through
         for batch in batches:
-            cell, node, n = (batch.column(i).to_numpy() for i in range(3))
+            rows = [c.to_numpy() for c in batch.columns]
             if rest is not None:
-                cell, node, n = (np.concatenate(x) for x in zip(rest, (cell, node, n), strict=True))
+                rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
+            cell, node = rows[:2]
             new = np.ones(len(cell), dtype=bool)
             new[1:] = (cell[1:] != cell[:-1]) | (node[1:] != node[:-1])
-            cell, node, n = cell[new], node[new], n[new]
+            rows = [x[new] for x in rows]
+            cell = rows[0]
             keep = len(cell) - int(np.searchsorted(cell, cell[-1], side="left"))
             last_large = keep > SMALL_CELL or streaming == cell[-1]
             stop = len(cell) if last_large else len(cell) - keep
-            out = _cells_of(cell[:stop], node[:stop], n[:stop], streaming)
+            out = _cells_of([x[:stop] for x in rows], streaming)
             if out is not None:
                 yield out
             streaming = int(cell[-1]) if last_large else None
-            rest = (cell[-1:], node[-1:], n[-1:]) if last_large else (cell[stop:], node[stop:], n[stop:])
+            rest = [x[-1:] if last_large else x[stop:] for x in rows]
         if rest is not None and streaming is None:
-            out = _cells_of(*rest, None)
+            out = _cells_of(rest, None)
             if out is not None:
                 yield out
 
-    entries = docs.mapInArrow(prefixes, "cell long, node long, n int")
-    met = entries.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(meet, "cell long, node long, n int")
-    return met.dropDuplicates(["cell", "node"])
+    schema = "cell long, node long, n int, cap int"
+    entries = docs.mapInArrow(prefixes, schema)
+    met = entries.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(meet, schema)
+    return met.groupBy("cell", "node").agg(F.first("n").alias("n"), F.max("cap").alias("cap"))
 
 
-def _cells_of(cell: np.ndarray, node: np.ndarray, n: np.ndarray, streaming: int | None) -> pa.RecordBatch | None:
+def _cells_of(rows: list[np.ndarray], streaming: int | None) -> pa.RecordBatch | None:
+    """The members of whole cells that have a possible partner in them; all members of cells that pass through."""
+    cell, node, n, cap = rows
     if not len(cell):
         return None
     first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     size = np.diff(np.append(first, len(cell)))
-    small = size <= SMALL_CELL
-    if streaming is not None and cell[0] == streaming:
-        small[0] = False
-        keep_first = True
-    else:
-        keep_first = False
-    sums = np.add.reduceat(mix(node.astype(np.uint64)), first)
-    name = np.where(small, mix(sums).astype(np.int64), cell[first])
-    keep = np.repeat((size > 1) | (keep_first & (np.arange(len(size)) == 0)), size)
+    passing = size > SMALL_CELL
+    passing[0] |= streaming is not None and cell[0] == streaming
+    keep = np.repeat(passing, size)
+    two = first[(size == 2) & ~passing]
+    fits = (n[two] <= cap[two + 1]) & (n[two + 1] <= cap[two])
+    keep[two[fits]] = keep[two[fits] + 1] = True
+    for a, k in zip(first[(size > 2) & ~passing].tolist(), size[(size > 2) & ~passing].tolist(), strict=True):
+        fit = n[a: a + k, None] <= cap[None, a: a + k]
+        fit &= fit.T
+        np.fill_diagonal(fit, False)
+        keep[a: a + k] = fit.any(axis=1)
     if not keep.any():
         return None
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[keep]), pa.array(node[keep]), pa.array(n[keep])],
-                                      names=["cell", "node", "n"])
+    sums = np.add.reduceat(np.where(keep, mix(node.astype(np.uint64)), np.uint64(0)), first)
+    name = np.repeat(np.where(passing, cell[first], mix(sums).astype(np.int64)), size)
+    return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (name, node, n, cap)], names=["cell", "node", "n", "cap"])
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -181,22 +195,32 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, shared, total): exact intersection and union sizes of the pairs' sets."""
+    """(a, b, shared, total): exact intersection and union sizes of the pairs' sets.
+
+    A task holds the set of one b and reads its partners past it; a b with many partners is dealt, with its text,
+    over several groups."""
+    pairs = materialize(pairs)
+    groups = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("groups"))
+    partners = pairs.join(groups, "b").select("b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("part"), F.col("a").alias("node"))
+    own = groups.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.col("b").alias("node"))
+    rows = partners.withColumn("partner", F.lit(True)).unionByName(own.withColumn("partner", F.lit(False)))
+    few = within(texts, "node", membership(rows, "node"))
+    placed = rows.join(few, "node").repartition("b", "part").sortWithinPartitions("b", "part", "partner")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            shared, total = [], []
-            for s, t in zip(shingle_sets(batch.column(2)), shingle_sets(batch.column(3)), strict=True):
-                both = len(np.intersect1d(s, t, assume_unique=True))
-                shared.append(both)
-                total.append(len(s) + len(t) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int64()), pa.array(total, pa.int64())],
-                                             names=["a", "b", "shared", "total"])
+            out = []
+            for b, node, partner, s in zip(*(batch.column(i).to_pylist() for i in range(3)), shingle_sets(batch.column(3)), strict=True):
+                if not partner:
+                    own = s
+                    continue
+                both = len(np.intersect1d(own, s, assume_unique=True))
+                out.append((node, b, both, len(own) + len(s) - both))
+            columns = zip(*out, strict=True) if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "shared", "total"])
 
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(compare, "a long, b long, shared long, total long")
+    return placed.select("b", "node", "partner", "text").mapInArrow(compare, "a long, b long, shared long, total long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -230,53 +254,58 @@ def _labelled(region: DataFrame, links: DataFrame) -> DataFrame:
     return out.join(mixed, "cell", "left_semi")
 
 
-def _may_link(a: str, b: str) -> F.Column:
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT)
+def _may_link(n: str, cap: str, other_n: str, other_cap: str) -> Column:
+    """Whether two members of a cell can share enough: ``cap`` is the largest partner that a member with its shingle
+    of this cell as the first common one can have."""
+    return (F.col(other_n) <= F.col(cap)) & (F.col(n) <= F.col(other_cap))
+
+
+def _with_partners(region: DataFrame) -> DataFrame:
+    """The members that some size in their cell suits."""
+    fit = region.groupBy("cell").agg(F.min("n").alias("least"), F.max("cap").alias("most"), F.count(F.lit(1)).alias("members"))
+    return region.join(fit, "cell").where("members > 1 and cap >= least and n <= most").select("cell", "node", "n", "cap")
 
 
 def links_between(docs: DataFrame) -> DataFrame:
     """(a, b): links between classes that connect every two classes that any links connect."""
-    region = cells(docs)
-    degree = materialize(region)
-    region = degree
+    region = materialize(_with_partners(_with_partners(cells(docs))))
     degree = region.groupBy("node").agg(F.count(F.lit(1)).alias("cells"))
     region = materialize(region.join(degree, "node"))
-    texts = materialize(texts_of(docs, degree.select("node")))
+    texts = stored(texts_of(docs, degree.select("node")), "jaccard-texts")
     links, measured, todo = None, None, region.withColumn("root", F.col("node"))
     for turn in range(PIVOT_ROUNDS):
-        rank = F.struct(F.col("cells"), F.col("node"), F.col("n"), F.col("root"))
-        if turn:  # the next pivot: a member that isn't connected with an earlier one
-            used = measured.select(F.col("b").alias("node")).distinct()
-            free = todo.join(used, "node", "left_anti")
-        else:
-            free = todo
-        pivots = free.groupBy("cell").agg(F.max(rank).alias("p")) \
-            .select("cell", F.col("p.node").alias("b"), F.col("p.n").alias("nb"), F.col("p.root").alias("pivot_root"))
-        pairs = todo.join(pivots, "cell").where((F.col("root") != F.col("pivot_root")) & _may_link("n", "nb")) \
+        rank = F.struct("cells", "node", "n", "cap", "root")
+        # the next pivot: a member that hasn't been one
+        free = todo.join(measured.select(F.col("b").alias("node")).distinct(), "node", "left_anti") if turn else todo
+        pivots = free.groupBy("cell").agg(F.max(rank).alias("p")).select("cell", F.col("p.node").alias("b"), F.col("p.n").alias("nb"),
+                                                                         F.col("p.cap").alias("cap_b"), F.col("p.root").alias("pivot_root"))
+        pairs = todo.join(pivots, "cell").where((F.col("root") != F.col("pivot_root")) & _may_link("n", "cap", "nb", "cap_b")) \
             .select(F.col("node").alias("a"), "b").distinct()
-        if measured is not None:
-            pairs = pairs.join(measured.select("a", "b"), ["a", "b"], "left_anti")
+        if turn:
+            pairs = _unmeasured(pairs, measured)
         found = materialize(linked(pairs, texts))
-        measured = found if measured is None else measured.unionByName(found)
-        fresh = found.where(F.col("shared") * 100 >= F.col("total") * PERCENT).select("a", "b")
-        links = fresh if links is None else links.unionByName(fresh)
+        measured = measured.unionByName(found) if turn else found
+        fresh_links = found.where(F.col("shared") * 100 >= F.col("total") * PERCENT).select("a", "b")
+        links = links.unionByName(fresh_links) if turn else fresh_links
         todo = materialize(_labelled(region, links))
         if todo.isEmpty():
             return links
     return links.unionByName(_rest(todo, measured, texts))
 
 
+def _unmeasured(pairs: DataFrame, measured: DataFrame) -> DataFrame:
+    done = measured.select("a", "b").unionByName(measured.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(done, ["a", "b"], "left_anti")
+
+
 def _rest(todo: DataFrame, measured: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between members of a region in different components, pair by pair within the windows."""
-    parts = todo.groupBy("cell", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    one = todo.select("cell", F.col("node").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    parts = todo.groupBy("cell", "root").agg(F.min("n").alias("least"), F.max("cap").alias("most"))
+    one = todo.select("cell", F.col("node").alias("a"), F.col("n").alias("na"), F.col("cap").alias("cap_a"), F.col("root").alias("ra"))
     # each member goes to the later components of its regions, and there meets those of fitting size
-    toward = one.join(parts, "cell").where((F.col("root") > F.col("ra")) & (F.col("na") * 100 >= F.col("least") * PERCENT)
-                                           & (F.col("most") * 100 >= F.col("na") * PERCENT)).drop("least", "most")
-    other = todo.select("cell", F.col("node").alias("b"), F.col("n").alias("nb"), "root")
-    pairs = toward.join(other, ["cell", "root"]).where(_may_link("na", "nb")).select("a", "b").distinct()
-    done = measured.select("a", "b").unionByName(measured.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    pairs = pairs.join(done, ["a", "b"], "left_anti")
+    toward = one.join(parts, "cell").where((F.col("root") > F.col("ra")) & _may_link("na", "cap_a", "least", "most")).drop("least", "most")
+    other = todo.select("cell", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cap").alias("cap_b"), "root")
+    pairs = _unmeasured(toward.join(other, ["cell", "root"]).where(_may_link("na", "cap_a", "nb", "cap_b")).select("a", "b").distinct(), measured)
     # triangle inequality: distances to a common pivot may differ by at most 0.2
     far = (F.lit(1.0) - F.col("shared") / F.col("total"))
     to_pivot = measured.select(F.col("a").alias("x"), F.col("b").alias("pivot"), far.alias("d"))
