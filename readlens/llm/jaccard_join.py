@@ -41,10 +41,12 @@ from readlens.llm.common import (SPACE_SEPARATED, Words, broadcast_value, fixed_
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Counters of the rarity table, in this many slices.
-RARITY_CELLS, SLICES = 1 << 23, 64
+RARITY_CELLS, SLICES = 1 << 22, 64
 #: Cells of at most this many members are known by their members, so that equal cells are joined once.
 SMALL_CELL = 64
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 1
+#: Rows of cells, links and labels in one partition; their tables are far smaller than the texts.
+PART_ROWS = 200_000
 #: Partners compared with a text in one group.
 PARTNERS = 1000
 
@@ -109,8 +111,6 @@ def cells(docs: DataFrame) -> DataFrame:
                 size = n - (-(-PERCENT * n // 100)) + 1
                 order = np.lexsort((s, often))[:size]
                 cap = (((100 + PERCENT) * (n - np.arange(size)) - PERCENT * n) // PERCENT).astype(np.int32)
-                shared = often[order] > 1  # counted once: nobody else has it
-                order, cap = order[shared], cap[shared]
                 shingles.append(s[order])
                 nodes.append(np.full(len(order), node, dtype=np.int64))
                 sizes.append(np.full(len(order), n, dtype=np.int32))
@@ -200,6 +200,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     A task holds the set of one b and reads its partners past it; a b with many partners is dealt, with its text,
     over several groups."""
     pairs = materialize(pairs)
+    pairs = pairs.coalesce(_parts(pairs.count()))
     groups = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("long").alias("groups"))
     partners = pairs.join(groups, "b").select("b", F.pmod(F.xxhash64("a"), F.col("groups")).alias("part"), F.col("a").alias("node"))
     own = groups.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("part"), F.col("b").alias("node"))
@@ -223,8 +224,13 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return placed.select("b", "node", "partner", "text").mapInArrow(compare, "a long, b long, shared long, total long")
 
 
+def _parts(rows: int) -> int:
+    return max(1, -(-rows // PART_ROWS))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, root) for the nodes of ``edges`` (a, b) but the roots, the least of each component: large-star and small-star steps until nothing changes."""
+    """(node, root) for the nodes of ``edges`` (a, b) but the roots, the least of each component: large-star and
+    small-star steps until nothing changes."""
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
@@ -239,11 +245,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     mark = None
     while True:
-        e = materialize(star(star(e, True), False))
         now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40)))).first())
-        if now == mark:
+        if now == mark or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        mark = now
+        mark, parts = now, _parts(now[0])
+        e = materialize(star(star(e.coalesce(parts), True).coalesce(parts), False).coalesce(parts))
 
 
 def _labelled(region: DataFrame, links: DataFrame) -> DataFrame:
@@ -269,8 +275,9 @@ def _with_partners(region: DataFrame) -> DataFrame:
 def links_between(docs: DataFrame) -> DataFrame:
     """(a, b): links between classes that connect every two classes that any links connect."""
     region = materialize(_with_partners(_with_partners(cells(docs))))
+    region = region.coalesce(parts := _parts(region.count()))
     degree = region.groupBy("node").agg(F.count(F.lit(1)).alias("cells"))
-    region = materialize(region.join(degree, "node"))
+    region = materialize(region.join(degree, "node").coalesce(parts))
     texts = stored(texts_of(docs, degree.select("node")), "jaccard-texts")
     links, measured, todo = None, None, region.withColumn("root", F.col("node"))
     for turn in range(PIVOT_ROUNDS):
@@ -283,14 +290,14 @@ def links_between(docs: DataFrame) -> DataFrame:
             .select(F.col("node").alias("a"), "b").distinct()
         if turn:
             pairs = _unmeasured(pairs, measured)
-        found = materialize(linked(pairs, texts))
+        found = materialize(linked(pairs, texts)).coalesce(parts)
         measured = measured.unionByName(found) if turn else found
         fresh_links = found.where(F.col("shared") * 100 >= F.col("total") * PERCENT).select("a", "b")
         links = links.unionByName(fresh_links) if turn else fresh_links
-        todo = materialize(_labelled(region, links))
+        todo = materialize(_labelled(region, links)).coalesce(parts)
         if todo.isEmpty():
             return links
-    return links.unionByName(_rest(todo, measured, texts))
+    return links.unionByName(materialize(_rest(todo, measured, texts)).coalesce(parts))
 
 
 def _unmeasured(pairs: DataFrame, measured: DataFrame) -> DataFrame:

@@ -109,8 +109,10 @@ def test_components_of_families(spark, monkeypatch):
     want = brute_components(rows)
     assert len({c for *_, c in want}) < len(want)
     assert rows_of(jaccard_join.components(table(spark, rows)), "doc_id", "n_shingles", "component_id") == want
-    monkeypatch.setattr(jaccard_join, "SMALL_CELL", 3)  # cells that pass through, and no pivots after the first
-    monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", 1)
+    monkeypatch.setattr(jaccard_join, "SMALL_CELL", 3)  # cells that pass through, and more pivots
+    monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", 3)
+    monkeypatch.setattr(jaccard_join, "PARTNERS", 7)
+    monkeypatch.setattr(jaccard_join, "PART_ROWS", 50)
     assert rows_of(jaccard_join.components(table(spark, rows)), "doc_id", "n_shingles", "component_id") == want
 
 
