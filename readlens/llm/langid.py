@@ -38,16 +38,20 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
-    """(lang, text, h): the same number of documents of each label, by the hash of the text's id."""
+    """(lang, text, h): the same number of documents of each label, as a hash of them falls."""
     usable = only(docs, "doc_id", "text", "lang").where(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    labels = usable.select("lang").distinct().count()
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    labels = counts.count()
     if not labels:
         return usable.select("lang", "text", F.lit(0).cast("long").alias("h")).limit(0)
-    h = F.xxhash64(F.col("doc_id"), F.lit("langid"))
+    each = max(1, limit // labels)
+    # first about four times the rows that are wanted of each label, by the hash, so that ranking them is bounded
+    h = F.xxhash64("doc_id", "text", F.lit("langid"))
+    some = usable.join(counts, "lang").withColumn("h", h).where(
+        F.shiftrightunsigned("h", 33) * F.col("rows") < F.lit(float(4 * each) * (1 << 31)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
-    return usable.select("doc_id", "lang", "text", h.alias("h")).withColumn("rank", rank) \
-        .where(F.col("rank") <= max(1, limit // labels)).select("lang", "text", "h")
+    return some.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text", "h")
 
 
 class ByteCNN:
