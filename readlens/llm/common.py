@@ -73,7 +73,7 @@ def string_batch(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]: offsets[-1]], offsets - offsets[0]
 
 
-def row_slices(offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def row_slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes of text each (one row at least)."""
     i, n = 0, len(offsets) - 1
     while i < n:

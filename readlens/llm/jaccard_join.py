@@ -85,10 +85,8 @@ def rarity(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(RARITY_CELLS, dtype=np.uint32)
         for batch in batches:
-            sets = [s for s in shingle_sets(batch.column(1)) if len(s)]
-            if sets:
-                at = (np.concatenate(sets) & np.uint64(RARITY_CELLS - 1)).astype(np.int64)
-                total += np.bincount(at, minlength=RARITY_CELLS).astype(np.uint32)
+            for s in shingle_sets(batch.column(1)):
+                np.add.at(total, (s & np.uint64(RARITY_CELLS - 1)).astype(np.int64), 1)
         yield packed_slices(total, SLICES)
 
     return fixed_size_sum(docs.mapInArrow(count, "slice int, packed binary"), np.uint32, SLICES)
