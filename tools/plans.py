@@ -37,11 +37,7 @@ def main():
     qs = queries()
     print("# Physical plans of the headline queries\n")
     print(f"Executed adaptive plans at `{sf}` on local[8], generated by `tools/plans.py`. Expression ids and")
-    print("file locations are stripped and long lines cut. Fixture tables are stored Parquet (see README).\n")
-    print("Note on `classify_attention`: the printed plan shows the threshold subquery once per threshold")
-    print("column (nested-field pruning makes four plan copies), but at run time the shuffles are shared:")
-    print("features alone complete 13 tasks at sf0.1, features + classification 15 tasks, the same as a")
-    print("one-row broadcast join (measured with the status tracker).\n")
+    print("file locations are stripped and long lines cut. Domain tables are derived in the plan (see README).\n")
     for name in HEADLINE:
         df = qs[name](spark, sf)
         df.write.format("noop").mode("overwrite").save()
