@@ -35,9 +35,9 @@ from readlens.llm.common import only, scratch_path
 
 END_ID = 1
 #: A block is closed when it holds this many ids.
-BLOCK_IDS = 2_000_000
+BLOCK_IDS = 1_000_000
 #: Pieces kept with their ids by each Python worker (about 170 bytes each); half go when it is full.
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 300_000
 
 
 # ---- Elias-Fano ----------------------------------------------------------------
