@@ -48,7 +48,8 @@ def training_sample(docs: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
     each = max(1, limit // labels)
     # first about four times the rows that are wanted of each label, by the hash, so that ranking them is bounded
     h = F.xxhash64("doc_id", "text", F.lit("langid"))
-    some = usable.join(counts, "lang").withColumn("h", h).where(
+    few = F.broadcast(counts) if labels <= limit else counts  # a checked number of rows, and a join beyond it
+    some = usable.join(few, "lang").withColumn("h", h).where(
         F.shiftrightunsigned("h", 33) * F.col("rows") < F.lit(float(4 * each) * (1 << 31)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
     return some.withColumn("rank", rank).where(F.col("rank") <= each).select("lang", "text", "h")
