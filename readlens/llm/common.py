@@ -152,11 +152,13 @@ def fixed_size_sum(partials: DataFrame, dtype: type, slices: int, how: str = "su
                                           "packed": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
     rows = partials.groupBy("slice").applyInArrow(add, "slice int, packed binary").collect()  # `slices` rows at most
-    by = {r["slice"]: np.frombuffer(zlib.decompress(r["packed"]), dtype=dtype) for r in rows}
-    if not by:
-        return np.zeros(0, dtype=dtype)
-    width = len(next(iter(by.values())))
-    return np.concatenate([by.get(i, np.zeros(width, dtype=dtype)) for i in range(slices)])
+    out = None
+    for r in rows:
+        part = np.frombuffer(zlib.decompress(r["packed"]), dtype=dtype)
+        if out is None:
+            out = np.zeros(len(part) * slices, dtype=dtype)
+        out[r["slice"] * len(part): (r["slice"] + 1) * len(part)] = part
+    return np.zeros(0, dtype=dtype) if out is None else out
 
 
 def packed_slices(total: np.ndarray, slices: int) -> pa.RecordBatch:
