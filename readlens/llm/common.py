@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from readlens.plans.materialize import materialize, scratch_path
 
-__all__ = ["read", "only", "fresh", "materialize", "scratch_path", "mix", "string_batch", "row_slices", "Words", "SPACE_SEPARATED",
-           "ALNUM_WORDS", "LOWER", "fixed_size_sum", "packed_slices", "stored", "broadcast_value", "membership", "maybe_in", "within"]
+__all__ = ["U", "read", "only", "fresh", "materialize", "scratch_path", "mix", "string_batch", "row_slices", "Words", "SPACE_SEPARATED",
+           "ALNUM_WORDS", "LOWER", "fixed_size_sum", "packed_slices", "stored", "broadcast_value", "range_hashes", "membership", "maybe_in", "within"]
 
 U = np.uint64
 
@@ -83,6 +83,16 @@ def row_slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int,
         i = j
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges that aren't empty."""
+    n = len(data)
+    up, down = _powers(n + 1)
+    run = np.cumsum(_BYTE_VALUE[data] * up[:n], dtype=U)
+    total = run[ends - 1]
+    total -= np.where(starts > 0, run[starts - 1], U(0))
+    return mix(total * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+
+
 class Words:
     """The words of some texts: byte ranges, 64-bit hashes and first word of each text."""
 
@@ -98,11 +108,7 @@ class Words:
         end[:-1] &= ~inside[1:] | edge[1:n]
         self.starts = np.flatnonzero(begin)
         self.ends = np.flatnonzero(end) + 1
-        up, down = _powers(n + 1)
-        run = np.cumsum(_BYTE_VALUE[self.data] * up[:n], dtype=U)
-        total = run[self.ends - 1]
-        total -= np.where(self.starts > 0, run[self.starts - 1], U(0))
-        self.hashes = mix(total * down[self.starts] + (self.ends - self.starts).astype(U) * U(0xD6E8FEB86659FD93))
+        self.hashes = range_hashes(self.data, self.starts, self.ends)
         self.first = np.searchsorted(self.starts, offsets)  # of each text; one more entry than texts
 
     def text(self, a: int, b: int) -> bytes:

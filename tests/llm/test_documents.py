@@ -319,6 +319,31 @@ def test_quality_cases(spark):
     assert quality.classify(table(spark, []), labels).count() == 0
 
 
+def test_quality_evidence_grows_with_trusted_words(spark):
+    """Shuffled words of a script with no letters of its own class are told from the trusted order of words."""
+    r = np.random.default_rng(8)
+    words = ["".join(chr(0x430 + int(c)) for c in r.integers(0, 32, 6)) for _ in range(60)]
+    follow = {w: words[(i * 7 + 3) % 60] for i, w in enumerate(words)}
+
+    def chain(seed):
+        out = [words[seed % 60]]
+        while len(out) < 80:
+            out.append(follow[out[-1]])
+        return out
+
+    rows = [(i, " ".join(chain(i)), "ru", "a", 0) for i in range(200)]
+    rows += [(1000 + i, " ".join(r.permutation(chain(i))), "ru", "a", 0) for i in range(20)]
+    rows += [(2000 + i, " ".join(chain(i)), "ru", "a", 0) for i in range(20)]
+    labels = spark.createDataFrame([(i, 1) for i in range(200)], "doc_id long, quality int")
+    keep = {x.doc_id: x.keep for x in quality.classify(table(spark, rows), labels).collect()}
+    assert len(keep) == 240 and not any(keep[1000 + i] for i in range(20))
+    assert all(keep[2000 + i] for i in range(20))
+    few = quality.count_pairs(spark.createDataFrame([(0, "a 1 a 1"), (0, "a 2 本本")], "half int, text string"), quality.spelling(
+        spark.createDataFrame([(0, "a 1")], "half int, text string")))
+    # start a, a 1, 1 a, 1 end; start a, a 2, 2 本, 本 本, 本 end
+    assert sorted(x.n for x in few.collect()) == [1, 1, 1, 1, 1, 1, 2, 2]
+
+
 # ---- line dedup ----------------------------------------------------------------------
 def brute_lines(rows, least=50):
     order = sorted({(i is None, i or 0, t) for i, t, *_ in rows if t is not None}, key=lambda x: x[:2])
