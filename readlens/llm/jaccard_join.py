@@ -17,6 +17,10 @@ A cell is then joined around pivots:
    0.8, and never if both are connected already.  The rest recurses around the next pivots, and what is still
    unconnected after ``PIVOT_ROUNDS`` rounds is compared pair by pair within those windows.
 
+Those links connect all that any links connect.  Every link lies within a component, so a second pass finds all of
+them: members of a component are dealt to blocks by set size, and blocks whose sizes allow 0.8 are compared with each
+other, members by members, in one task each; only links leave it.
+
 Equal shingle sets are one class from the start, known by a 64-bit hash of the set (among N different sets
 about N**2 / 2**65 pairs share one by chance), and never meet as pairs.  Classes, cells, pairs, links and
 components stay distributed; the driver sees scalars and two arrays of fixed size.
@@ -49,6 +53,10 @@ PIVOT_ROUNDS = 1
 PART_ROWS = 200_000
 #: Partners compared with a text in one group.
 PARTNERS = 1000
+#: Members of a component in one block.
+BLOCK = 256
+#: Sizes of linked sets differ by a factor of 1.25 at most: the same or the next step of this one.
+SIZE_STEP = 1.26
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
@@ -270,12 +278,14 @@ def _with_partners(region: DataFrame) -> DataFrame:
     return region.join(fit, "cell").where("members > 1 and cap >= least and n <= most").select("cell", "node", "n", "cap")
 
 
-def links_between(docs: DataFrame) -> DataFrame:
-    """(a, b): links between classes that connect every two classes that any links connect."""
+def _connecting(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links (a, b) that connect every two classes that any links connect; (node, n) and (node, text) of all classes
+    that may have links."""
     region = materialize(_with_partners(_with_partners(cells(docs))))
     region = region.coalesce(parts := _parts(region.count()))
     degree = region.groupBy("node").agg(F.count(F.lit(1)).alias("cells"))
     region = materialize(region.join(degree, "node").coalesce(parts))
+    sizes = region.groupBy("node").agg(F.first("n").alias("n"))
     texts = stored(texts_of(docs, degree.select("node")), "jaccard-texts")
     links, measured, todo = None, None, region.withColumn("root", F.col("node"))
     for turn in range(PIVOT_ROUNDS):
@@ -294,8 +304,89 @@ def links_between(docs: DataFrame) -> DataFrame:
         links = links.unionByName(fresh_links) if turn else fresh_links
         todo = materialize(_labelled(region, links)).coalesce(parts)
         if todo.isEmpty():
-            return links
-    return links.unionByName(materialize(_rest(todo, measured, texts)).coalesce(parts))
+            return links, sizes, texts
+    return links.unionByName(materialize(_rest(todo, measured, texts)).coalesce(parts)), sizes, texts
+
+
+def _all_links(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, shared, total): every link once, a < b."""
+    others = connected_components(connecting)
+    nodes = others.unionByName(others.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "node") \
+        .withColumn("step", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))))
+    parts = nodes.groupBy("root", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts"))
+    placed = nodes.join(parts, ["root", "step"]).select("root", "node", F.struct("step", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).alias("own"))
+    near = parts.select("root", F.explode(F.array(*(F.col("step") + i for i in (-1, 0, 1)))).alias("beside"), F.col("step").alias("other_step"), "parts")
+    met = placed.withColumn("beside", F.col("own.step")).join(near, ["root", "beside"]) \
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    other = F.struct(F.col("other_step").alias("step"), F.col("part"))
+    rows = met.select("root", F.least("own", other).alias("lo"), F.greatest("own", other).alias("hi"), "node", "own") \
+        .select(F.xxhash64("root", "lo", "hi").alias("block"), "root", "lo", "hi", (F.col("own") == F.col("lo")).alias("first"), "node",
+                (F.col("lo") == F.col("hi")).alias("within"))
+    rows = rows.join(texts, "node").repartition("block").sortWithinPartitions("block", "root", "lo", "hi", "first", "node")
+    keys = [F.col("root"), *(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in ("lo", "hi") for y in ("step", "part"))]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come block by block; a block's sets are held until it ends."""
+        names = ["a", "b", "shared", "total"]
+        key, held = None, []
+        for batch in batches:
+            found = []
+            firsts, nodes, withins = (batch.column(i).to_pylist() for i in (5, 6, 7))
+            for *now, first, node, within, s in zip(*(batch.column(i).to_pylist() for i in range(5)), firsts, nodes, withins, shingle_sets(batch.column(8)), strict=True):
+                if now != key:
+                    found += _links_of(held)
+                    key, held = now, []
+                held.append((first, node, within, s))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (list(zip(*found)) or [()] * 4)], names=names)
+        found = _links_of(held)
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=names)
+
+    return rows.select(*keys, "first", "node", "within", "text").mapInArrow(compare, "a long, b long, shared long, total long")
+
+
+def _links_of(rows: list[tuple[bool, int, bool, np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
+    """Links within a block, or between the rows of one and of another."""
+    within = bool(rows) and rows[0][2]
+    one = rows if within else [r for r in rows if r[0]]
+    two = rows if within else [r for r in rows if not r[0]]
+    if len(one) < 1 + within or not two:
+        return []
+    _, ids = np.unique(np.concatenate([r[3] for r in (one if within else one + two)]), return_inverse=True)
+    size = np.array([len(r[3]) for r in two])
+    nodes = np.array([r[1] for r in two], dtype=np.int64)
+    ends = np.cumsum([len(r[3]) for r in one])
+    partners = ids if within else ids[ends[-1]:]
+    start = np.cumsum(size) - size
+    mark, out = np.zeros(ids.max() + 1, dtype=bool), []
+    for i, (_, node, _, s) in enumerate(one):
+        skip = i + 1 if within else 0
+        if skip == len(two):
+            break
+        mine = ids[ends[i] - len(s): ends[i]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[partners[start[skip]:]], start[skip:] - start[skip], dtype=np.int64)
+        mark[mine] = False
+        total = len(s) + size[skip:] - both
+        found = np.flatnonzero(both * 100 >= total * PERCENT)
+        if len(found):
+            to = nodes[skip:][found]
+            out.append((np.minimum(to, node), np.maximum(to, node), both[found], total[found]))
+    return out
+
+
+def links_between(docs: DataFrame) -> DataFrame:
+    """(a, b, shared, total): all links between classes, a < b, with the sizes of intersection and union."""
+    return _all_links(*_connecting(only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+
+
+def linked_pairs(docs: DataFrame) -> DataFrame:
+    """(doc_a, doc_b, similarity): all links between different texts; each text stands under its smallest doc_id."""
+    rows = members(only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    first = materialize(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    return links_between(docs).join(first.select(F.col("node").alias("a"), F.col("doc_id").alias("of_a")), "a") \
+        .join(first.select(F.col("node").alias("b"), F.col("doc_id").alias("of_b")), "b") \
+        .select(F.least("of_a", "of_b").alias("doc_a"), F.greatest("of_a", "of_b").alias("doc_b"), (F.col("shared") / F.col("total")).alias("similarity"))
 
 
 def _unmeasured(pairs: DataFrame, measured: DataFrame) -> DataFrame:
@@ -321,11 +412,12 @@ def _rest(todo: DataFrame, measured: DataFrame, texts: DataFrame) -> DataFrame:
     return linked(left, texts).where(F.col("shared") * 100 >= F.col("total") * PERCENT).select("a", "b")
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def components(docs: DataFrame, count_links: bool = True) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and, unless not asked for,
+    n_links (different texts that its text is linked with)."""
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(members(docs))
-    links = links_between(docs)
+    links, sizes, texts = _connecting(docs)
     # rows that share a doc_id link their classes
     same = rows.where("node is not null and doc_id is not null").select("doc_id", "node").distinct()
     least = same.groupBy("doc_id").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -335,13 +427,19 @@ def components(docs: DataFrame) -> DataFrame:
         .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per_root = first.groupBy("root").agg(F.min("first").alias("component_id"))
     named = first.join(per_root, "root").select("node", "component_id")
-    with_set = rows.where("node is not null").join(named, "node").select("doc_id", "n", "component_id")
-    empty = rows.where("node is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return with_set.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    if count_links:
+        every = _all_links(links, sizes, texts)
+        degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        named = named.join(degree, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        out.append("n_links")
+    with_set = rows.where("node is not null").join(named, "node").select(*out)
+    empty = rows.where("node is null").withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long"))
+    return with_set.unionByName(empty.select(*out))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` (all columns) with one document of each group: the one with the smallest doc_id."""
     name = fresh(docs, "first_id")
-    first = components(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    first = components(docs, count_links=False).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(first, docs["doc_id"] == first[name], "left_semi")

@@ -124,6 +124,27 @@ def test_components_empty_and_stage(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == first
 
 
+def test_all_links(spark, monkeypatch):
+    base = " ".join(f"b{i}" for i in range(60))
+    texts = [" ".join([base, *(f"t{i}x{k}" for k in range(i % 14))]) for i in range(40)] + family(6, 200, 20, 0.4)
+    texts.append(texts[3])  # a copy: no text of its own
+    sets = [shingles(t) for t in texts]
+    first = {}
+    for i, s in enumerate(sets):
+        first.setdefault(frozenset(s), i)
+    own = sorted(first.values())
+    want = {(a, b) for a in own for b in own if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    docs = table(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])
+    degree = collections.Counter(x for pair in want for x in pair)
+    assert len(want) > 5 * len(own)
+    for block in (256, 3):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = [(r.doc_a, r.doc_b) for r in jaccard_join.linked_pairs(docs).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        counts = {r.doc_id: r.n_links for r in jaccard_join.components(docs).collect()}
+        assert counts == {i: degree[first[frozenset(s)]] for i, s in enumerate(sets)}
+
+
 def test_connected_components(spark):
     r = np.random.default_rng(4)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (200, 2))] + [(1000 + i, 1001 + i) for i in range(60)]
