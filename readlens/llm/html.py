@@ -4,7 +4,8 @@ Every page is parsed into a tree.  Each box (a ``div``, ``nav``, ``section``, li
 the article itself) is hashed with all that it contains; Spark counts, per host, on how many pages each hash occurs; a
 box that recurs on many pages of its host is a template and is deleted wherever it occurs on that host.  Boxes whose
 tag, class, id or role says what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments) go
-as well, so that hosts with few pages come out clean too.  Plain blocks of prose (paragraphs, headings, quotations)
+as well, so that hosts with few pages come out clean too.  Pages of a host with equal main text count once, so that a
+box around the text of copies isn't taken for a template.  Plain blocks of prose (paragraphs, headings, quotations)
 are never templates: copies of one article on a host stay whole.
 
 What is left of the article (of the main element, or the body, where there is no article) is the text: character
@@ -209,14 +210,19 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
 
     def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
+            hosts, found, contents = [], [], []
             for url, markup in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {b for b in Page(markup or "").boxes if b is not None}
+                page = Page(markup or "")
+                own = {b for b in page.boxes if b is not None}
+                main = "\x00".join(t for t, _ in page.kept()).encode("utf-8", "replace")
+                contents += [hashlib.blake2b(main, digest_size=16).digest()] * (len(own) + 1)
                 hosts += [host_of(url)] * (len(own) + 1)
                 found += [None, *own]  # null counts the page itself
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], names=["host", "box"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(contents, pa.binary())],
+                                             names=["host", "box", "content"])
 
-    seen = only(pages, "url", "html").mapInArrow(boxes, "host string, box long").groupBy("host", "box").agg(F.count(F.lit(1)).alias("n"))
+    rows = only(pages, "url", "html").mapInArrow(boxes, "host string, box long, content binary").distinct()
+    seen = rows.groupBy("host", "box").agg(F.count(F.lit(1)).alias("n"))
     often = seen.where(F.col("box").isNull() | (F.col("n") >= min_pages))
     whole = often.where("box is null").select("host", F.col("n").alias("pages"))
     return often.where("box is not null").join(whole, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "box")

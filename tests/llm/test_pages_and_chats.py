@@ -46,6 +46,16 @@ def test_templates_recur_on_their_host(spark):
     assert html.extract(pages.where("false")).count() == 0
 
 
+def test_copies_in_a_box_stay_whole(spark):
+    copy = "<article><div class=body><p>one article</p><p>copied often</p></div></article>"
+    box = "<div><p>Sign our petition today</p></div>"
+    rows = [page("d.example", i, copy) for i in range(12)]
+    rows += [page("e.example", 100 + i, f"<body><p>own {i // 2}</p>{box}</body>") for i in range(12)]
+    text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {text[i] for i in range(12)} == {"one article copied often"}
+    assert {text[100 + i] for i in range(12)} == {f"own {i}" for i in range(6)}
+
+
 def test_given_pages(spark):
     import html as H
     import re
