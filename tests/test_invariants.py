@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 from readlens.operators import attention as at
 from readlens.operators import context as cx
 from readlens.operators import genres as gn

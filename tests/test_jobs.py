@@ -6,7 +6,7 @@ import tempfile
 
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from readlens.__main__ import main as cli
 from readlens.operators import attention as at
 from readlens.plans import jobs

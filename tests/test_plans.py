@@ -3,7 +3,7 @@ partial aggregation before shuffles, semi joins where promised."""
 
 import pytest
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from readlens.operators import attention as at
 from readlens.operators import context as cx
 from readlens.operators import genres as gn
