@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlens.llm import chat, decontaminate, fingerprints, html, jaccard_join, langid, linededup, mixing, quality, tokens
+from readlens.llm import chat, decontaminate, fingerprints, html, jaccard_join, langid, linededup, mixing, prefixtrie, quality, tokens
 from readlens.llm.common import read
 
 
@@ -28,8 +28,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": lambda s, d: linededup.dedup_lines(read(s, d, "documents")),
         "op9_token_ids": lambda s, d: tokens.token_id_output(read(s, d, "documents"), token_path()),
         "op10_html_extract": lambda s, d: html.extract(read(s, d, "pages")),
+        "op11_prefix_trie": lambda s, d: prefixtrie.prefix_trie(read(s, d, "conversations")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op11_prefix_trie": prefixtrie.ORACLE_SQL,
+    }
