@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readlens.llm import chat, decontaminate, fingerprints, html, jaccard_join, langid, linededup, mixing, prefixtrie, quality, tokens
+from readlens.llm import chat, decontaminate, divergence, fingerprints, html, jaccard_join, langid, linededup, minhash, mixing, prefixtrie, quality, tokens
 from readlens.llm.common import read
 
 
@@ -29,10 +29,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_ids": lambda s, d: tokens.token_id_output(read(s, d, "documents"), token_path()),
         "op10_html_extract": lambda s, d: html.extract(read(s, d, "pages")),
         "op11_prefix_trie": lambda s, d: prefixtrie.prefix_trie(read(s, d, "conversations")),
+        "op12_minhash_dedup": lambda s, d: minhash.near_duplicates(read(s, d, "documents")),
+        "op13_source_divergence": lambda s, d: divergence.divergence(read(s, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op11_prefix_trie": prefixtrie.ORACLE_SQL,
+        "op13_source_divergence": divergence.ORACLE_SQL,
     }
