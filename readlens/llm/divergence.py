@@ -15,7 +15,7 @@
 All arithmetic is exact: shares come from 38-digit decimals, since counts times 10**9 can pass 64 bits, and all later
 values fit a long (p is 10**9 + 1 at most).
 
-Terms are ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased; a language keeps those in at least ``MIN_DOCS`` of its
+Terms are ``[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+`` with A-Z lower-cased, found in the UTF-8 bytes; a language keeps those in at least ``MIN_DOCS`` of its
 documents.
 
 Cases: null text, lang and source are empty strings, and so group with those; a text without terms still makes its
@@ -26,7 +26,6 @@ one without kept terms has pair values 0 and no term rows; an empty table gives
 from __future__ import annotations
 
 import hashlib
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -36,24 +35,24 @@ from pyspark.sql import functions as F
 
 from readlens.llm.common import materialize, only
 
-TERM = re.compile("[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
-_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 MIN_DOCS, TOP_TERMS, SCALE = 10, 10, 1_000_000_000
-#: Bytes of distinct texts a task folds before it hands them on, terms it adds up, and characters tokenized at once.
+#: Bytes of distinct texts a task folds before it hands them on, terms it adds up, and bytes tokenized at once.
 FOLDED, HELD, SLICE = 8 << 20, 200_000, 1 << 20
+#: UTF-8 bytes of a text with A-Z lower-cased and a space for each byte that is not part of a term.
+_BYTES = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
-def term_counts(text: str) -> Counter:
-    """Occurrences of each term of a text."""
+def term_counts(text: bytes) -> Counter:
+    """Occurrences of each term of a text in UTF-8."""
     if len(text) <= SLICE:
-        return Counter(TERM.findall(text.translate(_LOWER)))
+        return Counter(text.translate(_BYTES).split())
     out: Counter = Counter()
     at = 0
     while at < len(text):
         end = min(len(text), at + SLICE)
-        if end < len(text) and (last := TERM.match(text, end)) and TERM.match(text, end - 1):
-            end = last.end()  # not within a term
-        out.update(TERM.findall(text[at:end].translate(_LOWER)))
+        while end < len(text) and _BYTES[text[end]] != 0x20:  # not within a term
+            end += 1
+        out.update(text[at:end].translate(_BYTES).split())
         at = end
     return out
 
@@ -73,8 +72,8 @@ def collapsed(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            for i, (lang, source) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                text = texts[i].as_py()
+            for lang, source, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
+                text = body.as_py()
                 key = (lang, hashlib.blake2b(text, digest_size=16).digest())
                 if key not in held:
                     held[key] = (text, Counter())
@@ -97,8 +96,7 @@ def _added_up(folded: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple[str, str], Counter] = {}
         docs: dict[tuple[str, str], Counter] = {}
-        now, text, by_source = None, "", Counter()
-        held = 0
+        now, text, by_source = None, b"", Counter()
 
         def close() -> int:
             """Adds the text at hand to the sums; returns the number of sums."""
@@ -107,33 +105,34 @@ def _added_up(folded: DataFrame) -> DataFrame:
             terms = term_counts(text)
             for source, times in by_source.items():
                 all_n, all_docs = n.setdefault((now[0], source), Counter()), docs.setdefault((now[0], source), Counter())
-                all_docs[""] += times
+                all_docs[b""] += times
                 if times == 1:
                     all_n.update(terms)
-                    all_docs.update(terms.keys())
+                    all_docs.update(list(terms))
                 else:
                     all_n.update({t: c * times for t, c in terms.items()})
                     all_docs.update(dict.fromkeys(terms, times))
             return sum(map(len, docs.values()))
 
-        def out() -> pa.RecordBatch:
-            rows = [(lang, source, t, n[lang, source][t], k) for (lang, source), terms in docs.items() for t, k in terms.items()]
+        def out() -> Iterator[pa.RecordBatch]:
+            for (lang, source), terms in docs.items():
+                counts = n[lang, source]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(list(terms), pa.binary()).cast(pa.string()),
+                    pa.array([counts[t] for t in terms], pa.int64()), pa.array(list(terms.values()), pa.int64())], names=["lang", "source", "term", "n", "docs"])
             n.clear()
             docs.clear()
-            columns = zip(*rows, strict=True) if rows else [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.string()] * 3 + [pa.int64()] * 2, strict=True)],
-                                              names=["lang", "source", "term", "n", "docs"])
 
         for batch in batches:
-            for lang, key, body, sources, times in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            texts = batch.column(2).cast(pa.binary())
+            for lang, key, body, sources, times in zip(*(batch.column(i).to_pylist() for i in (0, 1)), texts, *(batch.column(i).to_pylist() for i in (3, 4)), strict=True):
                 if (lang, key) != now:
-                    held = close()
-                    if held > HELD:
-                        yield out()
-                    now, text, by_source = (lang, key), body, Counter()
+                    if close() > HELD:
+                        yield from out()
+                    now, text, by_source = (lang, key), body.as_py(), Counter()
                 by_source.update(dict(zip(sources, times, strict=True)))
         close()
-        yield out()
+        yield from out()
 
     return folded.mapInArrow(count, "lang string, source string, term string, n long, docs long")
 
@@ -151,16 +150,18 @@ def _apart(p: str, q: str) -> Column:
 
 def divergence(docs: DataFrame) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank (module docstring)."""
-    partial = materialize(_added_up(collapsed(only(docs, "lang", "source", "text"))))
-    # one shuffle: the sums of a (lang, term) are few, at most one for each source once they are added up
-    sums = partial.groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    found = partial.where("term <> ''").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")) \
-        .where(F.col("docs") >= MIN_DOCS).select("lang", "term", "lang_n")
-    posted = materialize(sums.where("term <> ''").join(found, ["lang", "term"]).select("lang", "term", "source", "n", "lang_n"))
+    # one shuffle of the tasks' sums, which both the language's document counts and the rows of kept terms are read from:
+    # both read every column, so that they are taken from the same exchange and no text is tokenized twice
+    sums = _added_up(collapsed(only(docs, "lang", "source", "text"))).repartition("lang", "term")
+    found = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"), F.max(F.length("source")).alias("any")) \
+        .where(((F.col("docs") >= MIN_DOCS) | (F.col("term") == "")) & F.col("any").isNotNull()).select("lang", "term", "lang_n")
+    kept = materialize(sums.join(found.hint("shuffle_hash"), ["lang", "term"]).groupBy("lang", "term", "source")
+                       .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.max("lang_n").alias("lang_n")))
+    posted = kept.where("term <> ''")
     zero = F.lit(0).cast("long")
-    per_lang = found.groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
+    per_lang = posted.select("lang", "term", "lang_n").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("kept"), F.sum("lang_n").alias("lang_total"))
     in_source = posted.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("own"))
-    groups = partial.where("term = ''").select("lang", "source").distinct().join(per_lang, "lang", "left").join(in_source, ["lang", "source"], "left") \
+    groups = kept.where("term = ''").select("lang", "source").join(per_lang, "lang", "left").join(in_source, ["lang", "source"], "left") \
         .select("lang", "source", *(F.coalesce(c, zero).alias(c) for c in ("kept", "lang_total", "total", "own")))
     groups = materialize(groups.withColumn("p0", _share("0", "total", "kept")))
     shares = materialize(posted.join(groups, ["lang", "source"]).select(
