@@ -11,12 +11,13 @@ therefore evaluate each parse once per row: a parsed value that is NULL or out
 of range is kept as a NULL grouping key and that group is dropped *after* the
 aggregate (``count(key) > 0``).  A ``where`` on the parsed value would be
 pushed below the projection by the optimizer and parse the text again for
-every predicate.
+every predicate.  Where rows have to be filtered on a derived value after all,
+``settled`` keeps the filter above the derivation.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---------------------------------------------------------------------------
@@ -98,3 +99,14 @@ def four_digit_year(col: str | Column) -> Column:
 def share(numerator: str | Column, denominator: str | Column) -> Column:
     """numerator / denominator as double; NULL instead of an error on zero."""
     return F.try_divide(_c(numerator), _c(denominator))
+
+
+def settled(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` with ``cols`` (by default all) computed once per row: later filters on them stay above this point, and
+    later expressions read the values instead of repeating what they were computed from.
+
+    The columns pass through a one-element ``inline``, whose output the optimizer can't trace back; it runs inside the
+    generated code, without a shuffle.  The other columns can be pruned and filtered as before."""
+    names = list(cols) or df.columns
+    out = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*out, F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in names])))).select(*[F.col(f"`{c}`") for c in df.columns])

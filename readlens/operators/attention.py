@@ -18,7 +18,7 @@ Plan shape for the whole chain, at any scale:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readlens.functions.expr import (
@@ -29,7 +29,7 @@ from readlens.functions.expr import (
     trailing_year,
     yyyymm,
 )
-from readlens.operators.quantiles import exact_percentiles
+from readlens.operators.quantiles import exact_percentiles, sketch_percentiles
 
 CLASS_VIRAL = "viral"
 CLASS_TRADITIONAL = "traditional"
@@ -128,6 +128,25 @@ def peak_month(monthly: DataFrame, totals: DataFrame, id_col: str = "book_id") -
     )
 
 
+def top_months(
+    monthly: DataFrame, n: int = 3, ties: str = "first", id_col: str = "book_id"
+) -> DataFrame:
+    """book_id, yyyymm, n_month, rank — the ``n`` busiest months of every entity.
+
+    ``ties="first"`` keeps exactly n rows where there are as many, the earlier month first (row_number); ``"all"`` keeps
+    every month as busy as the n-th (rank: 1, 2, 2, 4); ``"dense"`` keeps the months of the n highest counts (1, 2, 2, 3).
+
+    The rank filter is a limit per group: Spark keeps n rows of an entity (or its ties) in each task before the shuffle,
+    so an entity with a great many months sends n rows a task, and the ranking after it sees few.  ``peak_month`` needs
+    no ranking at all for n = 1."""
+    kinds = {"first": F.row_number, "all": F.rank, "dense": F.dense_rank}
+    if ties not in kinds:
+        raise ValueError(f"unknown ties {ties!r}")
+    order = [F.col("n_month").desc()] + ([F.col("yyyymm").asc()] if ties == "first" else [])
+    ranked = monthly.select(id_col, "yyyymm", "n_month").withColumn("rank", kinds[ties]().over(Window.partitionBy(id_col).orderBy(*order)))
+    return ranked.where(F.col("rank") <= n)
+
+
 def attention_features(monthly: DataFrame, min_total: int = 1000, id_col: str = "book_id") -> DataFrame:
     """book_id, total_interactions, first_yyyymm, peak_yyyymm, peak_interactions,
     peak_share, time_to_peak_months — totals, first month and peak in one aggregate.
@@ -156,28 +175,37 @@ def quantile_thresholds(
     and time_to_peak_months, as doubles.  One row, or no row for empty input.
 
     ``relative_error=None`` is exact at every size, with bounded tables (``quantiles``): both columns are folded to
-    (column, value) -> count and ranked together.  ``0.001`` is a mergeable sketch with the error bound of
-    the original job; its state grows with 1 / relative_error only."""
+    (column, value) -> count and ranked together.  ``0.001`` is a rank-error sketch with the error bound of the
+    original job, merged in a tree; its state grows with 1 / relative_error only."""
     probs = {"low": 1.0 - q, "high": float(q)}
+    columns = {"ps": "peak_share", "ttp": "time_to_peak_months"}
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(k).alias("column"), F.col(c).cast("double").alias("value")) for k, c in columns.items()
+    ]))
+    values = feats.select(pairs.alias("x")).select("x.column", "x.value")
     if relative_error is None:
-        columns = {"ps": "peak_share", "ttp": "time_to_peak_months"}
-        pairs = F.explode(F.array(*[
-            F.struct(F.lit(k).alias("column"), F.col(c).cast("double").alias("value")) for k, c in columns.items()
-        ]))
-        dist = feats.select(pairs.alias("x")).groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("w"))
+        dist = values.groupBy("column", "value").agg(F.count(F.lit(1)).alias("w"))
         found = exact_percentiles(dist, ["column"], "value", "w", probs)
-        thresholds = [F.max(F.when(F.col("column") == k, F.col(p))).alias(f"{k}_{p}") for k in columns for p in probs]
-        return found.agg(F.count(F.lit(1)).alias("_n"), *thresholds).where(F.col("_n") > 0).drop("_n")
-    accuracy = max(1, int(round(1.0 / relative_error)))
-    both = [
-        F.percentile_approx(c, list(probs.values()), accuracy).alias(k)
-        for k, c in (("ps", "peak_share"), ("ttp", "time_to_peak_months"))
-    ]
-    return (
-        feats.agg(F.count(F.lit(1)).alias("_n"), *both)
-        .where(F.col("_n") > 0)
-        .select(*[F.col(k)[i].cast("double").alias(f"{k}_{p}") for k in ("ps", "ttp") for i, p in enumerate(probs)])
-    )
+    else:
+        found = sketch_percentiles(values, ["column"], "value", probs, relative_error)
+    thresholds = [F.max(F.when(F.col("column") == k, F.col(p))).alias(f"{k}_{p}") for k in columns for p in probs]
+    return found.agg(F.count(F.lit(1)).alias("_n"), *thresholds).where(F.col("_n") > 0).drop("_n")
+
+
+def threshold_rank_errors(feats: DataFrame, thresholds: DataFrame, q: float = 0.90) -> DataFrame:
+    """threshold, n, rank_error: how far the ranks of the given thresholds in ``feats`` are from those asked for, as a
+    share of the rows (0 where a value's ranks include the one asked for).  One pass over ``feats``."""
+    probs = {"low": 1.0 - q, "high": float(q)}
+    thr = thresholds.select(F.struct("ps_low", "ps_high", "ttp_low", "ttp_high").alias("t")).scalar()
+    asked = [(f"{k}_{p}", F.col(c).cast("double"), x) for k, c in (("ps", "peak_share"), ("ttp", "time_to_peak_months")) for p, x in probs.items()]
+    rows = feats.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("threshold"), (value < thr[name]).alias("below"), (value <= thr[name]).alias("upto"), F.lit(x).alias("p"))
+        for name, value, x in asked
+    ])).alias("r")).select("r.*")
+    counted = rows.groupBy("threshold", "p").agg(F.count(F.lit(1)).alias("n"), F.count_if("below").alias("below"), F.count_if("upto").alias("upto"))
+    rank = F.greatest(F.lit(1.0), F.ceil(F.col("n") * F.col("p")))
+    off = F.greatest(F.col("below") + 1 - rank, rank - F.col("upto"), F.lit(0.0))
+    return counted.select("threshold", "n", (off / F.col("n")).alias("rank_error"))
 
 
 def classify_attention(feats: DataFrame, thresholds: DataFrame) -> DataFrame:

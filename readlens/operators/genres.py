@@ -48,6 +48,23 @@ def _vote(df: DataFrame, struct_col: str, key: str) -> Column:
     raise TypeError(f"{struct_col} must be a struct or a map, got {dtype.simpleString()}")
 
 
+def votes_as_map(genres: DataFrame, struct_col: str = "genres") -> DataFrame:
+    """``genres`` with the struct of votes as ``map<string, bigint>``, by way of JSON: keys are the field names as they are
+    (commas and spaces too), absent votes have no entry, and counts above the int range stay whole.  A map column
+    is returned as it is, with bigint values."""
+    dtype = genres.schema[struct_col].dataType
+    if isinstance(dtype, T.MapType):
+        return genres.withColumn(struct_col, F.col(struct_col).cast("map<string,bigint>"))
+    if not isinstance(dtype, T.StructType):
+        raise TypeError(f"{struct_col} must be a struct or a map, got {dtype.simpleString()}")
+    return genres.withColumn(struct_col, F.from_json(F.to_json(struct_col), F.lit("map<string,bigint>")))
+
+
+def vote_of(genres: DataFrame, key: str, default: int = 0, struct_col: str = "genres") -> Column:
+    """Votes for ``key`` as bigint, ``default`` where a row has none (or no votes at all)."""
+    return F.coalesce(_vote(genres, struct_col, key), F.lit(default).cast("long"))
+
+
 def genre_votes(genres: DataFrame, id_col: str = "book_id", struct_col: str = "genres") -> DataFrame:
     """book_id, genre, votes — one row per present (non-NULL) vote count."""
     dtype = genres.schema[struct_col].dataType
@@ -76,10 +93,7 @@ def genre_membership(votes: DataFrame, thresh: int = 10, id_col: str = "book_id"
 
 
 def _pair_votes(genres: DataFrame, key_a: str, key_b: str, struct_col: str) -> tuple[Column, Column]:
-    return (
-        F.coalesce(_vote(genres, struct_col, key_a), F.lit(0).cast("long")),
-        F.coalesce(_vote(genres, struct_col, key_b), F.lit(0).cast("long")),
-    )
+    return vote_of(genres, key_a, struct_col=struct_col), vote_of(genres, key_b, struct_col=struct_col)
 
 
 def hybrid_membership(

@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readlens.functions.expr import settled
+
 
 def fold_series(df: DataFrame, year_col: str, value_col: str, genre_col: str = "genre") -> DataFrame:
     """genre, points: one row per genre with its (year, value) points in order of year.
@@ -86,10 +88,14 @@ def align_series_null(
 def align_series_zero(
     df: DataFrame, year_col: str, value_cols: Sequence[str], ymin: int, ymax: int
 ) -> DataFrame:
-    """year, *value_cols as double, missing or unparseable values as 0.0, years cropped."""
+    """year, *value_cols as double, missing or unparseable values as 0.0, years cropped.
+
+    The years are cut out of the finished rows: pushed below the aggregate that made them, the range would parse every
+    date of the log once more."""
     y = F.col(year_col).try_cast("int")
     return (
-        df.where(y.between(ymin, ymax))
+        settled(df.select(year_col, *value_cols))
+        .where(y.between(ymin, ymax))
         .select(
             y.alias(year_col),
             *[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) for c in value_cols],
@@ -105,8 +111,9 @@ def crop_years(
     empty result raises when it is computed.
 
     The check is part of the plan: a one-row aggregate that is filtered out unless there are no rows.  It takes the
-    maximum over all columns, so it reads the same exchange as the rows themselves."""
-    out = df.where(F.col(year_col).between(ymin, ymax))
+    maximum over all columns, so it reads the same exchange as the rows themselves.  The range is applied to the
+    finished rows, not to what they were computed from."""
+    out = settled(df).where(F.col(year_col).between(ymin, ymax))
     if require_rows:
         message = F.lit(f"No rows with {year_col} in [{ymin}, {ymax}]")
         none = out.agg(F.max(F.struct(*[F.col(f"`{c}`") for c in out.columns])).alias("any")).where(F.col("any").isNull())

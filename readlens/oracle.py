@@ -10,10 +10,26 @@ from __future__ import annotations
 
 from readlens.sources import fixtures as fx
 
-DRIVER_TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-    "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
-)
+# The driver tables' columns in their order (i int, l long, d double, s string, t timestamp, f floats).
+DRIVER_COLUMNS = {
+    "region": "i r_regionkey, s r_name",
+    "nation": "i n_nationkey, s n_name, i n_regionkey",
+    "customer": "l c_custkey, s c_name, i c_nationkey, d c_acctbal, s c_mktsegment",
+    "supplier": "l s_suppkey, s s_name, i s_nationkey, d s_acctbal",
+    "part": "l p_partkey, s p_name, s p_brand, s p_type, i p_size, d p_retailprice",
+    "orders": "l o_orderkey, l o_custkey, s o_orderstatus, d o_totalprice, t o_orderdate, s o_orderpriority",
+    "lineitem": "l l_orderkey, l l_partkey, l l_suppkey, i l_linenumber, d l_quantity, d l_extendedprice, d l_discount, d l_tax, "
+                "s l_returnflag, s l_linestatus, t l_shipdate",
+    "events": "l event_id, t ts, l user_id, s event_type, d value, s props",
+    "documents": "l doc_id, s text, s lang, s source, l n_chars",
+    "embeddings": "l vec_id, f embedding, i label",
+    "pages": "l page_id, s url, s html",
+    "benchmark": "l item_id, s text",
+    "labels": "l doc_id, i quality, i toxic",
+    "conversations": "l conv_id, l turn, s role, s text",
+}
+#: Between the common table expressions and the statement of a query that others build on.
+MARK = "/*rows*/"
 Q = fx.QUANTILE
 Q_LOW = 1.0 - fx.QUANTILE
 T = fx.HYBRID_THRESH
@@ -255,6 +271,23 @@ culprits AS (
   LIMIT {W_K})"""
 
 
+def _report_of(table: str, columns: str) -> str:
+    """A row of the dataset report: what DuckDB's own catalogue says of the table, and its first five rows as JSON."""
+    fields = [c.split() for c in columns.split(", ")]
+    cell = {"t": "strftime({c}, '%Y-%m-%dT%H:%M:%S.%f')", "f": "len({c})"}
+    pack = ", ".join(f"{c} := " + cell.get(k, "{c}").format(c=c) for k, c in fields)
+    kinds = {"INTEGER": "integer", "BIGINT": "long", "DOUBLE": "double", "VARCHAR": "string", "TIMESTAMP": "timestamp_ntz"}
+    kind = "CASE column_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in kinds.items()) + " ELSE 'array' END"
+    element = "CASE WHEN column_type = 'FLOAT[]' THEN ' |    |-- element: float (containsNull = true)' || chr(10) ELSE '' END"
+    return f"""
+        SELECT '{table}' AS name, 'parquet' AS format, 'ok' AS status, count(*) AS n_columns,
+               string_agg(column_name, ',' ORDER BY column_name) AS column_names,
+               'root' || chr(10) || string_agg(' |-- ' || column_name || ': ' || {kind} || ' (nullable = true)' || chr(10) || {element}, '' ORDER BY k) AS schema,
+               (SELECT '[' || string_agg(j, ',' ORDER BY k) || ']'
+                FROM (SELECT row_number() OVER () AS k, CAST(to_json(struct_pack({pack})) AS VARCHAR) AS j FROM (SELECT * FROM {table} LIMIT 5))) AS sample
+        FROM (SELECT row_number() OVER () AS k, * FROM (DESCRIBE {table}))"""
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(ctes) + "\n"
 
@@ -307,7 +340,7 @@ def sql() -> dict[str, str]:
             ORDER BY f.peak_share ASC, f.time_to_peak_months DESC, f.total_interactions DESC,
                      f.book_id ASC, b.title ASC NULLS FIRST
             LIMIT 10""",
-        "rating_decay": with_(*ATTENTION, REVIEWS) + f"""
+        "rating_decay": with_(*ATTENTION, REVIEWS) + MARK + f"""
             SELECT class, months_since_peak, count(*) AS n_ratings, avg(rating) AS avg_rating
             FROM (SELECT l.class, r.rating,
                          CAST({midx('r.y * 100 + r.m')} - {midx('l.peak_yyyymm')} AS INTEGER) AS months_since_peak
@@ -416,12 +449,40 @@ def sql() -> dict[str, str]:
     )
     out["read_result_csv"] = out["interactions_per_year"]
     out["read_table_json"] = out["publications_per_year"]
+    cut = "p_partkey % 50 = 0"
+    out["json_damaged_lines"] = with_(BOOKS) + f"""
+        SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM part WHERE {cut}) AS n_lines,
+               (SELECT count(*) FROM part WHERE {cut}) AS n_damaged, (SELECT count(*) FROM part) AS n_books,
+               CAST((SELECT sum(length('{{"book_id":"' || book_id || '","title":"' || title || '"'
+                                || coalesce(',"publication_year":"' || publication_year || '"', '') || '}}') - 2)
+                     FROM books WHERE CAST(book_id AS BIGINT) % 50 = 0) AS BIGINT) AS damaged_chars"""
+    out["csv_sink_ordered"] = with_(INTERACTIONS_CLEAN, MONTHLY) + "SELECT book_id, yyyymm, n_month, TRUE AS in_order FROM monthly"
     out["preview_last_years"] = out["interactions_per_year"].replace("ORDER BY year", "ORDER BY year DESC LIMIT 3")
     out["sentiment_by_class_rating_sketch"] = out["sentiment_by_class_rating"]  # exact for groups of under 10,000 rows
     out["all_membership"] = out["membership_with_hybrid"]
-    out["dataset_report"] = " UNION ALL ".join(
-        f"SELECT '{t}' AS name, 'parquet' AS format, 'ok' AS status, count(*) AS n_columns, "
-        f"string_agg(column_name, ',' ORDER BY column_name) AS column_names FROM (DESCRIBE {t})"
-        for t in DRIVER_TABLES
-    )
-    return out
+    for key, rank in (("top_months", "row_number() OVER (PARTITION BY book_id ORDER BY n_month DESC, yyyymm ASC)"),
+                      ("top_months_with_ties", "rank() OVER (PARTITION BY book_id ORDER BY n_month DESC)")):
+        out[key] = with_(INTERACTIONS_CLEAN, MONTHLY) + f"""
+            SELECT book_id, yyyymm, n_month, CAST(k AS INTEGER) AS rank FROM (SELECT m.*, {rank} AS k FROM monthly m) WHERE k <= 3"""
+    out["quantile_sketch"] = with_(INTERACTIONS_CLEAN, MONTHLY, TOTALS, PEAK, FEATS) + """
+        SELECT t AS threshold, (SELECT count(*) FROM feats) AS n, TRUE AS within
+        FROM (VALUES ('ps_low'), ('ps_high'), ('ttp_low'), ('ttp_high')) x(t)"""
+    named = "CASE genre " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fx.MAP_KEYS.items()) + " END"
+    huge = f"CASE WHEN CAST(book_id AS BIGINT) % {fx.HUGE_EVERY} = 0 THEN {fx.HUGE_FACTOR} ELSE 1 END"
+    named_votes = f"SELECT book_id, {named} AS genre, CAST(votes * {huge} AS BIGINT) AS votes FROM genre_votes"
+    out["named_votes"] = out["map_votes"] = with_(GENRE_VOTES) + named_votes
+    out["map_votes_lookup"] = with_(
+        GENRE_VOTES, f"genre_votes_named AS ({named_votes})",
+        PAIR_VOTES.replace("FROM genre_votes", "FROM genre_votes_named").replace(f"'{A}'", "'fantasy, paranormal'").replace(f"'{B}'", "'romance'"),
+        FLAGS) + "SELECT * FROM flags"
+    out["align_months_by_class"] = with_(
+        *ATTENTION, REVIEWS, "decay AS (" + out["rating_decay"].split(MARK)[1].replace(
+            "GROUP BY class, months_since_peak ORDER BY class, months_since_peak",
+            "GROUP BY class, months_since_peak HAVING count(*) >= 5") + ")") + """
+        SELECT k.class, a.months_since_peak, d.avg_rating
+        FROM (VALUES ('viral'), ('traditional')) k(class)
+        CROSS JOIN (SELECT DISTINCT months_since_peak FROM decay
+                    WHERE class IN ('viral', 'traditional') AND months_since_peak BETWEEN -6 AND 24) a
+        LEFT JOIN decay d ON d.class = k.class AND d.months_since_peak = a.months_since_peak"""
+    out["dataset_report"] = " UNION ALL ".join(_report_of(t, columns) for t, columns in DRIVER_COLUMNS.items())
+    return {k: v.replace(MARK, "") for k, v in out.items()}

@@ -7,7 +7,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from readlens.operators import attention as at
@@ -15,12 +15,14 @@ from readlens.operators import context as cx
 from readlens.operators import genres as gn
 from readlens.operators import sentiment as se
 from readlens.operators import series as sr
+from readlens.plans.materialize import lifetime, materialize, scratch_path
 from readlens.sources import fixtures as fx
-from readlens.sources.readers import dataset_columns, parse_result_rows, preview
+from readlens.sources.readers import DAMAGED, dataset_report, preview, read_result_csv, read_table, tagged_path, write_result
 
 # Parameters of the registered queries (see FIXTURES.md)
 WINDOW_START, WINDOW_END, WINDOW_K = 1996, 1998, 50
 TOP_K = 10
+SKETCH_ERROR = 0.001
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -36,9 +38,15 @@ def _feats(spark: SparkSession, sf: str) -> DataFrame:
     return at.attention_features(_monthly(spark, sf), fx.MIN_TOTAL)
 
 
+def _kept_feats(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per book, read several times: cut here, as the jobs do, so that percentiles and classes read a stored
+    table instead of repeating the interaction pass in every branch of the plan."""
+    return materialize(_feats(spark, sf))
+
+
 def _labeled(spark: SparkSession, sf: str) -> DataFrame:
-    feats = _feats(spark, sf)
-    return at.classify_attention(feats, _thresholds(feats))
+    feats = _kept_feats(spark, sf)
+    return materialize(at.classify_attention(feats, _thresholds(feats)))
 
 
 def _thresholds(feats: DataFrame) -> DataFrame:
@@ -99,25 +107,88 @@ def _align_null(spark: SparkSession, sf: str) -> DataFrame:
     return sr.align_series_null(supply, "pub_year", "share_books_genre", keep, 1960, 2005)
 
 
-def _csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Result rows as CSV text and back, without a file: what a result file's lines hold is parsed as text."""
-    result = cx.interactions_per_year(fx.table(spark, sf, "interactions"))
-    line = result.select(F.to_csv(F.struct("year", "n_interactions")).alias("line"))
-    text = line.select(F.from_csv("line", F.lit("year string, n_interactions string")).alias("r")).select("r.*")
-    return parse_result_rows(text, {"year": "int", "n_interactions": "long"})
+def _align_months(spark: SparkSession, sf: str) -> DataFrame:
+    decay = sr.min_support(_decay(spark, sf), "n_ratings", 5)
+    classes = spark.range(1).select(F.explode(F.array(F.lit(at.CLASS_VIRAL), F.lit(at.CLASS_TRADITIONAL))).alias("class"))
+    return sr.align_series_null(decay, "months_since_peak", "avg_rating", classes, -6, 24, genre_col="class")
 
 
-def _json_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows as JSON text and back with only the asked column, without a file."""
+def _files(spark: SparkSession) -> int:
+    return max(4, spark.sparkContext.defaultParallelism)
+
+
+def _csv_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """Result files as different runs leave them: the even years as the sink writes them; the odd years with the columns in
+    another order, one more column, counts written as decimals and some lines that are no result."""
+    path = scratch_path(spark, "result-csv")
+    with lifetime():
+        result = materialize(cx.interactions_per_year(fx.table(spark, sf, "interactions")))
+        write_result(result.where("year % 2 = 0"), path, order_by=["year"], parts=2)
+        odd = result.where("year % 2 = 1").select(
+            F.concat("n_interactions", F.lit(".0")).alias("n_interactions"), F.lit("a, \"b\"").alias("note"), F.col("year").cast("string").alias("year"))
+        junk = odd.select(F.lit("many").alias("n_interactions"), "note", "year").unionByName(odd.withColumn("year", F.lit("n/a")))
+        odd.unionByName(junk).repartition(2).write.mode("append").option("header", True).csv(path)
+    return read_result_csv(spark, path, {"year": "int", "n_interactions": "long"})
+
+
+BOOK_SCHEMA = "book_id string, title string, publication_year string"
+#: One book in so many has a second line that is cut off.
+DAMAGED_EVERY = 50
+
+
+def _json_books(spark: SparkSession, sf: str) -> str:
+    """The books as a JSON dataset of several files, with cut-off lines."""
     books = fx.table(spark, sf, "books")
-    line = books.select(F.to_json(F.struct(*books.columns)).alias("line"))
-    back = line.select(F.from_json("line", F.lit("publication_year string")).alias("r")).select("r.*")
-    return cx.publications_per_year(back)
+    line = F.to_json(F.struct(*books.columns))
+    cut = F.when(F.col("book_id").cast("long") % DAMAGED_EVERY == 0, F.expr("substring(line, 1, length(line) - 2)"))
+    path = scratch_path(spark, "books-json")
+    lines = books.select("book_id", line.alias("line")).select(F.explode(F.array(F.col("line"), cut)).alias("value")).where("value is not null")
+    lines.repartition(_files(spark)).write.text(path)
+    return path
+
+
+def _json_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return cx.publications_per_year(read_table(spark, _json_books(spark, sf), "json", ["publication_year"], schema=BOOK_SCHEMA))
+
+
+def _json_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    rows = read_table(spark, _json_books(spark, sf), "json", schema=BOOK_SCHEMA, on_damaged="keep")
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_lines"), F.count(DAMAGED).alias("n_damaged"), F.count("book_id").alias("n_books"),
+        F.sum(F.length(DAMAGED)).alias("damaged_chars"),
+    )
+
+
+def _csv_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Monthly counts written over an older output as ordered part files, and read back: each row, and whether its file
+    begins after the one before it ends."""
+    path = tagged_path(scratch_path(spark, "csv-sink"), "monthly_min{min_total}_q{q}", min_total=fx.MIN_TOTAL, q=fx.QUANTILE)
+    write_result(spark.range(3), path)
+    monthly = _monthly(spark, sf)
+    write_result(monthly, path, order_by=["book_id", "yyyymm"], parts=6)
+    back = spark.read.schema(monthly.schema).option("header", True).csv(path) \
+        .select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"))
+    key = F.struct("book_id", "yyyymm")
+    ends = back.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"))  # a row for each of the 6 files
+    ends = ends.withColumn("before", F.lag("last").over(Window.partitionBy(F.lit(1)).orderBy("part")))
+    ends = ends.select("part", F.coalesce(F.col("first") > F.col("before"), F.lit(True)).alias("in_order"))
+    return back.join(F.broadcast(ends), "part").select("book_id", "yyyymm", "n_month", "in_order")
+
+
+def _sketch_errors(spark: SparkSession, sf: str) -> DataFrame:
+    feats = _kept_feats(spark, sf)
+    sketch = at.quantile_thresholds(feats, fx.QUANTILE, SKETCH_ERROR)
+    errors = at.threshold_rank_errors(feats, sketch, fx.QUANTILE)
+    return errors.select("threshold", "n", (F.col("rank_error") <= SKETCH_ERROR).alias("within"))
+
+
+def _map_votes(spark: SparkSession, sf: str) -> DataFrame:
+    return gn.votes_as_map(fx.table(spark, sf, "genres_named"))
 
 
 def _catalog(spark: SparkSession, sf: str) -> DataFrame:
     items = [(t, "parquet", os.path.join(sf, f"{t}.parquet")) for t in DRIVER_TABLES]
-    return dataset_columns(spark, items)
+    return dataset_report(spark, items).drop("path", "error")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -132,8 +203,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "peak_month": lambda s, sf: at.peak_month(
             _monthly(s, sf), at.entity_totals(_monthly(s, sf), fx.MIN_TOTAL)
         ),
+        "top_months": lambda s, sf: at.top_months(_monthly(s, sf), 3),
+        "top_months_with_ties": lambda s, sf: at.top_months(_monthly(s, sf), 3, ties="all"),
         "attention_features": _feats,
-        "quantile_thresholds": lambda s, sf: _thresholds(_feats(s, sf)),
+        "quantile_thresholds": lambda s, sf: _thresholds(_kept_feats(s, sf)),
+        "quantile_sketch": _sketch_errors,
         "classify_attention": _labeled,
         "class_counts": lambda s, sf: at.class_counts(_labeled(s, sf)),
         "top_viral": lambda s, sf: at.top_viral(_labeled(s, sf), fx.table(s, sf, "books"), TOP_K),
@@ -148,6 +222,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "corr_by_class": lambda s, sf: se.corr_by_class(_sentiment(s, sf), _labeled(s, sf)),
         # genres
         "genre_votes": lambda s, sf: gn.genre_votes(fx.table(s, sf, "genres")),
+        "named_votes": lambda s, sf: gn.genre_votes(fx.table(s, sf, "genres_named")),
+        "map_votes": lambda s, sf: gn.genre_votes(_map_votes(s, sf)),
+        "map_votes_lookup": lambda s, sf: gn.hybrid_flags(_map_votes(s, sf), thresh=fx.HYBRID_THRESH),
         "genre_membership": lambda s, sf: gn.genre_membership(gn.genre_votes(fx.table(s, sf, "genres")), fx.HYBRID_THRESH),
         "hybrid_membership": lambda s, sf: gn.hybrid_membership(
             fx.table(s, sf, "genres"), ratio=fx.HYBRID_RATIO, **_hybrid_args()
@@ -187,9 +264,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             _decay(s, sf), "n_ratings", 5,
             keep={"class": ["viral", "traditional"]}, ranges={"months_since_peak": (-6, 24)},
         ),
-        "read_result_csv": _csv_round_trip,
-        # scans and previews
+        "align_months_by_class": _align_months,
+        # scans, sinks and previews
+        "read_result_csv": _csv_parts,
         "read_table_json": _json_scan,
+        "json_damaged_lines": _json_damaged,
+        "csv_sink_ordered": _csv_sink,
         "preview_last_years": lambda s, sf: preview(
             cx.interactions_per_year(fx.table(s, sf, "interactions")), "year", 3
         ),

@@ -6,7 +6,8 @@ tables from ``/root/testdata/sf*/`` with plain column arithmetic, so the same
 definitions can be written in DuckDB SQL for the oracle (``readlens.oracle``).
 
 Everything here is a lazy DataFrame over the given tables: the work grows
-with the input, nothing is generated on the driver.
+with the input, nothing is generated on the driver.  A stored table would hold
+its date text; the derived ones build it once per row (``settled``).
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readlens.functions.expr import settled
+
 # ---------------------------------------------------------------------------
 # Fixed values of the fixture mapping (kept equal to the DuckDB oracle)
 # ---------------------------------------------------------------------------
@@ -64,12 +67,13 @@ def interactions(spark: SparkSession, sf_dir: str, clean: bool = False) -> DataF
             .when(k % 499 == 0, F.regexp_replace(d, r"\d{4}$", "0101"))
             .otherwise(d)
         )
-    return li.join(od, li.l_orderkey == od.o_orderkey).select(
+    rows = li.join(od, li.l_orderkey == od.o_orderkey).select(
         F.col("l_partkey").cast("string").alias("book_id"),
         F.col("o_custkey").cast("string").alias("user_id"),
         (F.col("l_quantity").cast("long") % 6).alias("rating"),
         d.alias("date_added"),
     )
+    return settled(rows, "date_added")
 
 
 def books(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +110,21 @@ def genres(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Vote keys of the map form: a comma and a space inside, as in the source catalogue.
+MAP_KEYS = {"AUTOMOBILE": "history, historical fiction, biography", "BUILDING": "fantasy, paranormal", "FURNITURE": "young-adult",
+            "HOUSEHOLD": "mystery, thriller, crime", "MACHINERY": "romance"}
+#: Votes of books whose number divides by this are beyond the int range.
+HUGE_EVERY, HUGE_FACTOR = 7, 1 << 33
+
+
+def genres_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``genres`` with the source catalogue's vote keys, and votes above the int range for some books."""
+    g = genres(spark, sf_dir)
+    factor = F.when(F.col("book_id").cast("long") % HUGE_EVERY == 0, F.lit(HUGE_FACTOR)).otherwise(F.lit(1))
+    votes = [(F.col("genres").getField(seg) * factor).alias(MAP_KEYS[seg]) for seg in GENRE_SEGMENTS]
+    return g.select("book_id", F.struct(*votes).alias("genres"))
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book_id, date_added, rating, review_text) one per line item."""
     k = F.col("l_orderkey")
@@ -116,16 +135,13 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("order "), k.cast("string")))
     )
     rating = F.when(F.col("l_suppkey") % 11 != 0, F.col("l_quantity").cast("long") % 6)
-    return (
-        _read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
-              "l_quantity", "l_shipdate")
-        .select(
-            F.col("l_partkey").cast("string").alias("book_id"),
-            _date_text("l_shipdate").alias("date_added"),
-            rating.alias("rating"),
-            text.alias("review_text"),
-        )
+    rows = _read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate").select(
+        F.col("l_partkey").cast("string").alias("book_id"),
+        _date_text("l_shipdate").alias("date_added"),
+        rating.alias("rating"),
+        text.alias("review_text"),
     )
+    return settled(rows, "date_added")
 
 
 def sentiment_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +159,7 @@ DERIVATIONS = {
     "interactions_clean": lambda s, d: interactions(s, d, clean=True),
     "books": books,
     "genres": genres,
+    "genres_named": genres_named,
     "reviews": reviews,
     "sentiment_scores": sentiment_scores,
 }
