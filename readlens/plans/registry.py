@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from readlens.functions.expr import settled
 from readlens.operators import attention as at
 from readlens.operators import context as cx
 from readlens.operators import genres as gn
@@ -166,8 +167,8 @@ def _csv_sink(spark: SparkSession, sf: str) -> DataFrame:
     write_result(spark.range(3), path)
     monthly = _monthly(spark, sf)
     write_result(monthly, path, order_by=["book_id", "yyyymm"], parts=6)
-    back = spark.read.schema(monthly.schema).option("header", True).csv(path) \
-        .select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"))
+    back = settled(spark.read.schema(monthly.schema).option("header", True).csv(path)
+                   .select("*", F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part")), "part")
     key = F.struct("book_id", "yyyymm")
     ends = back.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"))  # a row for each of the 6 files
     ends = ends.withColumn("before", F.lag("last").over(Window.partitionBy(F.lit(1)).orderBy("part")))

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import csv
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from urllib.parse import unquote
 
@@ -139,15 +139,15 @@ def delete_path(spark: SparkSession, path: str) -> None:
         fs.delete(p, True)
 
 
-def first_file(spark: SparkSession, path: str) -> str:
-    """The data file of a dataset that comes first by name: one folder is listed per level, not the whole dataset."""
+def files_by_name(spark: SparkSession, path: str) -> Iterator[str]:
+    """The data files of a dataset in order of their names, folder by folder: only folders that are reached are listed."""
     fs, p = _file_system(spark, path)
-    while not fs.getFileStatus(p).isFile():
-        inside = sorted((s.getPath() for s in fs.listStatus(p) if not s.getPath().getName().startswith(("_", "."))), key=lambda x: x.getName())
-        if not inside:
-            break
-        p = inside[0]
-    return p.toString()
+    if fs.getFileStatus(p).isFile():
+        yield p.toString()
+        return
+    for s in sorted(fs.listStatus(p), key=lambda s: s.getPath().getName()):
+        if not s.getPath().getName().startswith(("_", ".")):
+            yield from files_by_name(spark, s.getPath().toString())
 
 
 _WHOLE_NUMBERS = ("byte", "tinyint", "short", "smallint", "int", "integer", "long", "bigint")
@@ -239,12 +239,15 @@ def _cell(field: T.StructField) -> Column:
 def _probe(spark: SparkSession, name: str, fmt: str, path: str, sample_rows: int) -> tuple:
     try:
         df = read_table(spark, path, fmt)  # Parquet: the schema of one footer
-        reader, first = spark.read.schema(df.schema).format(fmt), first_file(spark, path)
-        if first != path and not path.endswith(first.rsplit("/", 1)[-1]):
-            reader = reader.option("basePath", path)  # columns that are part of folder names
-        rows = reader.load(first).limit(sample_rows)
         micros = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-        sample = [r["j"] for r in rows.select(F.to_json(F.struct(*map(_cell, df.schema.fields)), micros).alias("j")).collect()]
+        line = F.to_json(F.struct(*map(_cell, df.schema.fields)), micros).alias("j")
+        reader, sample = spark.read.schema(df.schema).format(fmt), []
+        if not _file_system(spark, path)[0].getFileStatus(_file_system(spark, path)[1]).isFile():
+            reader = reader.option("basePath", path)  # columns that are part of folder names
+        for file in files_by_name(spark, path):
+            sample += [r["j"] for r in reader.load(file).select(line).limit(sample_rows - len(sample)).collect()]
+            if len(sample) >= sample_rows:
+                break
         names = df.columns
         return (name, fmt, path, "ok", len(names), ",".join(sorted(names)), df.schema.treeString(), f"[{','.join(sample)}]", None)
     except Exception as exc:  # one bad dataset must not stop the rest
@@ -257,7 +260,7 @@ def dataset_report(
     """One row per (name, format, path): status, number and names of the columns, schema tree, JSON sample, error.
 
     Datasets are probed side by side, ``at_once`` of them, each once: a Parquet schema comes from one footer, and the
-    sample is the first ``sample_rows`` rows of the file that comes first by name, so it is the same on every run and
+    sample is the first ``sample_rows`` rows of its files in order of their names, so it is the same on every run and
     costs no more on a large dataset.  One that can't be opened or read yields an ``error`` row and the others stay."""
     items = list(datasets)
     with ThreadPoolExecutor(max(1, min(at_once, len(items) or 1))) as pool:
