@@ -7,18 +7,20 @@ cost is a few numpy passes per byte and no Python object per word."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlens.plans.materialize import materialize, scratch_path
+from readlens.plans.materialize import materialize, on_end, scratch_path
 
 __all__ = ["U", "read", "only", "fresh", "materialize", "scratch_path", "mix", "string_batch", "row_slices", "Words", "SPACE_SEPARATED",
-           "ALNUM_WORDS", "LOWER", "fixed_size_sum", "packed_slices", "stored", "broadcast_value", "range_hashes", "membership", "maybe_in", "within"]
+           "ALNUM_WORDS", "LOWER", "frees", "fixed_size_sum", "packed_slices", "stored", "broadcast_value", "range_hashes", "membership", "maybe_in", "within"]
 
 U = np.uint64
 
@@ -137,6 +139,31 @@ class Words:
         return np.array([self.sequence(a, b)], dtype=U) if b > a else np.zeros(0, dtype=U)
 
 
+# ---- memory of Python workers ------------------------------------------------------
+def _trim() -> None:
+    """Returns freed memory to the system where the C library can (glibc)."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def frees(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A ``mapInArrow`` function that gives back at its end what it has freed.  Spark's workers live on from task to
+    task, and allocators keep freed pages, so without this each stage of a job would add its largest batch to the
+    memory of all later ones."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            _trim()
+
+    return run
+
+
 # ---- arrays of a fixed size, filled by all tasks --------------------------------
 def fixed_size_sum(partials: DataFrame, dtype: type, slices: int, how: str = "sum") -> np.ndarray:
     """Adds (``sum``: unsigned 32-bit counters that stop at their maximum; ``or``: bit tables) zlib-packed partial
@@ -183,7 +210,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def broadcast_value(spark: SparkSession, value):
-    return spark.sparkContext.broadcast(value)
+    """A broadcast variable; within a ``lifetime`` it is destroyed when that ends."""
+    shared = spark.sparkContext.broadcast(value)
+    on_end(shared.destroy)
+    return shared
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
@@ -210,6 +240,7 @@ def _bit(values: np.ndarray) -> np.ndarray:
 def membership(ids: DataFrame, column: str) -> np.ndarray:
     """A bit for each hashed value of a long column (8 MB).  Others may share a bit; no value is missing."""
 
+    @frees
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(MEMBER_BITS, dtype=bool)
         for batch in batches:
@@ -230,6 +261,7 @@ def within(df: DataFrame, column: str, table: np.ndarray) -> DataFrame:
     """The rows whose long ``column`` may be among those the table was made from."""
     shared = broadcast_value(df.sparkSession, table)
 
+    @frees
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(batch.schema.get_field_index(column))

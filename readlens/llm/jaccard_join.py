@@ -19,7 +19,8 @@ A cell is then joined around pivots:
 
 Those links connect all that any links connect.  Every link lies within a component, so a second pass finds all of
 them: members of a component are dealt to blocks by set size, and blocks whose sizes allow 0.8 are compared with each
-other, members by members, in one task each; only links leave it.
+other, members by members, in one task each; only links leave it (``linked_pairs``), or only how many each member
+has (``components``).
 
 Equal shingle sets are one class from the start, known by a 64-bit hash of the set (among N different sets
 about N**2 / 2**65 pairs share one by chance), and never meet as pairs.  Classes, cells, pairs, links and
@@ -28,8 +29,9 @@ components stay distributed; the driver sees scalars and two arrays of fixed siz
 Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.
 
 Cases: null, empty and blank texts have no shingles and link with nothing; texts under five words are one
-shingle; repeated rows are reported row by row; rows that share a doc_id are linked by it; a null doc_id gets a
-null component_id unless a linked row has one; further columns are ignored; an empty table gives no rows."""
+shingle; texts of any length are read whole; repeated rows are reported row by row; rows that share a doc_id are linked
+by their texts only; a null doc_id gets a null component_id unless a linked row has one; further columns are ignored;
+an empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -40,8 +42,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readlens.llm.common import (SPACE_SEPARATED, Words, broadcast_value, fixed_size_sum, fresh, materialize, maybe_in, membership,
-                                 mix, only, packed_slices, row_slices, stored, string_batch, within)
+from readlens.llm.common import (SPACE_SEPARATED, Words, broadcast_value, fixed_size_sum, frees, fresh, materialize, maybe_in, membership, mix,
+                                  only, packed_slices, row_slices, stored, string_batch, within)
 
 SHINGLE_WORDS, PERCENT = 5, 80
 #: Counters of the rarity table, in this many slices.
@@ -76,20 +78,22 @@ def class_of(s: np.ndarray) -> int:
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node): set size and class of every document; node is null for empty sets."""
+    """(doc_id, h, n, node): hash of the text, set size and class of every document; node is null for empty sets."""
 
+    @frees
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(len(s), class_of(s) if len(s) else None) for s in shingle_sets(batch.column(1))]
+            found = [(len(s), class_of(s) if len(s) else None) for s in shingle_sets(batch.column(2))]
             n, node = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "h": batch.column(1), "n": pa.array(n, pa.int64()), "node": pa.array(node, pa.int64())})
 
-    return docs.mapInArrow(sets, "doc_id long, n long, node long")
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(sets, "doc_id long, h long, n long, node long")
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
     """How many texts have a shingle of each hash class (``RARITY_CELLS`` saturating counters)."""
 
+    @frees
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(RARITY_CELLS, dtype=np.uint32)
         for batch in batches:
@@ -104,6 +108,7 @@ def cells(docs: DataFrame) -> DataFrame:
     """(cell, node, n): the members of every cell of two or more classes; equal small cells appear once."""
     counts = broadcast_value(docs.sparkSession, rarity(docs))
 
+    @frees
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shingles, nodes, sizes, caps, seen = [], [], [], [], set()
@@ -125,6 +130,7 @@ def cells(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).astype(np.int64)), *(
                     pa.array(np.concatenate(x)) for x in (nodes, sizes, caps))], names=["cell", "node", "n", "cap"])
 
+    @frees
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in order of (cell, node).  Holds back the last, perhaps unfinished cell while it is small;
         a larger one passes through under its shingle."""
@@ -188,6 +194,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     wanted = broadcast_value(docs.sparkSession, membership(nodes, "node"))
 
+    @frees
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = {class_of(s): r for r, s in reversed(list(enumerate(shingle_sets(batch.column(1))))) if len(s)}
@@ -214,6 +221,7 @@ def linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     few = within(texts, "node", membership(rows, "node"))
     placed = rows.join(few, "node").repartition("b", "part").sortWithinPartitions("b", "part", "partner")
 
+    @frees
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(0, dtype=np.uint64)
         for batch in batches:
@@ -308,8 +316,8 @@ def _connecting(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return links.unionByName(materialize(_rest(todo, measured, texts)).coalesce(parts)), sizes, texts
 
 
-def _all_links(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, shared, total): every link once, a < b."""
+def _blocks(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members of each component with their texts, block beside block where sizes allow a link."""
     others = connected_components(connecting)
     nodes = others.unionByName(others.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "node") \
         .withColumn("step", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))))
@@ -324,25 +332,45 @@ def _all_links(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> Dat
                 (F.col("lo") == F.col("hi")).alias("within"))
     rows = rows.join(texts, "node").repartition("block").sortWithinPartitions("block", "root", "lo", "hi", "first", "node")
     keys = [F.col("root"), *(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in ("lo", "hi") for y in ("step", "part"))]
+    return rows.select(*keys, "first", "node", "within", "text")
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """The links of each block: its rows come one after the other, and its sets are held until it ends."""
+    key, held = None, []
+    for batch in batches:
+        firsts, nodes, withins = (batch.column(i).to_pylist() for i in (5, 6, 7))
+        for *now, first, node, within, s in zip(*(batch.column(i).to_pylist() for i in range(5)), firsts, nodes, withins, shingle_sets(batch.column(8)), strict=True):
+            if now != key:
+                yield _links_of(held)
+                key, held = now, []
+            held.append((first, node, within, s))
+    yield _links_of(held)
+
+
+def _all_links(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, shared, total): every link once, a < b."""
+
+    @frees
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _compared(batches):
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "shared", "total"])
+
+    return _blocks(connecting, sizes, texts).mapInArrow(pairs, "a long, b long, shared long, total long")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come block by block; a block's sets are held until it ends."""
-        names = ["a", "b", "shared", "total"]
-        key, held = None, []
-        for batch in batches:
-            found = []
-            firsts, nodes, withins = (batch.column(i).to_pylist() for i in (5, 6, 7))
-            for *now, first, node, within, s in zip(*(batch.column(i).to_pylist() for i in range(5)), firsts, nodes, withins, shingle_sets(batch.column(8)), strict=True):
-                if now != key:
-                    found += _links_of(held)
-                    key, held = now, []
-                held.append((first, node, within, s))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (list(zip(*found)) or [()] * 4)], names=names)
-        found = _links_of(held)
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=names)
 
-    return rows.select(*keys, "first", "node", "within", "text").mapInArrow(compare, "a long, b long, shared long, total long")
+def _link_counts(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, n_links): how many links each class has, added up where they are found: no link leaves a task."""
+
+    @frees
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _compared(batches):
+            if found:
+                node, k = np.unique(np.concatenate([x for a, b, *_ in found for x in (a, b)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(k, pa.int64())], names=["node", "n_links"])
+
+    return _blocks(connecting, sizes, texts).mapInArrow(counts, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
 def _links_of(rows: list[tuple[bool, int, bool, np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
@@ -412,34 +440,41 @@ def _rest(todo: DataFrame, measured: DataFrame, texts: DataFrame) -> DataFrame:
     return linked(left, texts).where(F.col("shared") * 100 >= F.col("total") * PERCENT).select("a", "b")
 
 
-def components(docs: DataFrame, count_links: bool = True) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and, unless not asked for,
-    n_links (different texts that its text is linked with)."""
+def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) of every class, the classes without links included."""
+    classes = rows.where("node is not null").select("node").distinct()
+    return classes.join(connected_components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def components(docs: DataFrame) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links) and n_links (different texts
+    that its text is linked with)."""
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(members(docs))
     links, sizes, texts = _connecting(docs)
-    # rows that share a doc_id link their classes
-    same = rows.where("node is not null and doc_id is not null").select("doc_id", "node").distinct()
-    least = same.groupBy("doc_id").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    shared = same.join(least, "doc_id").select(F.col("node").alias("a"), "b")
-    roots = connected_components(links.unionByName(shared))
-    first = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")) \
-        .join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(_named(rows, links), "node")
     per_root = first.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = first.join(per_root, "root").select("node", "component_id")
-    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
-    if count_links:
-        every = _all_links(links, sizes, texts)
-        degree = every.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-        named = named.join(degree, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
-        out.append("n_links")
-    with_set = rows.where("node is not null").join(named, "node").select(*out)
-    empty = rows.where("node is null").withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long"))
-    return with_set.unionByName(empty.select(*out))
+    named = first.join(per_root, "root").select("node", "component_id").join(_link_counts(links, sizes, texts), "node", "left")
+    with_set = rows.where("node is not null").join(named, "node").select("doc_id", "n", "component_id", "n_links")
+    empty = rows.where("node is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("n_links"))
+    return with_set.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` (all columns) with one document of each group: the one with the smallest doc_id."""
-    name = fresh(docs, "first_id")
-    first = components(docs, count_links=False).where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(first, docs["doc_id"] == first[name], "left_semi")
+    """``docs`` (all columns) with one row of each group of linked or equal texts: the one with the smallest doc_id, null
+    ids last; of several rows with this id the one with the smallest hash of its text, then the smallest other
+    columns.  Rows without words are linked with nothing and all stay."""
+    id_, null_, hash_ = (fresh(docs, n) for n in ("first_id", "first_null", "first_hash"))
+    plain = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = materialize(members(plain))
+    links, _, _ = _connecting(plain)
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h"))
+    named = rows.where("node is not null").groupBy("node").agg(one.alias("one")).join(_named(rows, links), "node")
+    kept = named.groupBy("root").agg(F.min("one").alias("one")).select(
+        F.coalesce("one.doc_id", F.lit(0).cast("long")).alias(id_), F.col("one.null_id").alias(null_), F.col("one.h").alias(hash_))
+    wordless = docs["text"].isNull() | ~docs["text"].rlike(r"[^\x20\x09-\x0D]")
+    keyed = docs.where(~wordless).withColumns({id_: F.coalesce(docs["doc_id"].cast("long"), F.lit(0).cast("long")), null_: docs["doc_id"].isNull(), hash_: F.xxhash64(docs["text"])})
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rows_kept = keyed.join(kept, [id_, null_, hash_], "left_semi").groupBy(id_, null_, hash_).agg(F.min(F.struct(*columns)).alias(id_ + "_row")) \
+        .select(*[F.col(f"`{id_}_row`.`{c}`").alias(c) for c in docs.columns])
+    return rows_kept.unionByName(docs.where(wordless))

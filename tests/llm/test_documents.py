@@ -75,8 +75,8 @@ def brute_components(rows):
 
     for a in range(len(sets)):
         for b in range(a):
-            (i, s), (j, t) = sets[a], sets[b]
-            if s and t and (100 * len(s & t) >= 80 * len(s | t) or i is not None and i == j):
+            s, t = sets[a][1], sets[b][1]
+            if s and t and 100 * len(s & t) >= 80 * len(s | t):
                 root[find(a)] = find(b)
     least = collections.defaultdict(list)
     for a, (i, _) in enumerate(sets):
@@ -120,8 +120,49 @@ def test_components_empty_and_stage(spark):
     assert jaccard_join.components(table(spark, [])).count() == 0
     kept = jaccard_join.keep_first(with_clashes(table(spark)))
     assert kept.columns == with_clashes(table(spark)).columns
-    first = {c for i, n, c in brute_components(documents()) if c is not None}
-    assert {r.doc_id for r in kept.select("doc_id").collect()} == first
+    assert kept_rows(kept) == brute_first(documents())
+
+
+def kept_rows(df):
+    return sorted(((r.doc_id, r.text) for r in df.select("doc_id", "text").collect()), key=repr)
+
+
+def brute_first(rows):
+    """One row of each component, the one with the least id (null last); all rows without words."""
+    sets = [shingles(t) for _, t, *_ in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, s in enumerate(sets):
+        for b in range(a):
+            if s and sets[b] and 100 * len(s & sets[b]) >= 80 * len(s | sets[b]):
+                root[find(a)] = find(b)
+    out, best = [], {}
+    for a, r in enumerate(rows):
+        if not sets[a]:
+            out.append((r[0], r[1]))
+        else:
+            best.setdefault(find(a), []).append((r[0] is None, r[0], r[1]))
+    return sorted(out + [min(v, key=lambda x: (x[0], x[1] or 0))[1:] for v in best.values()], key=repr)
+
+
+def test_keep_first_row_by_row(spark):
+    t, u = documents()[0][1], documents()[3][1]
+    rows = [(1, t), (1, t), (2, t), (None, t), (None, u), (None, u), (3, "alone in the world with these words"), (3, "another text under the same number"),
+            (None, "no number and no copy at all here"), (5, None), (5, ""), (None, " ")]
+    docs = table(spark, [(i, x, None, None, None) for i, x in rows])
+    want = [(1, t), (None, u), (3, "alone in the world with these words"), (3, "another text under the same number"),
+            (None, "no number and no copy at all here"), (5, None), (5, ""), (None, " ")]
+    for parts in (1, 5):
+        assert kept_rows(jaccard_join.keep_first(docs.repartition(parts))) == sorted(want, key=repr)
+    # of rows that differ in other columns only, reruns keep the same one
+    docs = table(spark, [(1, t, lang, source, None) for lang in ("en", None, "de") for source in ("b", "a")])
+    kept = [r for _ in range(2) for r in jaccard_join.keep_first(docs.repartition(3)).collect()]
+    assert len(kept) == 2 and kept[0] == kept[1]
 
 
 def test_all_links(spark, monkeypatch):
