@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlens.llm.common import ALNUM_WORDS, Words, broadcast_value, fresh, materialize, only, row_slices, string_batch
+from readlens.llm.common import ALNUM_WORDS, Words, broadcast_value, frees, fresh, materialize, only, row_slices, string_batch
 
 WINDOW_WORDS = 10
 #: Windows in one broadcast block (hash, words and item: about 150 bytes each).
@@ -138,6 +138,7 @@ def mark_benchmark_words(docs: DataFrame, benchmark: DataFrame, column: str = "h
     for block in _blocks(benchmark_windows(benchmark, words), block_windows):
         shared = broadcast_value(spark, block)
 
+        @frees
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 at = batch.schema.get_field_index(column)
@@ -183,3 +184,21 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return m.select("doc_id", F.col("hits.n_words").alias("n_words"), n_hit.alias("n_hit"),
                     F.size("hits.items").cast("long").alias("n_items"),
                     F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w"
+#: ``report`` in DuckDB SQL: every window of each document joined with the items' windows.
+ORACLE_SQL = f"""
+with items as (select item_id, {_WORDS} from benchmark),
+windows as (select distinct item_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < {WINDOW_WORDS} then [array_to_string(w, ' ')]
+                   else list_transform(generate_series(1, len(w) - {WINDOW_WORDS - 1}), lambda i: array_to_string(w[i:i + {WINDOW_WORDS - 1}], ' ')) end) as words from items),
+sizes as (select distinct len(string_split(words, ' ')) as n from windows),
+docs as (select row_number() over () as r, doc_id, {_WORDS} from documents),
+places as (select r, n, unnest(generate_series(1, len(w) - n + 1)) as pos from docs, sizes where len(w) >= n),
+found as (select p.r, p.pos, p.n, x.item_id from places p join docs d on d.r = p.r join windows x on x.words = array_to_string(d.w[p.pos:p.pos + p.n - 1], ' ')),
+hits as (select r, count(distinct pos + k) as n_hit from (select r, pos, unnest(generate_series(0, n - 1)) as k from found) group by r),
+named as (select r, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from found where item_id is not null group by r)
+select d.doc_id, len(d.w) as n_words, coalesce(h.n_hit, 0)::bigint as n_hit, coalesce(i.n_items, 0)::bigint as n_items, sha256(coalesce(i.ids, '')) as items_sha256,
+       coalesce(h.n_hit, 0) > 0 as contaminated
+from docs d left join hits h on h.r = d.r left join named i on i.r = d.r"""

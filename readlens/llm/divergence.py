@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readlens.llm.common import materialize, only
+from readlens.llm.common import frees, materialize, only
 
 MIN_DOCS, TOP_TERMS, SCALE = 10, 10, 1_000_000_000
 #: Bytes of distinct texts a task folds before it hands them on, terms it adds up, and bytes tokenized at once.
@@ -60,6 +60,7 @@ def term_counts(text: bytes) -> Counter:
 def collapsed(docs: DataFrame) -> DataFrame:
     """(lang, key, text, sources, times): texts folded within each task; all rows of a (lang, key) end up next to each other."""
 
+    @frees
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, bytes], tuple[bytes, Counter]] = {}
         size = 0
@@ -93,6 +94,7 @@ def collapsed(docs: DataFrame) -> DataFrame:
 def _added_up(folded: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): sums of a task's distinct texts; term '' stands for the source itself."""
 
+    @frees
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: dict[tuple[str, str], Counter] = {}
         docs: dict[tuple[str, str], Counter] = {}

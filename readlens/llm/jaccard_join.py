@@ -478,3 +478,27 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rows_kept = keyed.join(kept, [id_, null_, hash_], "left_semi").groupBy(id_, null_, hash_).agg(F.min(F.struct(*columns)).alias(id_ + "_row")) \
         .select(*[F.col(f"`{id_}_row`.`{c}`").alias(c) for c in docs.columns])
     return rows_kept.unionByName(docs.where(wordless))
+
+
+def components_sql(k: int, percent: int, result: str) -> str:
+    """Shingle sets, links and components in DuckDB SQL, by joining all shingles; ``result`` selects from named (doc_id, n,
+    node), component (node, component_id) and links (a, b).  For small tables: a component is closed pair by pair."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+with recursive words as (select row_number() over () as r, doc_id, regexp_extract_all({lower}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (select r, doc_id, case when len(w) = 0 then [] when len(w) < {k} then [array_to_string(w, ' ')]
+                else list_distinct(list_transform(generate_series(1, len(w) - {k - 1}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) end as s from words),
+named as (select r, doc_id, len(s) as n, case when len(s) > 0 then sha256(array_to_string(list_sort(s), chr(10))) end as node, s from sets),
+classes as (select node, any_value(n) as n, any_value(s) as s from named where node is not null group by node),
+shingles as (select node, n, unnest(s) as shingle from classes),
+links as (select a.node as a, b.node as b from shingles a join shingles b
+            on a.shingle = b.shingle and a.node <> b.node and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+          group by a.node, b.node, a.n, b.n having 100 * count(*) >= {percent} * (a.n + b.n - count(*))),
+reach as (select node as a, node as b from classes union select r.a, l.b from reach r join links l on l.a = r.b),
+component as (select r.a as node, min(d.doc_id) as component_id from reach r join named d on d.node = r.b group by r.a)
+{result}"""
+
+
+ORACLE_SQL = components_sql(SHINGLE_WORDS, PERCENT, """
+select d.doc_id, d.n as n_shingles, case when d.node is null then d.doc_id else c.component_id end as component_id, coalesce(l.n_links, 0) as n_links
+from named d left join component c on c.node = d.node left join (select a, count(*) as n_links from links group by a) l on l.a = d.node""")

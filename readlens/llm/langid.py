@@ -10,7 +10,8 @@ position costs two look-ups instead of a matrix product.
 
 Cases: null text or one without a letter is ``und`` with score 0; a null doc_id counts as held out;
 rows with null lang or text are never trained on; a table without any usable label makes everything
-``und``; equal rows get equal answers; further columns are kept."""
+``und``; a text of any length is read whole, window by window; equal rows get equal answers; further columns are
+kept."""
 
 from __future__ import annotations
 
@@ -22,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readlens.llm.common import LOWER, broadcast_value, fresh, only, row_slices, string_batch
+from readlens.llm.common import LOWER, broadcast_value, frees, fresh, only, row_slices, string_batch
 
 #: Bytes in a window, embedding size, filter widths and filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 8
 SPAN = max(WIDTHS)
 #: At most so many labelled documents are trained on, with so many windows of each.
 SAMPLE_DOCS, DOC_WINDOWS, EPOCHS, BATCH = 3000, 4, 6, 64
+#: Share of rightly named held-out documents that may score below the rejection score.
+REJECTED_SHARE = 0.001
 UNDETERMINED = "und"
 PAD = 0x20
 
@@ -213,6 +216,7 @@ def identify(docs: DataFrame, net: bytes, column: str = "language") -> DataFrame
     shared = broadcast_value(docs.sparkSession, net)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
+    @frees
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = _predict(shared.value, batch.column(batch.schema.get_field_index("text")))
@@ -221,6 +225,16 @@ def identify(docs: DataFrame, net: bytes, column: str = "language") -> DataFrame
     return docs.mapInArrow(predict, f"{kinds}, `{column}` struct<lang_pred: string, score: double>")
 
 
+def rejection_score(docs: DataFrame, net: bytes, share: float = REJECTED_SHARE) -> float:
+    """The score below which a document is taken for none of the learned languages: of all held-out rows with a label that
+    the network names rightly, at most ``share`` score less (to one rank in 100,000).  0 where there are none."""
+    rows = only(docs, "doc_id", "text", "lang").where(held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    column = fresh(rows, "language")
+    right = identify(rows, net, column).where(F.col(f"{column}.lang_pred") == F.col("lang"))
+    found = right.agg(F.percentile_approx(F.col(f"{column}.score"), share, 100_000).alias("score")).first()["score"]
+    return float(found or 0.0)
+
+
 def keep_identified(docs: DataFrame, net: bytes, min_score: float = 0.0) -> DataFrame:
     """``docs`` without those that are undetermined or score below ``min_score``; same columns."""
     column = fresh(docs, "language")

@@ -36,8 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlens.llm.common import U, broadcast_value, materialize, maybe_in, membership, mix, only, stored
-from readlens.llm.jaccard_join import class_of, connected_components, shingle_sets
+from readlens.llm.common import U, broadcast_value, frees, materialize, maybe_in, membership, mix, only, stored
+from readlens.llm.jaccard_join import class_of, components_sql, connected_components, shingle_sets
 
 SHINGLE_WORDS, PERCENT = 3, 85
 BANDS, ROWS = 32, 5
@@ -81,6 +81,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, h, n, node, bands): hash of the text, size and class of its set, and its buckets, which only the first
     of the rows of a class in an Arrow batch carries."""
 
+    @frees
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[int] = set()
@@ -114,6 +115,7 @@ def texts_of(docs: DataFrame, rows: DataFrame, nodes: DataFrame) -> DataFrame:
     holders = materialize(rows.where("node is not null").groupBy("node").agg(F.min("h").alias("h")).join(nodes, "node", "left_semi"))
     wanted = broadcast_value(docs.sparkSession, membership(holders, "h"))
 
+    @frees
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first row of each text in a batch that may be wanted."""
         for batch in batches:
@@ -130,6 +132,7 @@ def links_in(cells: DataFrame, texts: DataFrame) -> DataFrame:
     A task holds the sets of side 0 of one cell and reads side 1 past them."""
     placed = cells.join(texts, "node").select("cell", "side", "node", "text").repartition("cell").sortWithinPartitions("cell", "side", "node")
 
+    @frees
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, None
         for batch in batches:
@@ -252,3 +255,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with_set = rows.where("node is not null").join(named, "node").select("doc_id", "n", "component_id")
     empty = rows.where("node is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return with_set.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+ORACLE_SQL = components_sql(SHINGLE_WORDS, PERCENT, """
+select d.doc_id, d.n as n_shingles, case when d.node is null then d.doc_id else c.component_id end as component_id,
+       d.doc_id is not distinct from (case when d.node is null then d.doc_id else c.component_id end) as kept
+from named d left join component c on c.node = d.node""")

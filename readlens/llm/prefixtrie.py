@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readlens.llm.common import materialize, only
+from readlens.llm.common import frees, materialize, only
 
 #: Conversations c - c % GROUP .. c share a head; at most HEAD - 1 turns of it.
 GROUP, HEAD = 20, 4
@@ -152,6 +152,7 @@ def _hashed_ids(ends: DataFrame) -> DataFrame:
     joined = ends.groupBy("n1", "n2", F.shiftright("conv_id", ID_BITS).alias("range")) \
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda c: c.cast("string")), ",").alias("ids"))  # 2**ID_BITS ids at most
 
+    @frees
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
 

@@ -36,6 +36,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_jaccard_join": jaccard_join.ORACLE_SQL,
+        "op3_decontaminate": decontaminate.ORACLE_SQL,
         "op11_prefix_trie": prefixtrie.ORACLE_SQL,
+        "op12_minhash_dedup": minhash.ORACLE_SQL,
         "op13_source_divergence": divergence.ORACLE_SQL,
     }

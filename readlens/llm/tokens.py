@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readlens.llm.common import only, scratch_path
+from readlens.llm.common import frees, only, scratch_path
 
 END_ID = 1
 #: A block is closed when it holds this many ids.
@@ -191,6 +191,7 @@ def write_token_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = EN
     """Encodes ``docs`` (doc_id, text) and writes blocks in ascending doc_id order to ``path``.
     Every document ends with ``end_id``.  Memory in a task is bounded by one block and one Arrow batch."""
 
+    @frees
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], dtype=enc.dtype).tobytes()
@@ -237,6 +238,7 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     for shard, n in totals:
         before[shard], total = total, total + n
 
+    @frees
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():

@@ -264,14 +264,14 @@ def test_divergence_shares_beyond_64_bits(spark):
 
 
 # ---- the SQL forms -------------------------------------------------------------------------
-@pytest.mark.parametrize("name", ["op11_prefix_trie", "op13_source_divergence"])
+@pytest.mark.parametrize("name", ["op2_jaccard_join", "op3_decontaminate", "op11_prefix_trie", "op12_minhash_dedup", "op13_source_divergence"])
 def test_sql_gives_the_same_rows(spark, name):
     from readlens.llm import registry
 
     sf = "/root/testdata/sf0.001"
     got = registry.queries()[name](spark, sf)
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = con.execute(registry.oracle_sql()[name]).to_arrow_table().select(got.columns).to_pylist()
     assert rows_of(got, *got.columns) == sorted((tuple(r[c] for c in got.columns) for r in want), key=repr)
