@@ -10,7 +10,7 @@ Words: ASCII lower-cased runs of letters, digits and non-ASCII characters.
 
 Cases: null and empty texts have no words and are clean; a null test text or one without words has no
 window; a null item_id's windows still hit, but the item can't be named; repeated rows are reported
-row by row; an empty benchmark leaves all documents clean; further columns are kept as they are."""
+row by row; texts of any length are scanned whole, about a megabyte of texts at a time; an empty benchmark leaves all documents clean; further columns are kept as they are."""
 
 from __future__ import annotations
 

@@ -13,7 +13,8 @@ error about 1 / sqrt(SKETCH)), and it is exactly 1 for equal fingerprints.
 Fingerprints are base64 strings.  Cases: null text is an empty text, whose fingerprint is all zeros; two
 fingerprints without any word run are alike (1) if equal and else not (0); rows with equal doc_id are ordered
 by their text's hash; null doc_ids come last in the descending order; one row alone is its own next document;
-further columns are ignored; an empty table gives no rows."""
+a text of any length is one sum, computed whole in the task that reads it; further columns are ignored; an empty
+table gives no rows."""
 
 from __future__ import annotations
 

@@ -16,7 +16,8 @@ pages, so there are at most three times the boxes of a page.  Only pages whose t
 with them.
 
 Cases: null and empty html give an empty text; a null or odd url is a host of its own; malformed markup is repaired as
-far as nesting goes (unclosed elements end with their parent); equal rows are pages of their own; an empty table gives
+far as nesting goes (unclosed elements end with their parent); a page of any length is parsed whole, in one pass over
+its markup; equal rows are pages of their own; an empty table gives
 no rows; further columns are ignored."""
 
 from __future__ import annotations

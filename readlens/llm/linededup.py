@@ -1,9 +1,11 @@
 """Line dedup by a suffix array over line-ID sequences.
 
-The corpus is the sequence of its lines' ids, document after document.  Its suffixes are sorted by distributed prefix
+The corpus is the sequence of its lines' ids, document after document.  Its suffixes are grouped by distributed prefix
 doubling: in round k every suffix is named by its first 2**k lines, which are two names of the round before, and only
 suffixes whose name occurs more than once go on, because all others are settled.  Suffixes with equal names are
 neighbours in the suffix array; a group of equal names is an interval whose common prefix is at least 2**k lines long.
+The names stand for the ranks of those intervals: which of two different intervals comes first has no bearing on what
+repeats, so they are never put in order.
 
 A run of lines is a repeat if it has ``MIN_WORDS`` words or more and occurs before, in an earlier document (by doc_id)
 or earlier in the same one.  Each line start, and each line end, gives the shortest run with so many words; a run of
@@ -15,7 +17,7 @@ joined through one small row per document that loses lines.
 
 Cases: null text has no lines, loses none and stays null; blank lines have an id but no words; in equal doc_ids the
 text's hash decides what comes first; rows equal in doc_id and text are one document and get one result; a null
-doc_id comes last; further columns are ignored; an empty table gives no rows."""
+doc_id comes last; a text of any length is one row of lines, of which only ids travel; further columns are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
 

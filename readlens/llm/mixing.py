@@ -15,7 +15,8 @@ Sources are ranked by code point, null last, in one small aggregate (one row per
 source).  Draws depend on row contents alone, so reruns agree.
 
 Cases: null text has size 0 and takes 0; a null source is a source of its own; equal
-rows are interchangeable; an empty table gives no rows; further columns are ignored."""
+rows are interchangeable; a text of any length counts with its whole size and is never carried through the rounds; an
+empty table gives no rows; further columns are ignored."""
 
 from __future__ import annotations
 
