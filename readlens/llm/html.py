@@ -1,19 +1,21 @@
 """Main text of web pages by site template removal.
 
-Every page is parsed into a tree.  Each box (a ``div``, ``nav``, ``section``, list, table and so on that doesn't hold
-the article itself) is hashed with all that it contains; Spark counts, per host, on how many pages each hash occurs; a
-box that recurs on many pages of its host is a template and is deleted wherever it occurs on that host.  Boxes whose
-tag, class, id or role says what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments) go
-as well, so that hosts with few pages come out clean too.  Pages of a host with equal main text count once, so that a
-box around the text of copies isn't taken for a template.  Plain blocks of prose (paragraphs, headings, quotations)
-are never templates: copies of one article on a host stay whole.
+Every page is parsed into a tree, once.  Each element subtree that stands around text of the page (a ``div``, ``nav``,
+``section``, list, table and so on anywhere; any block at all, a paragraph or heading too, outside the article) is hashed
+with all that it contains, unless it holds the article itself; Spark counts, per host, on how many pages each hash occurs;
+what recurs on ``MIN_PAGES`` pages of its host is a template and is deleted wherever it occurs on that host, however large
+the host.  Boxes whose tag, class, id or role says what they are (menus, headers, footers, sidebars, notices, adverts,
+forms, comments) go as well, so that hosts with few pages come out clean too.  Pages of a host with equal main text count
+once, so that a box around the text of copies isn't taken for a template.  Prose in an article (paragraphs, headings,
+quotations) is never a template: copies of one article on a host stay whole.
 
 What is left of the article (of the main element, or the body, where there is no article) is the text: character
 references decoded, white space inside a block turned into one space, blocks joined by one space.
 
-Counting needs two columns of a page's boxes, and a host's templates are few: each must occur on a third of the host's
-pages, so there are at most three times the boxes of a page.  Only pages whose text lies in boxes at all are joined
-with them.
+The parsed pages are written to the shared folder, and all that follows reads them.  Hashes travel as (host, hash, page
+content) rows, counted before they are shuffled; templates meet the segments they stand around as (host, hash) rows in an
+ordinary join, and only segment numbers come back, so nothing of a host is ever held together.  Pages whose
+text stands in no such element take no part in it.
 
 Cases: null and empty html give an empty text; a null or odd url is a host of its own; malformed markup is repaired as
 far as nesting goes (unclosed elements end with their parent); a page of any length is parsed whole, in one pass over
@@ -31,15 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readlens.llm.common import only
+from readlens.llm.common import frees, only, stored
 
-#: A box is a template of its host if it occurs on so many pages and on such a share of the host's pages.
-MIN_PAGES, MIN_SHARE = 5, 1 / 3
+#: An element subtree is a template of its host if it occurs on so many pages with different main texts.
+MIN_PAGES = 5
 
 # Element names by what they mean for the text.
 BOXES = frozenset("div section nav ul ol dl table aside footer header form figure menu details fieldset".split())
 BLOCKS = BOXES | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre article main body html head tr td th thead tbody "
                            "tfoot caption figcaption address hr br title summary hgroup center".split())
+WHOLE = frozenset("article main body html".split())  # never templates themselves
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp".split())
 DROPPED = frozenset("script style noscript template head title nav aside footer form button select textarea iframe svg "
@@ -110,7 +113,7 @@ class Page:
         inside = any(k == "article" for k in self._kinds)
         dropped = tag in DROPPED or bool(names & NAMED) and tag not in ("body", "html") \
             or not inside and (tag == "header" or bool(names & OUTER) and tag not in ("body", "html"))
-        box = tag in BOXES
+        box = tag in BOXES or not inside and not kind and tag in BLOCKS and tag not in WHOLE
         if dropped:
             self._flush()
         e = _Open(tag, dropped, box, kind)
@@ -206,51 +209,43 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, box): hashes of the boxes that recur on the host's pages."""
-
-    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hosts, found, contents = [], [], []
-            for url, markup in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                page = Page(markup or "")
-                own = {b for b in page.boxes if b is not None}
-                main = "\x00".join(t for t, _ in page.kept()).encode("utf-8", "replace")
-                contents += [hashlib.blake2b(main, digest_size=16).digest()] * (len(own) + 1)
-                hosts += [host_of(url)] * (len(own) + 1)
-                found += [None, *own]  # null counts the page itself
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64()), pa.array(contents, pa.binary())],
-                                             names=["host", "box", "content"])
-
-    rows = only(pages, "url", "html").mapInArrow(boxes, "host string, box long, content binary").distinct()
-    seen = rows.groupBy("host", "box").agg(F.count(F.lit(1)).alias("n"))
-    often = seen.where(F.col("box").isNull() | (F.col("n") >= min_pages))
-    whole = often.where("box is null").select("host", F.col("n").alias("pages"))
-    return often.where("box is not null").join(whole, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "box")
-
-
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """Per page: page_id, url, text, n_chars."""
+def parsed(pages: DataFrame) -> DataFrame:
+    """(row, page_id, url, host, content, texts, around): the segments of each page's main text and, if any stands in
+    hashed elements, their hashes, the host and the hash of the whole main text."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, texts, around = [], [], []
-            for url, markup in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            hosts, contents, texts, around = [], [], [], []
+            for url, markup in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 kept = Page(markup or "").kept()
                 boxed = any(b for _, b in kept)
+                main = [t for t, _ in kept]
                 hosts.append(host_of(url) if boxed else None)
-                texts.append([t for t, _ in kept] if boxed else [" ".join(t for t, _ in kept)])
+                contents.append(hashlib.blake2b("\x00".join(main).encode("utf-8", "replace"), digest_size=16).digest() if boxed else None)
+                texts.append(main if boxed else [" ".join(main)])
                 around.append([b for _, b in kept] if boxed else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hosts, pa.string()),
-                                              pa.array(texts, pa.list_(pa.string())),
-                                              pa.array(around, pa.list_(pa.list_(pa.int64())))],
-                                             names=["page_id", "url", "host", "texts", "around"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(hosts, pa.string()), pa.array(contents, pa.binary()),
+                                              pa.array(texts, pa.list_(pa.string())), pa.array(around, pa.list_(pa.list_(pa.int64())))],
+                                             names=["row", "page_id", "url", "host", "content", "texts", "around"])
+
+    rows = only(pages, "page_id", "url", "html").select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return stored(rows.mapInArrow(frees(parse), "row long, page_id long, url string, host string, content binary, texts array<string>, "
+                                                "around array<array<long>>"), "html-pages")
 
-    cut = only(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), "url", "html") \
-        .mapInArrow(parse, "page_id long, url string, host string, texts array<string>, around array<array<long>>")
+
+def templates(boxed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, box): hashes of the element subtrees that recur on the host's pages, from ``parsed`` rows."""
+    found = boxed.select("host", "content", F.explode(F.array_distinct(F.flatten("around"))).alias("box")).distinct()
+    return found.groupBy("host", "box").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "box")
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """Per page: page_id, url, text, n_chars."""
+    cut = parsed(pages)
     plain = cut.where("host is null").select("page_id", "url", F.array_join("texts", " ").alias("text"))
-    per_host = templates(pages, min_pages, min_share).groupBy("host").agg(F.collect_set("box").alias("recurring"))
-    boxed = cut.where("host is not null").join(per_host, "host", "left")
-    kept = F.filter("texts", lambda t, i: ~F.arrays_overlap(F.get("around", i), F.coalesce("recurring", F.array().cast("array<bigint>"))))
-    text = boxed.select("page_id", "url", F.array_join(kept, " ").alias("text"))
+    boxed = cut.where("host is not null")
+    inside = boxed.select("row", "host", F.posexplode("around").alias("segment", "boxes")).select("row", "host", "segment", F.explode("boxes").alias("box"))
+    gone = inside.join(templates(boxed, min_pages), ["host", "box"]).groupBy("row").agg(F.collect_set("segment").alias("gone"))  # of one page
+    kept = F.filter("texts", lambda t, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    text = boxed.select("row", "page_id", "url", "texts").join(gone, "row", "left").select("page_id", "url", F.array_join(kept, " ").alias("text"))
     return plain.unionByName(text).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

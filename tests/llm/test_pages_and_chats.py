@@ -56,6 +56,31 @@ def test_copies_in_a_box_stay_whole(spark):
     assert {text[100 + i] for i in range(12)} == {f"own {i}" for i in range(6)}
 
 
+def test_most_text_in_recurring_elements(spark):
+    """Articles in nested boxes, on a large and a small host: what recurs goes at any share of the pages, the rest stays."""
+    def body(i, more=""):
+        return (f"<body><div id=w><article><section><div class=lead><p>lead {i}</p></div><div class=box><p>Read our rules</p></div>"
+                f"<table><tr><td>cell {i}</table><p>All rights are with the writers</p></section>{more}</article></div></body>")
+
+    rows = [page("large.example", i, body(i, "<section><p>written in the spring</p></section>" if i % 40 == 0 else "")) for i in range(240)]
+    rows += [page("small.example", 1000 + i, body(i)) for i in range(4)]
+    rows += [page("plain.example", 2000 + i, f"<body><p>Thank you for reading</p><h2>Title {i}</h2><blockquote>said {i % 3}</blockquote></body>") for i in range(9)]
+    text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)).collect()}
+    # six of 240 pages have the spring section: a template by its count, though few pages have it; prose in the article stays
+    assert all(text[i] == f"lead {i} cell {i} All rights are with the writers" for i in range(240))
+    assert all(text[1000 + i] == f"lead {i} Read our rules cell {i} All rights are with the writers" for i in range(4))
+    # no article: recurring blocks of any kind go; each quotation stands on three pages only
+    assert all(text[2000 + i] == f"Title {i} said {i % 3}" for i in range(9))
+
+
+def test_a_very_long_page(spark):
+    words = " ".join(f"<b>w{i}</b> &amp;" for i in range(60_000))
+    rows = [page("long.example", 1, f"<article><p>{words}</p></article>"), page("long.example", 2, "<div>" * 500 + words + "</div>" * 500)]
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = " ".join(f"w{i} &" for i in range(60_000))
+    assert got[1].text == got[2].text == want and got[1].n_chars == len(want)
+
+
 def test_given_pages(spark):
     import html as H
     import re
