@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from readlens.functions.expr import settled
+from readlens.plans.materialize import delete_folder
 
 SUPPORTED_FORMATS = ("parquet", "json")
 #: Column that holds the text of a damaged JSON line.
@@ -112,7 +113,7 @@ def write_result(
     try:
         out.write.mode("error").option("header", True).csv(staged)
     except Exception:
-        delete_path(spark, staged)
+        delete_folder(spark, staged)
         raise
     fs, target = _file_system(spark, path)
     new_path, old_path = (_file_system(spark, p)[1] for p in (staged, old))
@@ -133,12 +134,6 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def delete_path(spark: SparkSession, path: str) -> None:
-    fs, p = _file_system(spark, path)
-    if fs.exists(p):
-        fs.delete(p, True)
-
-
 def files_by_name(spark: SparkSession, path: str) -> Iterator[str]:
     """The data files of a dataset in order of their names, folder by folder: only folders that are reached are listed."""
     fs, p = _file_system(spark, path)
