@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from readlens.plans.materialize import materialize, on_end, scratch_path
 
 __all__ = ["U", "read", "only", "fresh", "materialize", "scratch_path", "mix", "string_batch", "row_slices", "Words", "SPACE_SEPARATED",
-           "ALNUM_WORDS", "LOWER", "frees", "fixed_size_sum", "packed_slices", "stored", "broadcast_value", "range_hashes", "membership", "maybe_in", "within"]
+           "ALNUM_WORDS", "LOWER", "frees", "fixed_size_sum", "packed_slices", "stored", "drop_shuffles", "broadcast_value", "range_hashes", "membership", "maybe_in", "within"]
 
 U = np.uint64
 
@@ -209,6 +210,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles that nothing refers to any more.  It does so when the driver's JVM has
+    collected the plans that made them, which a driver with memory to spare puts off; a long job asks for it after
+    a step whose result is stored, so that its steps don't add up on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_value(spark: SparkSession, value):
     """A broadcast variable; within a ``lifetime`` it is destroyed when that ends."""
     shared = spark.sparkContext.broadcast(value)
