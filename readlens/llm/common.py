@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import time
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -213,9 +214,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def drop_shuffles(spark: SparkSession) -> None:
     """Lets Spark delete the files of shuffles that nothing refers to any more.  It does so when the driver's JVM has
     collected the plans that made them, which a driver with memory to spare puts off; a long job asks for it after
-    a step whose result is stored, so that its steps don't add up on the executors' disks."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    a step whose result is stored, so that its steps don't add up on the executors' disks.  The first collection frees
+    what Python held on to, the second what that had referred to."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def broadcast_value(spark: SparkSession, value):
