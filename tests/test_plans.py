@@ -99,12 +99,17 @@ def scans(spark, query, table, column="") -> int:
     store = spark._jsparkSession.sharedState().statusStore()
     bus = spark.sparkContext._jsc.sc().listenerBus()
     bus.waitUntilEmpty()
-    before = store.executionsCount()
+
+    def executions():
+        return {e.executionId() for e in (lambda x: (x.apply(i) for i in range(x.size())))(store.executionsList())}
+
+    # by id: the store keeps the last thousand only
+    before = max(executions(), default=-1)
     query(spark, SF_SMALL).collect()
     bus.waitUntilEmpty()
     found = 0
-    for i in range(before, store.executionsCount()):
-        nodes = store.planGraph(store.executionsList().apply(i).executionId()).allNodes()
+    for i in sorted(x for x in executions() if x > before):
+        nodes = store.planGraph(i).allNodes()
         descs = [nodes.apply(j).desc() for j in range(nodes.size()) if nodes.apply(j).name().startswith("Scan parquet")]
         found += sum(f"/{table}.parquet" in d and column in d for d in descs)
     return found
