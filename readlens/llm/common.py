@@ -246,19 +246,22 @@ def fresh(df: DataFrame, name: str) -> str:
 MEMBER_BITS, MEMBER_SLICES = 1 << 26, 64
 
 
-def _bit(values: np.ndarray) -> np.ndarray:
-    return (mix(values.astype(U)) & U(MEMBER_BITS - 1)).astype(np.int64)
+def _bit(values: np.ndarray, bits: int = MEMBER_BITS) -> np.ndarray:
+    return (mix(values.astype(U)) & U(bits - 1)).astype(np.int64)
 
 
-def membership(ids: DataFrame, column: str) -> np.ndarray:
+def membership(ids: DataFrame, column: str, bits: int = MEMBER_BITS) -> np.ndarray:
     """A bit for each hashed value of a long column (8 MB).  Others may share a bit; no value is missing."""
 
     @frees
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(MEMBER_BITS, dtype=bool)
+        seen = np.zeros(bits >> 3, dtype=np.uint8)
         for batch in batches:
-            seen[_bit(batch.column(0).drop_null().to_numpy())] = True
-        yield packed_slices(np.packbits(seen, bitorder="little"), MEMBER_SLICES)
+            at = np.sort(_bit(batch.column(0).drop_null().to_numpy(), bits))
+            if len(at):
+                first = np.flatnonzero(np.concatenate([[True], at[1:] >> 3 != at[:-1] >> 3]))
+                seen[at[first] >> 3] |= np.bitwise_or.reduceat((1 << (at & 7)).astype(np.uint8), first)
+        yield packed_slices(seen, MEMBER_SLICES)
 
     return fixed_size_sum(only(ids, column).mapInArrow(mark, "slice int, packed binary"), np.uint8, MEMBER_SLICES, "or")
 
@@ -266,7 +269,7 @@ def membership(ids: DataFrame, column: str) -> np.ndarray:
 def maybe_in(table: np.ndarray, values: np.ndarray) -> np.ndarray:
     if not len(table):
         return np.zeros(len(values), dtype=bool)
-    at = _bit(values)
+    at = _bit(values, 8 * len(table))
     return (table[at >> 3] >> (at & 7) & 1).astype(bool)
 
 

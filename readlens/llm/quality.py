@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readlens.llm.common import (U, broadcast_value, drop_shuffles, fixed_size_sum, frees, maybe_in, membership, mix, only, packed_slices, range_hashes,
+from readlens.llm.common import (U, broadcast_value, drop_shuffles, fixed_size_sum, frees, maybe_in, membership, mix, only, range_hashes,
                                  row_slices, stored, string_batch, within)
 
 SYMBOLS, ORDER, SLICES = 64, 4, 64
@@ -50,6 +50,8 @@ HEAD, COUNTED_TO = 1 << 22, 4096
 ENTRY = 3
 #: Bytes of trusted texts whose words are counted at once.
 COUNT_BYTES = 1 << 22
+#: Bytes of trusted texts whose n-grams of characters are counted at once, and how many different ones a task holds.
+GRAM_BYTES, GRAMS_HELD = 1 << 18, 1 << 22
 
 
 def _classes() -> np.ndarray:
@@ -150,15 +152,29 @@ def count_ngrams(texts: DataFrame) -> np.ndarray:
     """Counts of all n-grams of ``text`` by ``half`` (0 or 1), added up in Spark shard by shard."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SYMBOLS**ORDER), dtype=np.uint32)
+        # what occurs, not the whole table, which has room for 2 * 64**4 counts
+        grams, total = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for batch in batches:
             half, (data, offsets) = batch.column(0).to_numpy(), string_batch(batch.column(1))
-            for i, j in row_slices(offsets):
+            for i, j in row_slices(offsets, GRAM_BYTES):
                 index, text = _grams(data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i])
-                for h in (0, 1):
-                    found, n = np.unique(index[half[i:j][text] == h], return_counts=True)
-                    total[h, found] += n.astype(np.uint32)
-        yield packed_slices(total.ravel(), 2 * SLICES)
+                index += half[i:j][text] * SYMBOLS**ORDER
+                found, n = np.unique(index, return_counts=True)
+                grams, at = np.unique(np.concatenate([grams, found]), return_inverse=True)
+                total = np.bincount(at, weights=np.concatenate([total, n]), minlength=len(grams)).astype(np.int64)
+                if len(grams) > GRAMS_HELD:
+                    yield from slices_of(grams, total)
+                    grams, total = grams[:0], total[:0]
+        yield from slices_of(grams, total)
+
+    def slices_of(grams: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        size = SYMBOLS**ORDER // SLICES
+        ends = np.searchsorted(grams, size * np.arange(2 * SLICES + 1))
+        for k, (a, z) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+            if z > a:
+                part = np.zeros(size, dtype=np.uint32)
+                part[grams[a:z] - k * size] = total[a:z]
+                yield pa.RecordBatch.from_pydict({"slice": pa.array([k], pa.int32()), "packed": pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())})
 
     counts = fixed_size_sum(only(texts, "half", "text").mapInArrow(count, "slice int, packed binary"), np.uint32, 2 * SLICES)
     return counts.reshape(2, -1)

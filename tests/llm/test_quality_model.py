@@ -145,3 +145,12 @@ def test_words_of_pairs_come_from_the_partition_named_with_them(spark, tmp_path)
     assert len(every) == kept.count() > 20
     assert sorted(map(tuple, quality._described(texts, kept, spell).collect())) == every
     assert quality._described(texts, kept.withColumn("part", F.lit(99)), spell).count() < len(every)  # which train() notices
+
+
+def test_character_counts_are_the_same_in_parts(spark, monkeypatch):
+    texts = spark.createDataFrame([(i % 2, t) for i, (_, t, _) in enumerate(rows_of(4, 80))], "half int, text string").repartition(3)
+    whole = quality.count_ngrams(texts)
+    assert whole.sum(axis=1).tolist() == [sum(len((r.text or "").encode()) for r in texts.collect() if r.half == h) for h in (0, 1)]
+    monkeypatch.setattr(quality, "GRAM_BYTES", 100)
+    monkeypatch.setattr(quality, "GRAMS_HELD", 50)
+    assert (quality.count_ngrams(texts) == whole).all()
