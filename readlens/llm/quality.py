@@ -2,10 +2,10 @@
 
 Words are open: runs of letters, runs of digits and runs of blanks other than one space, and every mark and every
 character of three or four bytes (Chinese, Japanese, Korean ...) alone.  Pairs of a word and the one before it are counted
-over all trusted documents, as are the words, by keys of 64 bits in DataFrames that grow with them.  Words that occur
-once and pairs that occur less than three times count in every statistic (discounts, contexts, continuations) but have
-no entry of their own: they are most of what a text has and say least, and what they would hold goes to the
-interpolation, as in any pruned model of this kind.  A word without an entry is spelled: below the words lies a Kneser-Ney model of ``ORDER`` characters in 64
+over all trusted documents, as are the words, by keys of 64 bits in DataFrames that grow with them.  The query's model
+(``entry`` = 1) has an entry for every word and pair that occurs.  A caller may prune it: with a larger ``entry``, pairs that
+occur less often, and words that occur once, count in every statistic (discounts, contexts, continuations) but have no entry
+of their own, and what they would hold goes to the interpolation.  A word without an entry is spelled: below the words lies a Kneser-Ney model of ``ORDER`` characters in 64
 classes, a table of 2 * 64**4 values that only tells how odd a new word looks.
 
 An interpolated model of pairs (v, w) splits into terms that add up: what w costs when it is spelled, what it saves if
@@ -39,15 +39,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from readlens.llm.common import (U, broadcast_value, drop_shuffles, fixed_size_sum, frees, maybe_in, membership, mix, only, range_hashes,
-                                 row_slices, stored, string_batch, within)
+                                 row_slices, scratch_path, stored, string_batch, within)
+from readlens.plans.materialize import delete_folder, lifetime
 
 SYMBOLS, ORDER, SLICES = 64, 4, 64
 PRIOR = 300
 KEEP_QUANTILE = 0.995
 #: The most frequent keys of the model, at most this many, are held by every task (12 bytes each); the others are joined.
 HEAD, COUNTED_TO = 1 << 22, 4096
-#: Pairs have an entry from so many occurrences on, words from two on.
+#: In a pruned model, pairs have an entry from so many occurrences on, words from two on; with 1, all have one.
 ENTRY = 3
+#: Bits of the filter for the keys that are joined.
+RARE_BITS = 1 << 28
 #: Bytes of trusted texts whose words are counted at once.
 COUNT_BYTES = 1 << 22
 #: Bytes of trusted texts whose n-grams of characters are counted at once, and how many different ones a task holds.
@@ -299,9 +302,9 @@ def count_pairs(texts: DataFrame) -> DataFrame:
     return counted(texts).where(F.col("kind") == PAIR).select("key", _half_of().alias("half"), "n")
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """The counted rows that the model is made of, and (half, n, kind, null) rows that say how many others there are: what
-    occurs once is most of what is counted, and only its number is needed."""
+def _kept(rows: DataFrame, least: int = 2) -> DataFrame:
+    """The counted rows that the model is made of, those from ``least`` occurrences on, and (half, n, kind, null) rows that
+    say how many pairs and words there are."""
 
     @frees
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,7 +318,7 @@ def _kept(rows: DataFrame) -> DataFrame:
                     seen[h, name] = seen.get((h, name), 0) + int((own == k).sum())
                 seen[h, PAIRS_ALL] = seen.get((h, PAIRS_ALL), 0) + len(own)
                 seen[h, WORDS_ONCE] = seen.get((h, WORDS_ONCE), 0) + int((words == 1).sum())
-            yield batch.filter(pa.array((n > 1) | (kind >= STARTS)))
+            yield batch.filter(pa.array((n >= least) | (kind >= STARTS)))
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.int64()), pa.array(list(seen.values()), pa.int64()),
                                           pa.array([k for _, k in seen], pa.int32()), pa.nulls(len(seen), pa.int32())], names=["key", "n", "kind", "part"])
 
@@ -387,20 +390,29 @@ def _off(count: str, d: list[np.ndarray], half: Column) -> Column:
     return F.when(at == 1, _by_half([x[1] for x in d], half)).when(at == 2, _by_half([x[2] for x in d], half)).otherwise(_by_half([x[3] for x in d], half))
 
 
-def train(texts: DataFrame, spell: list[bytes]) -> tuple[DataFrame, list[float]]:
-    """The model (key, value, n), and for each half what every word costs before anything is known of it.
+def train(texts: DataFrame, spell: list[bytes], entry: int = ENTRY, path: str | None = None) -> tuple[DataFrame, list[float]]:
+    """The model (key, value, n), stored at ``path``, and for each half what every word costs before anything is known of it.
 
-    Every statistic is that of all pairs: a word's tokens that no pair seen twice accounts for are pairs seen once,
-    each a different one.  Only the entries of pairs seen less than ``ENTRY`` times are left out, and what they would
-    have held goes to the interpolation."""
-    spark = texts.sparkSession
-    kept = stored(_kept(counted(texts)), "quality-kept")
+    Every statistic is that of all pairs: where ``entry`` is above 1, a word's tokens that no pair seen twice accounts for
+    are pairs seen once, each a different one.  Only the entries of pairs seen less than ``entry`` times are left out, and
+    what they would have held goes to the interpolation."""
+    path = path or scratch_path(texts.sparkSession, "quality-model")
+    with lifetime():
+        model, left = _trained(texts, spell, entry)
+        model.write.parquet(path)
+    drop_shuffles(texts.sparkSession)
+    return texts.sparkSession.read.schema(model.schema).parquet(path), [-np.log(x) for x in left]
+
+
+def _trained(texts: DataFrame, spell: list[bytes], entry: int) -> tuple[DataFrame, list[float]]:
+    spark, least = texts.sparkSession, min(entry, 2)
+    kept = stored(_kept(counted(texts), least), "quality-kept")
     drop_shuffles(spark)
     numbers = {(r["key"], r["kind"]): r["n"] for r in kept.where(F.col("kind") >= PAIRS_OF[0]).groupBy("key", "kind").agg(F.sum("n").alias("n")).collect()}  # 12 rows
     half, zero = _half_of(), F.lit(0).cast("long")
     d = [_discounts_of([numbers.get((h, k), 0) for k in PAIRS_OF]) for h in (0, 1)]
     total = [max(1, numbers.get((h, PAIRS_ALL), 0)) for h in (0, 1)]  # different pairs of a half: the sum of c
-    once = [numbers.get((h, WORDS_ONCE), 0) for h in (0, 1)]
+    once = [numbers.get((h, WORDS_ONCE), 0) if least > 1 else 0 for h in (0, 1)]  # words without an entry
     entries = kept.where(F.col("kind").isin(PAIR, WORD, ENDS))
     known = stored(_described(texts, entries, spell), "quality-entries")
     if known.count() != entries.count():  # ``texts`` didn't come in the same partitions again
@@ -421,20 +433,19 @@ def train(texts: DataFrame, spell: list[bytes]) -> tuple[DataFrame, list[float]]
     words = words.select("key", "n", (-F.log(p)).alias("loss"), (-F.log(p) + F.log(_by_half(left, half)) - F.col("spelled")).alias("saved"))
 
     # contexts: what pairs with an entry give up, and all that the others have
-    entry = F.col("n") >= ENTRY
-    of_v = pairs.where(entry).groupBy(F.col("v").alias("key")).agg(F.sum("n").alias("in_pairs"), F.sum(_off("n", d, half)).alias("off"))
+    own = pairs.where(F.col("n") >= entry)
+    of_v = own.groupBy(F.col("v").alias("key")).agg(F.sum("n").alias("in_pairs"), F.sum(_off("n", d, half)).alias("off"))
     contexts = kept.where(F.col("kind").isin(WORD, STARTS)).join(of_v, "key").select(
         "key", F.col("n").alias("total"), F.greatest((F.col("off") + F.col("n") - F.col("in_pairs")) / F.col("n"), F.lit(1e-6) / F.col("n")).alias("rest"))
     contexts = stored(contexts, "quality-contexts")
-    both = pairs.where(entry).select("key", "v", "w", "n", (F.col("n") - _off("n", d, half)).alias("own")) \
+    both = own.select("key", "v", "w", "n", (F.col("n") - _off("n", d, half)).alias("own")) \
         .join(contexts.withColumnRenamed("key", "v"), "v").join(words.select(F.col("key").alias("w"), "loss"), "w")
     lower = F.col("rest") * F.exp(-F.col("loss"))
     seen = both.select("key", (F.log(lower) - F.log(F.col("own") / F.col("total") + lower)).alias("value"), "n")
     single = words.select("key", F.col("saved").alias("value"), "n").unionByName(contexts.select("key", (-F.log("rest")).alias("value"), F.col("total").alias("n"))) \
         .groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n"))
-    model = stored(single.unionByName(seen).select("key", F.col("value").cast("float").alias("value"), "n"), "quality-model")
     drop_shuffles(spark)
-    return model, [-np.log(x) for x in left]
+    return single.unionByName(seen).select("key", F.col("value").cast("float").alias("value"), "n"), left
 
 
 def _split(model: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
@@ -463,7 +474,7 @@ def losses(docs: DataFrame, model: DataFrame, spell: list[bytes], unknown: list[
     """(doc_id, lang, half, n_symbols, loss) of every row: a row's keys are looked up among the most frequent ones where it is
     read; the distinct others that the model may have are joined with it."""
     keys_held, values_held, rest = _split(model)
-    known = membership(rest, "key") if rest is not None else np.zeros(0, dtype=np.uint8)
+    known = membership(rest, "key", RARE_BITS) if rest is not None else np.zeros(0, dtype=np.uint8)
     shared = broadcast_value(docs.sparkSession, (spell, unknown, keys_held, values_held, known))
 
     @frees
@@ -521,19 +532,26 @@ def losses(docs: DataFrame, model: DataFrame, spell: list[bytes], unknown: list[
     return found.drop("row")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = KEEP_QUANTILE) -> DataFrame:
-    """Per document: doc_id, lang, perplexity, threshold, keep.  Trusted documents are those labelled quality 1."""
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = KEEP_QUANTILE, entry: int = ENTRY) -> DataFrame:
+    """Per document: doc_id, lang, perplexity, threshold, keep.  Trusted documents are those labelled quality 1.  Pairs have
+    an entry in the model from ``entry`` occurrences on."""
     trusted = only(labels, "doc_id", "quality").where("quality = 1 and doc_id is not null") \
         .select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     rows = only(docs, "doc_id", "lang", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    # first by a bit table of fixed size, which lets a few others through; the join leaves the trusted ones
-    near = within(rows, "doc_id", membership(trusted, "doc_id"))
-    texts = stored(near.join(trusted, "doc_id", "left_semi").select(_half(F.col("doc_id")).alias("half"), "text"), "quality-texts")  # read three times
-    rows = only(rows, "doc_id", "lang", "text")
-    spell = spelling(texts)
-    model, unknown = train(texts, spell)
-    found = stored(losses(rows, model, spell, unknown), "quality-losses")
-    drop_shuffles(rows.sparkSession)
+    spark = rows.sparkSession
+    paths = [scratch_path(spark, name) for name in ("quality-model", "quality-losses")]
+    with lifetime():
+        # first by a bit table of fixed size, which lets a few others through; the join leaves the trusted ones
+        near = within(rows, "doc_id", membership(trusted, "doc_id"))
+        texts = stored(near.join(trusted, "doc_id", "left_semi").select(_half(F.col("doc_id")).alias("half"), "text"), "quality-texts")  # read three times
+        spell = spelling(texts)
+        model, unknown = train(texts, spell, entry, paths[0])
+    with lifetime():
+        found = losses(only(rows, "doc_id", "lang", "text"), model, spell, unknown)
+        found.write.parquet(paths[1])
+    delete_folder(spark, paths[0])
+    found = spark.read.schema(found.schema).parquet(paths[1])
+    drop_shuffles(spark)
     sums = {r.half: r for r in found.join(trusted, "doc_id", "left_semi").groupBy("half").agg(
         F.sum("loss").alias("loss"), F.sum("n_symbols").alias("n")).collect()}  # one row a half
     entropy = [sums[h].loss / sums[h].n if h in sums and sums[h].n else np.log(SYMBOLS) for h in (0, 1)]

@@ -23,7 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_decontaminate": lambda s, d: decontaminate.report(read(s, d, "documents"), read(s, d, "benchmark")),
         "op4_chat_format": lambda s, d: chat.format_conversations(read(s, d, "conversations")),
         "op5_mix_sources": lambda s, d: mixing.mix_sources(read(s, d, "documents")),
-        "op6_quality": lambda s, d: quality.classify(read(s, d, "documents"), read(s, d, "labels")),
+        "op6_quality": lambda s, d: quality.classify(read(s, d, "documents"), read(s, d, "labels"), entry=1),
         "op7_language_id": lambda s, d: langid.predictions(read(s, d, "documents")),
         "op8_line_dedup": lambda s, d: linededup.dedup_lines(read(s, d, "documents")),
         "op9_token_ids": lambda s, d: tokens.token_id_output(read(s, d, "documents"), token_path()),

@@ -147,6 +147,42 @@ def test_words_of_pairs_come_from_the_partition_named_with_them(spark, tmp_path)
     assert quality._described(texts, kept.withColumn("part", F.lit(99)), spell).count() < len(every)  # which train() notices
 
 
+class WholeModel(Model):
+    """Every word and every pair that occurs has an entry."""
+
+    def has(self, w):
+        return self.times[w] > 0
+
+    def pair(self, v, w):
+        mine = {x: n for (y, x), n in self.pairs.items() if y == v}
+        if not mine:
+            return self.word(w)
+        total, n = sum(mine.values()), mine.get(w, 0)
+        return (n - self.d[min(n, 3)]) / total + sum(self.d[min(k, 3)] for k in mine.values()) / total * self.word(w)
+
+
+@pytest.mark.parametrize("head", [quality.HEAD, 0])
+def test_the_query_has_an_entry_for_every_word_and_pair(spark, monkeypatch, tmp_path, head):
+    from readlens.llm import registry
+
+    monkeypatch.setattr(quality, "HEAD", head)  # all keys held, or none
+    rows = rows_of(7, 120)
+    trusted = sorted(i for i, *_ in rows if i % 3 == 0)
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1) for i in trusted], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    half = {r.doc_id: r.h for r in df.select("doc_id", quality._half(F.col("doc_id")).alias("h")).collect()}
+    spell = quality.spelling(df.where(F.col("doc_id").isin(trusted)).select(quality._half(F.col("doc_id")).alias("half"), "text"))
+    plain = [WholeModel([t for i, t, _ in rows if i in trusted and half[i] == h and t], speller(spell[h])) for h in (0, 1)]
+    assert min(sum(n < 3 for n in m.pairs.values()) for m in plain) > 50
+    want = {i: plain[1 - half[i]].loss(t) if t else 0.0 for i, t, _ in rows}
+    size = {i: len((t or "").encode()) for i, t, _ in rows}
+    entropy = [sum(want[i] for i in trusted if half[i] == h) / sum(size[i] for i in trusted if half[i] == h) for h in (0, 1)]
+    got = {r.doc_id: r.perplexity for r in registry.queries()["op6_quality"](spark, str(tmp_path)).collect()}
+    for i in want:
+        assert got[i] == pytest.approx(math.exp((want[i] + quality.PRIOR * entropy[half[i]]) / (size[i] + quality.PRIOR)), rel=1e-4), i
+
+
 def test_character_counts_are_the_same_in_parts(spark, monkeypatch):
     texts = spark.createDataFrame([(i % 2, t) for i, (_, t, _) in enumerate(rows_of(4, 80))], "half int, text string").repartition(3)
     whole = quality.count_ngrams(texts)
