@@ -15,7 +15,8 @@ A cell is then joined around pivots:
 2. Members outside the ball are joined with each other and, through the triangle inequality, with the ball:
    a pair is only looked at if its two distances to the common pivot differ by at most 0.2 and its sizes allow
    0.8, and never if both are connected already.  The rest recurses around the next pivots, and what is still
-   unconnected after ``PIVOT_ROUNDS`` rounds is compared pair by pair within those windows.
+   unconnected after ``PIVOT_ROUNDS`` rounds is compared within those windows: pair by pair in small cells, block
+   by block in large ones, where a pair never becomes a row.
 
 Those links connect all that any links connect.  Every link lies within a component, so a second pass finds all of
 them: members of a component are dealt to blocks by set size, and blocks whose sizes allow 0.8 are compared with each
@@ -316,11 +317,9 @@ def _connecting(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return links.unionByName(materialize(_rest(todo, measured, texts)).coalesce(parts)), sizes, texts
 
 
-def _blocks(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """The members of each component with their texts, block beside block where sizes allow a link."""
-    others = connected_components(connecting)
-    nodes = others.unionByName(others.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "node") \
-        .withColumn("step", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))))
+def _blocks(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members (node, n) of each ``root`` with their texts, block beside block where sizes allow a link."""
+    nodes = nodes.withColumn("step", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))))
     parts = nodes.groupBy("root", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias("parts"))
     placed = nodes.join(parts, ["root", "step"]).select("root", "node", F.struct("step", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part")).alias("own"))
     near = parts.select("root", F.explode(F.array(*(F.col("step") + i for i in (-1, 0, 1)))).alias("beside"), F.col("step").alias("other_step"), "parts")
@@ -328,13 +327,23 @@ def _blocks(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFr
         .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     other = F.struct(F.col("other_step").alias("step"), F.col("part"))
     rows = met.select("root", F.least("own", other).alias("lo"), F.greatest("own", other).alias("hi"), "node", "own") \
-        .select(F.xxhash64("root", "lo", "hi").alias("block"), "root", "lo", "hi", (F.col("own") == F.col("lo")).alias("first"), "node",
-                (F.col("lo") == F.col("hi")).alias("within"))
-    rows = rows.join(texts, "node").repartition("block").sortWithinPartitions("block", "root", "lo", "hi", "first", "node")
+        .select("root", "lo", "hi", (F.col("own") == F.col("lo")).alias("first"), "node", (F.col("lo") == F.col("hi")).alias("within"))
+    return _side_by_side(rows, texts)
+
+
+def _side_by_side(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The rows of each block (root, lo, hi) one after the other, with their texts, as ``_compared`` reads them."""
+    rows = rows.withColumn("block", F.xxhash64("root", "lo", "hi")).join(texts, "node") \
+        .repartition("block").sortWithinPartitions("block", "root", "lo", "hi", "first", "node")
     keys = [F.col("root"), *(F.col(f"{x}.{y}").alias(f"{x}_{y}") for x in ("lo", "hi") for y in ("step", "part"))]
     return rows.select(*keys, "first", "node", "within", "text")
 
 
+def _component_blocks(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    others = connected_components(connecting)
+    return _blocks(others.unionByName(others.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "node"), texts)
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, ...]]]:
     """The links of each block: its rows come one after the other, and its sets are held until it ends."""
     key, held = None, []
@@ -348,16 +357,19 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarr
     yield _links_of(held)
 
 
-def _all_links(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, shared, total): every link once, a < b."""
+@frees
+def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for found in _compared(batches):
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "shared", "total"])
 
-    @frees
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _compared(batches):
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["a", "b", "shared", "total"])
 
-    return _blocks(connecting, sizes, texts).mapInArrow(pairs, "a long, b long, shared long, total long")
+LINKS = "a long, b long, shared long, total long"
+
+
+def _all_links(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, shared, total): every link once, a < b."""
+    return _component_blocks(connecting, sizes, texts).mapInArrow(_links, LINKS)
 
 
 def _link_counts(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -370,7 +382,7 @@ def _link_counts(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> D
                 node, k = np.unique(np.concatenate([x for a, b, *_ in found for x in (a, b)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(k, pa.int64())], names=["node", "n_links"])
 
-    return _blocks(connecting, sizes, texts).mapInArrow(counts, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return _component_blocks(connecting, sizes, texts).mapInArrow(counts, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
 def _links_of(rows: list[tuple[bool, int, bool, np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
@@ -423,13 +435,52 @@ def _unmeasured(pairs: DataFrame, measured: DataFrame) -> DataFrame:
 
 
 def _rest(todo: DataFrame, measured: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between members of a region in different components, pair by pair within the windows."""
-    parts = todo.groupBy("cell", "root").agg(F.min("n").alias("least"), F.max("cap").alias("most"))
+    """Links between members of a region in different components.  A pair of members is a row in small regions only.  The
+    members of a component that has many in a region are dealt to blocks, once for all regions, and those that may
+    link with one of them go to these blocks; the other members of large regions are compared block by block."""
+    groups = todo.groupBy("cell", "root").agg(F.min("n").alias("least"), F.max("cap").alias("most"), F.count(F.lit(1)).alias("k"))
+    groups = materialize(groups.withColumn("large", F.col("k") > BLOCK))
+    large, small = groups.where("large"), groups.where("not large")
+    crowded = small.groupBy("cell").agg(F.sum("k").alias("members")).select("cell", (F.col("members") > SMALL_CELL).alias("crowded"))
+    others = todo.join(small.select("cell", "root"), ["cell", "root"], "left_semi").join(crowded, "cell")
+    few, many = others.where("not crowded"), others.where("crowded")
+    blocks = _blocks(many.select(F.col("cell").alias("root"), "node", "n"), texts).unionByName(_visits(todo, groups, texts)).mapInArrow(_links, LINKS)
+    return _few_links(few, measured, texts).unionByName(blocks.select("a", "b"))
+
+
+def _visits(todo: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
+    """The members of large components, in blocks, beside blocks of the others that share a region with them and whose
+    size suits; of two large components, the members of the lesser go to the other."""
+    large = groups.where("large")
+    own = todo.join(large.select("cell", "root"), ["cell", "root"], "left_semi").select("root", "node").distinct()
+    spans = large.select("cell", F.col("root").alias("to"), "least", "most")
+    apart = (F.col("root") < F.col("to")) | (~F.col("large") & (F.col("root") != F.col("to")))
+    meet = todo.join(groups.select("cell", "root", "large"), ["cell", "root"]).join(spans, "cell").where(apart & _may_link("n", "cap", "least", "most")) \
+        .select(F.col("to").alias("root"), "node").distinct()
+
+    def parts(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("long").alias(name))
+
+    both = parts(own, "lo").join(parts(meet, "hi"), "root")
+    step = F.lit(0).cast("long")
+
+    def dealt(rows: DataFrame, mine: str, other: str) -> DataFrame:
+        """Each row in one block of its side, before all blocks of the other."""
+        return rows.join(both, "root").select("root", "node", F.pmod(F.xxhash64("node"), F.col(mine)).alias(f"{mine}_part"),
+                                              F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1)).alias(f"{other}_part"))
+
+    rows = [dealt(own, "lo", "hi").withColumn("first", F.lit(True)), dealt(meet, "hi", "lo").withColumn("first", F.lit(False))]
+    return _side_by_side(rows[0].unionByName(rows[1]).select(
+        "root", F.struct(step.alias("step"), F.col("lo_part").alias("part")).alias("lo"), F.struct((step + 1).alias("step"), F.col("hi_part").alias("part")).alias("hi"),
+        "first", "node", F.lit(False).alias("within")), texts)
+
+
+def _few_links(todo: DataFrame, measured: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between members of small regions in different components, pair by pair within the windows."""
     one = todo.select("cell", F.col("node").alias("a"), F.col("n").alias("na"), F.col("cap").alias("cap_a"), F.col("root").alias("ra"))
-    # each member goes to the later components of its regions, and there meets those of fitting size
-    toward = one.join(parts, "cell").where((F.col("root") > F.col("ra")) & _may_link("na", "cap_a", "least", "most")).drop("least", "most")
     other = todo.select("cell", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("cap").alias("cap_b"), "root")
-    pairs = _unmeasured(toward.join(other, ["cell", "root"]).where(_may_link("na", "cap_a", "nb", "cap_b")).select("a", "b").distinct(), measured)
+    pairs = one.join(other, "cell").where((F.col("root") > F.col("ra")) & _may_link("na", "cap_a", "nb", "cap_b")).select("a", "b").distinct()
+    pairs = _unmeasured(pairs, measured)
     # triangle inequality: distances to a common pivot may differ by at most 0.2
     far = (F.lit(1.0) - F.col("shared") / F.col("total"))
     to_pivot = measured.select(F.col("a").alias("x"), F.col("b").alias("pivot"), far.alias("d"))

@@ -116,6 +116,38 @@ def test_components_of_families(spark, monkeypatch):
     assert rows_of(jaccard_join.components(table(spark, rows)), "doc_id", "n_shingles", "component_id") == want
 
 
+def test_a_large_component_meets_others_in_blocks(spark, monkeypatch):
+    """A pair of a member of a large component and another text of its cell is compared, but is no row."""
+    base = [f"w{i}" for i in range(100)]
+
+    def changed(name, *at):
+        return " ".join(f"{name}x{i}" if i in at else w for i, w in enumerate(base))
+
+    ball = {k: changed(f"a{k}", 50 + k) for k in range(40)}
+    others = {100 + k: changed(f"b{k}", 50 + k, 65 + k, 80 + k) for k in range(14)} | {200: changed("c", 53, 54, 56), 201: changed("d", 70, 71, 73)}
+    texts = ball | others
+    sets = {k: shingles(t) for k, t in texts.items()}
+    todo = spark.createDataFrame([(cell, k, len(s), 120, 0 if k in ball else k, 2) for cell in (1, 2) for k, s in sets.items()],
+                                 "cell long, node long, n int, cap int, root long, cells long")
+    measured = spark.createDataFrame([(k, 0, len(s & sets[0]), len(s | sets[0])) for k, s in sets.items() if k], jaccard_join.LINKS)
+    pairs, linked = [], jaccard_join.linked
+
+    def counting(df, texts):
+        pairs.append(df.count())
+        return linked(df, texts)
+
+    monkeypatch.setattr(jaccard_join, "linked", counting)
+    want = {(a, b) for a in texts for b in texts if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    between = {(a, b) for a, b in want if b not in ball}
+    assert between
+    for block, small in ((6, 64), (6, 3), (64, 3)):
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        monkeypatch.setattr(jaccard_join, "SMALL_CELL", small)
+        found = {(min(r.a, r.b), max(r.a, r.b)) for r in jaccard_join._rest(todo, measured, spark.createDataFrame(list(texts.items()), "node long, text string")).collect()}
+        assert between <= found <= want
+    assert max(pairs) < len(others) * len(ball) / 2, pairs
+
+
 def test_components_empty_and_stage(spark):
     assert jaccard_join.components(table(spark, [])).count() == 0
     kept = jaccard_join.keep_first(with_clashes(table(spark)))
