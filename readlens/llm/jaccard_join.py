@@ -249,14 +249,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
     def star(pairs: DataFrame, large: bool) -> DataFrame:
-        """Each node's neighbours (large: those above it; small: those below and itself) move to its least neighbour."""
-        around = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
+        """Each node's neighbours (large: those above it; small: those below and itself) move to its least neighbour.
+        Rows are doubled where they are, not by a union, so that few rows in one partition need no shuffle: Spark keeps a
+        thread for each shuffle of the last minute."""
+        other = F.struct(F.col("b" if large else "a").alias("a"), F.col("a").alias("b"))
+        around = pairs.select(F.inline(F.array(F.struct("a", "b"), other)))
         least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        moved = around.join(least, "a")
-        if large:
-            return moved.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        up = moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return up.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        moved = around.join(least, "a").where("b > a" if large else "b <> m")
+        return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
     mark = None
     while True:
@@ -267,9 +267,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e = materialize(star(star(e.coalesce(parts), True).coalesce(parts), False).coalesce(parts))
 
 
-def _labelled(region: DataFrame, links: DataFrame) -> DataFrame:
+def _labelled(region: DataFrame, roots: DataFrame) -> DataFrame:
     """Regions with each member's component so far, without the regions that are connected throughout."""
-    roots = connected_components(links)
     out = region.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = out.groupBy("cell").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("cell")
     return out.join(mixed, "cell", "left_semi")
@@ -288,15 +287,15 @@ def _with_partners(region: DataFrame) -> DataFrame:
 
 
 def _connecting(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Links (a, b) that connect every two classes that any links connect; (node, n) and (node, text) of all classes
-    that may have links."""
+    """(node, root) of the classes that links connect with a lesser one, as ``connected_components`` gives them; (node, n)
+    and (node, text) of all classes that may have links."""
     region = materialize(_with_partners(_with_partners(cells(docs))))
     region = region.coalesce(parts := _parts(region.count()))
     degree = region.groupBy("node").agg(F.count(F.lit(1)).alias("cells"))
     region = materialize(region.join(degree, "node").coalesce(parts))
     sizes = region.groupBy("node").agg(F.first("n").alias("n"))
     texts = stored(texts_of(docs, degree.select("node")), "jaccard-texts")
-    links, measured, todo = None, None, region.withColumn("root", F.col("node"))
+    roots, measured, todo = None, None, region.withColumn("root", F.col("node"))
     for turn in range(PIVOT_ROUNDS):
         rank = F.struct("cells", "node", "n", "cap", "root")
         # the next pivot: a member that hasn't been one
@@ -309,12 +308,18 @@ def _connecting(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             pairs = _unmeasured(pairs, measured)
         found = materialize(linked(pairs, texts)).coalesce(parts)
         measured = measured.unionByName(found) if turn else found
-        fresh_links = found.where(F.col("shared") * 100 >= F.col("total") * PERCENT).select("a", "b")
-        links = links.unionByName(fresh_links) if turn else fresh_links
-        todo = materialize(_labelled(region, links)).coalesce(parts)
+        roots = _joined(roots, found.where(F.col("shared") * 100 >= F.col("total") * PERCENT).select("a", "b"))
+        todo = materialize(_labelled(region, roots)).coalesce(parts)
         if todo.isEmpty():
-            return links, sizes, texts
-    return links.unionByName(materialize(_rest(todo, measured, texts)).coalesce(parts)), sizes, texts
+            return roots, sizes, texts
+    return _joined(roots, materialize(_rest(todo, measured, texts)).coalesce(parts)), sizes, texts
+
+
+def _joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components of what ``roots`` (node, root) connects already and further links (a, b)."""
+    if roots is not None:
+        links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return connected_components(links)
 
 
 def _blocks(nodes: DataFrame, texts: DataFrame) -> DataFrame:
@@ -339,9 +344,8 @@ def _side_by_side(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select(*keys, "first", "node", "within", "text")
 
 
-def _component_blocks(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    others = connected_components(connecting)
-    return _blocks(others.unionByName(others.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "node"), texts)
+def _component_blocks(roots: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    return _blocks(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).join(sizes, "node"), texts)
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, ...]]]:
@@ -367,12 +371,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 LINKS = "a long, b long, shared long, total long"
 
 
-def _all_links(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+def _all_links(roots: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, shared, total): every link once, a < b."""
-    return _component_blocks(connecting, sizes, texts).mapInArrow(_links, LINKS)
+    return _component_blocks(roots, sizes, texts).mapInArrow(_links, LINKS)
 
 
-def _link_counts(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+def _link_counts(roots: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
     """(node, n_links): how many links each class has, added up where they are found: no link leaves a task."""
 
     @frees
@@ -382,7 +386,7 @@ def _link_counts(connecting: DataFrame, sizes: DataFrame, texts: DataFrame) -> D
                 node, k = np.unique(np.concatenate([x for a, b, *_ in found for x in (a, b)]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(k, pa.int64())], names=["node", "n_links"])
 
-    return _component_blocks(connecting, sizes, texts).mapInArrow(counts, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return _component_blocks(roots, sizes, texts).mapInArrow(counts, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
 
 
 def _links_of(rows: list[tuple[bool, int, bool, np.ndarray]]) -> list[tuple[np.ndarray, ...]]:
@@ -491,10 +495,10 @@ def _few_links(todo: DataFrame, measured: DataFrame, texts: DataFrame) -> DataFr
     return linked(left, texts).where(F.col("shared") * 100 >= F.col("total") * PERCENT).select("a", "b")
 
 
-def _named(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _named(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, root) of every class, the classes without links included."""
     classes = rows.where("node is not null").select("node").distinct()
-    return classes.join(connected_components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return classes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -502,10 +506,10 @@ def components(docs: DataFrame) -> DataFrame:
     that its text is linked with)."""
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(members(docs))
-    links, sizes, texts = _connecting(docs)
-    first = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(_named(rows, links), "node")
+    roots, sizes, texts = _connecting(docs)
+    first = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(_named(rows, roots), "node")
     per_root = first.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = first.join(per_root, "root").select("node", "component_id").join(_link_counts(links, sizes, texts), "node", "left")
+    named = first.join(per_root, "root").select("node", "component_id").join(_link_counts(roots, sizes, texts), "node", "left")
     with_set = rows.where("node is not null").join(named, "node").select("doc_id", "n", "component_id", "n_links")
     empty = rows.where("node is null").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("n_links"))
     return with_set.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
@@ -518,9 +522,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     id_, null_, hash_ = (fresh(docs, n) for n in ("first_id", "first_null", "first_hash"))
     plain = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = materialize(members(plain))
-    links, _, _ = _connecting(plain)
+    roots, _, _ = _connecting(plain)
     one = F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "h"))
-    named = rows.where("node is not null").groupBy("node").agg(one.alias("one")).join(_named(rows, links), "node")
+    named = rows.where("node is not null").groupBy("node").agg(one.alias("one")).join(_named(rows, roots), "node")
     kept = named.groupBy("root").agg(F.min("one").alias("one")).select(
         F.coalesce("one.doc_id", F.lit(0).cast("long")).alias(id_), F.col("one.null_id").alias(null_), F.col("one.h").alias(hash_))
     wordless = docs["text"].isNull() | ~docs["text"].rlike(r"[^\x20\x09-\x0D]")

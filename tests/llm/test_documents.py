@@ -234,6 +234,29 @@ def test_connected_components(spark):
     assert got == {x: find(x) for e in edges for x in e if find(x) != x}
 
 
+def test_few_edges_are_closed_without_shuffles(spark, monkeypatch):
+    """The driver keeps a thread for every shuffle of the last minute."""
+    steps, kept = [], jaccard_join.materialize
+
+    def noting(df, *mode):
+        steps.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange"))
+        return kept(df, *mode)
+
+    monkeypatch.setattr(jaccard_join, "materialize", noting)
+    got = {x.node: x.root for x in jaccard_join.connected_components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(1, 10)}
+    assert len(steps) > 2 and not any(steps[1:]), steps
+
+
+def test_links_are_closed_once(spark, monkeypatch):
+    """One search for components after the pivots and one, from its result, with the links of the rest."""
+    rows = [(i + 1, t, None, None, None) for i, t in enumerate(family(5, 40, 60, 0.6))]
+    seen, closed = [], jaccard_join.connected_components
+    monkeypatch.setattr(jaccard_join, "connected_components", lambda edges: seen.append(1) or closed(edges))
+    assert rows_of(jaccard_join.components(table(spark, rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert len(seen) <= 2
+
+
 # ---- decontamination -----------------------------------------------------------------
 BENCH = [(1, documents()[0][1]), (2, documents()[3][1].title()), (3, "hi"), (4, None), (5, "!!"), (None, "12 34"), (3, "日本語 テスト"), (10, "wizards box quietly near an old stone bridge the quick brown")]
 
