@@ -29,6 +29,7 @@ empty table gives no rows."""
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -49,6 +50,8 @@ KEEP_QUANTILE = 0.995
 HEAD, COUNTED_TO = 1 << 22, 4096
 #: In a pruned model, pairs have an entry from so many occurrences on, words from two on; with 1, all have one.
 ENTRY = 3
+#: The whole model's keys are counted, and joined with the documents, in this many parts, one after the other.
+PARTS = 4
 #: Bits of the filter for the keys that are joined.
 RARE_BITS = 1 << 28
 #: Bytes of trusted texts whose words are counted at once.
@@ -110,16 +113,23 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return range_hashes(data, starts, ends), starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def _pairs(hashes: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word before, word, text) of every pair, from START to END."""
-    at = np.arange(len(hashes)) + text
-    before, word = np.full(len(hashes) + texts, START), np.full(len(hashes) + texts, END)
-    before[at + 1] = word[at] = hashes
-    return before, word, np.repeat(np.arange(texts), np.bincount(text, minlength=texts) + 1)
+def _pairs(key: np.ndarray, text: np.ndarray, half: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key of the word before, key of the word, text) of every pair, from START to END, where words have these keys and
+    texts stand for these halves."""
+    of = np.repeat(np.arange(len(half)), np.bincount(text, minlength=len(half)) + 1)
+    before, word = (_model_key(np.repeat(x, 2), np.arange(2))[half[of]] for x in (START, END))
+    at = np.arange(len(key)) + text
+    before[at + 1] = word[at] = key
+    return before, word, of
 
 
 def _pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(mix(before + U(1)) + word)
+    """The key of a pair, from those of its words in the same half's model."""
+    return (mix(mix(before + U(1)) + word) & ~U(1)) | (word & U(1))
+
+
+def _part_of(key: np.ndarray) -> np.ndarray:
+    return (key.view(U) >> U(1)) % U(PARTS)
 
 
 def _spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -281,11 +291,12 @@ def counted(texts: DataFrame) -> DataFrame:
                 if not len(part):
                     continue
                 hashes, _, _, text = _words(part, own)
-                before, word, of = _pairs(hashes, text, j - i)
+                words = _model_key(hashes, h[text])
+                before, word, of = _pairs(words, text, h)
                 full = np.diff(own) > 0
                 sel = full[of]
-                yield batch_of(*np.unique(_model_key(_pair_key(before[sel], word[sel]), h[of[sel]]), return_counts=True), PAIR)
-                yield batch_of(*np.unique(_model_key(hashes, h[text]), return_counts=True), WORD)
+                yield batch_of(*np.unique(_pair_key(before[sel], word[sel]), return_counts=True), PAIR)
+                yield batch_of(*np.unique(words, return_counts=True), WORD)
                 for kind, name in ((STARTS, START), (ENDS, END)):
                     yield batch_of(*np.unique(_model_key(np.repeat(name, int(full.sum())), h[full]), return_counts=True), kind)
 
@@ -364,14 +375,15 @@ def _described(texts: DataFrame, kept: DataFrame, spell: list[bytes], by_part: b
                 if not len(part):
                     continue
                 hashes, starts, ends, text = _words(part, own)
-                before, word, of = _pairs(hashes, text, j - i)
+                words = _model_key(hashes, h[text])
+                before, word, of = _pairs(words, text, h)
                 full = np.diff(own) > 0
                 sel = np.flatnonzero(full[of])
-                key, at = some(_model_key(_pair_key(before[sel], word[sel]), h[of[sel]]))
-                yield batch_of(key, *(_signed(_model_key(x[sel[at]], h[of[sel[at]]])) for x in (before, word)), None)
+                key, at = some(_pair_key(before[sel], word[sel]))
+                yield batch_of(key, *(_signed(x[sel[at]]) for x in (before, word)), None)
                 for m in (0, 1):
                     mine, table = np.flatnonzero((h == m)[text]), _table(spell[m])
-                    key, at = some(_model_key(hashes[mine], h[text[mine]]))
+                    key, at = some(words[mine])
                     yield batch_of(key, None, None, _spelled(part, starts[mine[at]], ends[mine[at]], table))
                     key, at = some(_model_key(np.repeat(END, int((full & (h == m)).sum())), np.array([m])))
                     yield batch_of(key, None, None, _spelled(part, at * 0, at * 0, table))
@@ -424,13 +436,7 @@ def _trained(texts: DataFrame, spell: list[bytes], entry: int) -> tuple[DataFram
     after = pairs.groupBy(F.col("w").alias("key")).agg(F.sum("n").alias("in_pairs"), F.count(F.lit(1)).alias("pairs"))
     words = known.where(F.col("kind").isin(WORD, ENDS)).join(after, "key", "left").select(
         "key", "n", "spelled", (F.col("n") - F.coalesce("in_pairs", zero) + F.coalesce("pairs", zero)).alias("c"))
-    words = stored(words, "quality-words")
-    shape = {(r["half"], r["c"]): r["k"] for r in words.groupBy(half.alias("half"), F.least("c", F.lit(5)).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()}  # 10 rows
-    dw = [_discounts_of([shape.get((h, k), 0) + (once[h] if k == 1 else 0) for k in (1, 2, 3, 4)]) for h in (0, 1)]
-    taken = [sum(k * dw[h][min(c, 3)] for (x, c), k in shape.items() if x == h) + once[h] for h in (0, 1)]
-    left = [max(t, 1e-6) / n if n > 1 else 1.0 for t, n in zip(taken, total, strict=True)]
-    p = (F.col("c") - _off("c", dw, half)) / _by_half(total, half) + _by_half(left, half) * F.exp(-F.col("spelled"))
-    words = words.select("key", "n", (-F.log(p)).alias("loss"), (-F.log(p) + F.log(_by_half(left, half)) - F.col("spelled")).alias("saved"))
+    words, left = _word_losses(stored(words, "quality-words"), total, once)
 
     # contexts: what pairs with an entry give up, and all that the others have
     own = pairs.where(F.col("n") >= entry)
@@ -438,49 +444,206 @@ def _trained(texts: DataFrame, spell: list[bytes], entry: int) -> tuple[DataFram
     contexts = kept.where(F.col("kind").isin(WORD, STARTS)).join(of_v, "key").select(
         "key", F.col("n").alias("total"), F.greatest((F.col("off") + F.col("n") - F.col("in_pairs")) / F.col("n"), F.lit(1e-6) / F.col("n")).alias("rest"))
     contexts = stored(contexts, "quality-contexts")
-    both = own.select("key", "v", "w", "n", (F.col("n") - _off("n", d, half)).alias("own")) \
-        .join(contexts.withColumnRenamed("key", "v"), "v").join(words.select(F.col("key").alias("w"), "loss"), "w")
-    lower = F.col("rest") * F.exp(-F.col("loss"))
-    seen = both.select("key", (F.log(lower) - F.log(F.col("own") / F.col("total") + lower)).alias("value"), "n")
+    both = own.join(contexts.withColumnRenamed("key", "v"), "v").join(words.select(F.col("key").alias("w"), "loss"), "w")
     single = words.select("key", F.col("saved").alias("value"), "n").unionByName(contexts.select("key", (-F.log("rest")).alias("value"), F.col("total").alias("n"))) \
         .groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n"))
     drop_shuffles(spark)
-    return single.unionByName(seen).select("key", F.col("value").cast("float").alias("value"), "n"), left
+    return single.unionByName(_saved_by_pairs(both, d)).select("key", F.col("value").cast("float").alias("value"), "n"), left
+
+
+def _saved_by_pairs(pairs: DataFrame, d: list[np.ndarray]) -> DataFrame:
+    """(key, value, n) of pairs with their contexts (total, rest) and what their words cost (loss)."""
+    lower, own = F.col("rest") * F.exp(-F.col("loss")), F.col("n") - _off("n", d, _half_of())
+    return pairs.select("key", (F.log(lower) - F.log(own / F.col("total") + lower)).alias("value"), "n")
+
+
+def _word_losses(words: DataFrame, total: list[int], once: list[int]) -> tuple[DataFrame, list[float]]:
+    """``words`` (spelled, c: the number of different words before a word) with what each costs and what it saves against its
+    spelling; and what is left of each half to the spelling."""
+    half = _half_of()
+    shape = {(r["half"], r["c"]): r["k"] for r in words.groupBy(half.alias("half"), F.least("c", F.lit(5)).alias("c")).agg(F.count(F.lit(1)).alias("k")).collect()}  # 10 rows
+    dw = [_discounts_of([shape.get((h, k), 0) + (once[h] if k == 1 else 0) for k in (1, 2, 3, 4)]) for h in (0, 1)]
+    taken = [sum(k * dw[h][min(c, 3)] for (x, c), k in shape.items() if x == h) + once[h] for h in (0, 1)]
+    left = [max(t, 1e-6) / n if n > 1 else 1.0 for t, n in zip(taken, total, strict=True)]
+    p = (F.col("c") - _off("c", dw, half)) / _by_half(total, half) + _by_half(left, half) * F.exp(-F.col("spelled"))
+    return words.withColumns({"loss": -F.log(p), "saved": -F.log(p) + F.log(_by_half(left, half)) - F.col("spelled")}), left
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# ---- a model with an entry for every word and pair, part by part -----------------------
+def pair_counts(texts: DataFrame, part: int) -> DataFrame:
+    """(v, w, n): the keys of the words of each pair in this part and how often it occurs, pairs of a first word together."""
+
+    @frees
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half, (data, offsets) = batch.column(0).to_numpy(), string_batch(batch.column(1))
+            for i, j in row_slices(offsets, COUNT_BYTES):
+                part_data, own, h = data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], half[i:j]
+                if not len(part_data):
+                    continue
+                hashes, _, _, text = _words(part_data, own)
+                before, word, of = _pairs(_model_key(hashes, h[text]), text, h)
+                key = _pair_key(before, word)
+                mine = np.flatnonzero((np.diff(own) > 0)[of] & (_part_of(key) == part))
+                _, first, n = np.unique(key[mine], return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(_signed(x[mine[first]]) for x in (before, word)), pa.array(n.astype(np.int64))], names=["v", "w", "n"])
+
+    rows = only(texts, "half", "text").mapInArrow(count, "v long, w long, n long")
+    return rows.groupBy("v", "w").agg(F.sum("n").alias("n")).sortWithinPartitions("v")
+
+
+def word_counts(texts: DataFrame, spell: list[bytes]) -> DataFrame:
+    """(key, n, spelled): how often each word, and the starts (never spelled) and ends of texts, occur; what a word costs by its
+    characters."""
+
+    @frees
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(key: np.ndarray, n: np.ndarray, cost: np.ndarray | None) -> pa.RecordBatch:
+            spelled = pa.nulls(len(key), pa.float32()) if cost is None else pa.array(cost.astype(np.float32))
+            return pa.RecordBatch.from_arrays([_signed(key), pa.array(n.astype(np.int64)), spelled], names=["key", "n", "spelled"])
+
+        for batch in batches:
+            half, (data, offsets) = batch.column(0).to_numpy(), string_batch(batch.column(1))
+            for i, j in row_slices(offsets, COUNT_BYTES):
+                part, own, h = data[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i], half[i:j]
+                if not len(part):
+                    continue
+                hashes, starts, ends, text = _words(part, own)
+                full = np.diff(own) > 0
+                for m in (0, 1):
+                    mine, table, texts_of_m = np.flatnonzero((h == m)[text]), _table(spell[m]), int((full & (h == m)).sum())
+                    found, at, n = np.unique(hashes[mine], return_index=True, return_counts=True)
+                    yield batch_of(_model_key(found, np.repeat(m, len(found))), n, _spelled(part, starts[mine[at]], ends[mine[at]], table))
+                    if texts_of_m:
+                        n, zero = np.array([texts_of_m]), np.array([0])
+                        yield batch_of(_model_key(np.array([START]), np.array([m])), n, None)
+                        yield batch_of(_model_key(np.array([END]), np.array([m])), n, _spelled(part, zero, zero, table))
+
+    rows = only(texts, "half", "text").mapInArrow(count, "key long, n long, spelled float")
+    return rows.groupBy("key").agg(F.sum("n").alias("n"), F.max("spelled").alias("spelled"))
+
+
+def _word_table(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, list[np.ndarray], list[float]]:
+    """(key, n, loss, rest, value): what each word costs, what its context leaves to the interpolation, the value of its own
+    entry; the discounts of pairs; and what is left of each half to the spelling."""
+    spark, half = pairs.sparkSession, _half_of()
+    times = {(r["half"], r["n"]): r["k"] for r in pairs.groupBy(_half_of("v").alias("half"), F.least("n", F.lit(5)).alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()}  # 10 rows
+    d = [_discounts_of([times.get((h, k), 0) for k in (1, 2, 3, 4)]) for h in (0, 1)]
+    total = [max(1, sum(k for (x, _), k in times.items() if x == h)) for h in (0, 1)]
+    after = stored(pairs.groupBy(F.col("w").alias("key")).agg(F.count(F.lit(1)).alias("c")), "quality-after")
+    drop_shuffles(spark)
+    contexts = stored(pairs.groupBy(F.col("v").alias("key")).agg(F.sum(_off("n", d, _half_of("v"))).alias("off")), "quality-contexts")
+    drop_shuffles(spark)
+    words = stored(words.join(after, "key", "left").join(contexts, "key", "left"), "quality-words")  # starts have no c, ends no context
+    known, left = _word_losses(words.where("c is not null"), total, [0, 0])
+    starts = words.where("c is null").withColumns({"loss": F.lit(0.0), "saved": F.lit(0.0)})
+    rest = F.greatest(F.col("off") / F.col("n"), F.lit(1e-6) / F.col("n"))
+    table = known.unionByName(starts).withColumn("rest", F.when(F.col("off").isNotNull(), rest).otherwise(F.lit(1.0)))
+    floats = {"loss": F.col("loss"), "rest": F.col("rest"), "value": F.col("saved") - F.log("rest")}
+    return stored(table.select("key", "n", *(c.cast("float").alias(k) for k, c in floats.items())), "quality-word-table"), d, left
 
 
-def _split(model: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
-    """(keys, values) of the most frequent keys, at most ``HEAD`` of them, in order of the key; and the others, or None."""
+def _pair_values(pairs: DataFrame, words: DataFrame, d: list[np.ndarray]) -> DataFrame:
+    """(key, value, n) of the pairs (v, w, n): the most frequent words are held by every task, pairs with others are joined
+    with those."""
+    (keys, total, rest, loss), others = _split(words.withColumn("total", F.col("n").cast("float")), ["key", "total", "rest", "loss"], HEAD // 2)
+    shared = broadcast_value(pairs.sparkSession, (keys, total, rest, loss))
+
+    @frees
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, total, rest, loss = shared.value
+
+        def of(values: np.ndarray, at: np.ndarray, hit: np.ndarray) -> pa.Array:
+            return pa.array(values[at], mask=~hit) if len(values) else pa.nulls(len(at), pa.float32())
+
+        for batch in batches:
+            v, w = (batch.column(i).to_numpy() for i in (0, 1))
+            of_v, of_w = _found(keys, v), _found(keys, w)
+            yield pa.RecordBatch.from_arrays([_signed(_pair_key(v.view(U), w.view(U))), *batch.columns, of(total, *of_v), of(rest, *of_v), of(loss, *of_w)],
+                                             names=["key", "v", "w", "n", "total", "rest", "loss"])
+
+    found = pairs.select("v", "w", "n").mapInArrow(find, "key long, v long, w long, n long, total float, rest float, loss float")
+    if others is None:
+        return _saved_by_pairs(found, d)
+    begun = found.where("total is null").drop("total", "rest").join(others.select(F.col("key").alias("v"), "total", "rest"), "v")
+    placed = found.where("total is not null")
+    ended = placed.unionByName(begun).where("loss is null").drop("loss").join(others.select(F.col("key").alias("w"), "loss"), "w")
+    return _saved_by_pairs(placed.unionByName(begun).where("loss is not null").unionByName(ended), d)
+
+
+def _whole_losses(docs: DataFrame, texts: DataFrame, texts_path: str, spell: list[bytes]) -> DataFrame:
+    """``losses`` by a model with an entry for every word and pair.  The keys are dealt to ``PARTS`` parts.  Parts are counted
+    one after the other, and then each is joined with all documents and dropped, so that the shuffles of only one part
+    are on disk at a time.  The texts, stored at ``texts_path``, are dropped when all are counted."""
+    spark, paths, pairs = texts.sparkSession, [scratch_path(texts.sparkSession, "quality-pairs") for _ in range(PARTS)], []
+    for part, path in enumerate(paths):
+        pairs.append(_written(pair_counts(texts, part), path))
+        drop_shuffles(spark)
+    words, d, left = _word_table(functools.reduce(DataFrame.unionByName, pairs), stored(word_counts(texts, spell), "quality-word-counts"))
+    delete_folder(spark, texts_path)
+    scored = []
+    for part, path in enumerate(paths):
+        with lifetime():
+            values = _pair_values(pairs[part], words, d).unionByName(words.where(F.shiftrightunsigned("key", 1) % PARTS == part).select("key", "value", "n"))
+            model = _written(values.select("key", F.col("value").cast("float").alias("value"), "n"), scratch_path(spark, "quality-model"))
+            delete_folder(spark, path)
+            drop_shuffles(spark)
+            scored.append(_written(losses(docs, model, spell, [-np.log(x) for x in left], part), path))
+        drop_shuffles(spark)
+    # a row's losses come once for each part, those of equal rows together
+    same = ["doc_id", "lang", "half", "n_symbols", "text_hash"]
+    found = functools.reduce(DataFrame.unionByName, scored).groupBy(*same).agg(F.sum("loss").alias("loss"), (F.count(F.lit(1)) / PARTS).cast("long").alias("rows"))
+    return found.select(*same, (F.col("loss") / F.col("rows")).alias("loss"), F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
+
+
+def _split(model: DataFrame, columns: list[str], most: int) -> tuple[list[np.ndarray], DataFrame | None]:
+    """The columns of the most frequent keys (the first column), at most ``most`` of them, in order of the key; and the others,
+    or None."""
     often = F.least("n", F.lit(COUNTED_TO)).cast("long")
     sizes = sorted(((r["n"], r["k"]) for r in model.groupBy(often.alias("n")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)  # COUNTED_TO rows at most
     held, least = 0, COUNTED_TO + 1
     for n, k in sizes:
-        if held + k > HEAD:
+        if held + k > most:
             break
         held, least = held + k, n
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy().tobytes()], pa.binary()) for i in (0, 1)], names=["keys", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy().tobytes()], pa.binary()) for i in range(len(columns))], names=columns)
 
-    parts = model.where(often >= least).select("key", "value").mapInArrow(pack, "keys binary, values binary").collect()  # HEAD keys, 12 bytes each
-    keys = np.frombuffer(b"".join(r["keys"] for r in parts), dtype=np.int64)
-    values = np.frombuffer(b"".join(r["values"] for r in parts), dtype=np.float32)
-    order = np.argsort(keys)
+    parts = model.where(often >= least).select(columns).mapInArrow(pack, ", ".join(f"{c} binary" for c in columns)).collect()  # ``most`` keys, some bytes each
+    held = [np.frombuffer(b"".join(r[c] for r in parts), dtype=np.float32 if i else np.int64) for i, c in enumerate(columns)]
+    order = np.argsort(held[0])
     everything = least <= (sizes[-1][0] if sizes else 0) or not sizes
-    return keys[order], values[order], None if everything else model.where(often < least).select("key", "value")
+    return [x[order] for x in held], None if everything else model.where(often < least).select(columns)
 
 
-def losses(docs: DataFrame, model: DataFrame, spell: list[bytes], unknown: list[float]) -> DataFrame:
-    """(doc_id, lang, half, n_symbols, loss) of every row: a row's keys are looked up among the most frequent ones where it is
-    read; the distinct others that the model may have are joined with it."""
-    keys_held, values_held, rest = _split(model)
-    known = membership(rest, "key", RARE_BITS) if rest is not None else np.zeros(0, dtype=np.uint8)
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key stands among the sorted ``keys``, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def losses(docs: DataFrame, model: DataFrame, spell: list[bytes], unknown: list[float], of_part: int | None = None) -> DataFrame:
+    """(doc_id, lang, half, n_symbols, text_hash, loss) of every row: a row's keys are looked up among the most frequent ones
+    where it is read; the distinct others that the model may have are joined with it.  ``of_part``: the model has the keys of
+    this part only, and so has the loss; what words cost before any key is known belongs to part 0."""
+    share = 1 if of_part is None else 2
+    (keys_held, values_held), rest = _split(model, ["key", "value"], HEAD // share)
+    known = membership(rest, "key", RARE_BITS // share) if rest is not None else np.zeros(0, dtype=np.uint8)
     shared = broadcast_value(docs.sparkSession, (spell, unknown, keys_held, values_held, known))
 
     @frees
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("row", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("lang", pa.string()),
-                            ("half", pa.int32()), ("n_symbols", pa.int64()), ("loss", pa.float64())])
+                            ("half", pa.int32()), ("n_symbols", pa.int64()), ("loss", pa.float64()), ("text_hash", pa.int64())])
         spell, unknown, keys_held, values_held, known = shared.value
         for batch in batches:
             data, offsets = string_batch(batch.column(2))
@@ -490,24 +653,26 @@ def losses(docs: DataFrame, model: DataFrame, spell: list[bytes], unknown: list[
                 if not len(part):
                     continue
                 hashes, starts, ends, text = _words(part, own)
-                before, word, of = _pairs(hashes, text, j - i)
                 full, other = np.diff(own) > 0, 1 - half[i:j]
+                words = _model_key(hashes, other[text])
+                before, word, of = _pairs(words, text, other)
                 end_word = np.array([0])
-                for h in (0, 1):  # the models of the other half
+                for h in (0, 1) if not of_part else ():  # the models of the other half
                     mine = (other == h)[text]
                     spelled = _spelled(part, starts[mine], ends[mine], _table(spell[h])) + unknown[h]
                     closing = _spelled(part, end_word, end_word, _table(spell[h]))[0] + unknown[h]
                     loss[i:j] += np.bincount(text[mine], weights=spelled, minlength=j - i) + np.where(full & (other == h), closing, 0)
                 lead = np.flatnonzero(full)
                 sel = full[of]
-                key = np.concatenate([_model_key(hashes, other[text]), *(_model_key(np.repeat(x, len(lead)), other[lead]) for x in (START, END)),
-                                      _model_key(_pair_key(before[sel], word[sel]), other[of[sel]])]).view(np.int64)
+                key = np.concatenate([words, *(_model_key(np.repeat(x, len(lead)), other[lead]) for x in (START, END)), _pair_key(before[sel], word[sel])]).view(np.int64)
                 of = np.concatenate([text, lead, lead, of[sel]])
+                if of_part is not None:
+                    mine = np.flatnonzero(_part_of(key) == of_part)
+                    key, of = key[mine], of[mine]
                 if len(keys_held):
                     order = np.argsort(key)  # look-ups in order stay in the processor's cache
                     key, of = key[order], of[order]
-                    at = np.minimum(np.searchsorted(keys_held, key), len(keys_held) - 1)
-                    hit = keys_held[at] == key
+                    at, hit = _found(keys_held, key)
                     loss[i:j] += np.bincount(of[hit], weights=values_held[at[hit]], minlength=j - i)
                     key, of = key[~hit], of[~hit]
                 some = maybe_in(known, key)
@@ -520,14 +685,14 @@ def losses(docs: DataFrame, model: DataFrame, spell: list[bytes], unknown: list[
                     pa.nulls(len(first), t.type) for t in list(schema)[3:])], schema=schema)
             # the row itself, under a key of its own
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(mix(row.astype(U)).view(np.int64)), pa.array(np.zeros(len(row), dtype=np.int32)), batch.column(0),
-                                              batch.column(1), pa.array(half), pa.array(np.diff(offsets)), pa.array(loss)], schema=schema)
+                                              batch.column(1), pa.array(half), pa.array(np.diff(offsets)), pa.array(loss), batch.column(5)], schema=schema)
 
-    rows = docs.select("doc_id", "lang", "text", _half(F.col("doc_id")).alias("half"), F.monotonically_increasing_id().alias("row")) \
-        .mapInArrow(keys, "row long, key long, n int, doc_id long, lang string, half int, n_symbols long, loss double")
+    rows = docs.select("doc_id", "lang", "text", _half(F.col("doc_id")).alias("half"), F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("text_hash")) \
+        .mapInArrow(keys, "row long, key long, n int, doc_id long, lang string, half int, n_symbols long, loss double, text_hash long")
     if rest is None:
         return rows.drop("row", "key", "n")
     found = rows.join(rest, "key", "left").groupBy("row").agg(
-        *(F.max(c).alias(c) for c in ("doc_id", "lang", "half", "n_symbols")),
+        *(F.max(c).alias(c) for c in ("doc_id", "lang", "half", "n_symbols", "text_hash")),
         (F.max("loss") + F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n") * F.col("value"))), F.lit(0.0))).alias("loss"))
     return found.drop("row")
 
@@ -539,18 +704,22 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = KEEP_QUANTILE
         .select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     rows = only(docs, "doc_id", "lang", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     spark = rows.sparkSession
-    paths = [scratch_path(spark, name) for name in ("quality-model", "quality-losses")]
+    path = scratch_path(spark, "quality-losses")
     with lifetime():
         # first by a bit table of fixed size, which lets a few others through; the join leaves the trusted ones
         near = within(rows, "doc_id", membership(trusted, "doc_id"))
-        texts = stored(near.join(trusted, "doc_id", "left_semi").select(_half(F.col("doc_id")).alias("half"), "text"), "quality-texts")  # read three times
+        texts_path = scratch_path(spark, "quality-texts")
+        texts = _written(near.join(trusted, "doc_id", "left_semi").select(_half(F.col("doc_id")).alias("half"), "text"), texts_path)  # read several times
+        drop_shuffles(spark)
         spell = spelling(texts)
-        model, unknown = train(texts, spell, entry, paths[0])
-    with lifetime():
-        found = losses(only(rows, "doc_id", "lang", "text"), model, spell, unknown)
-        found.write.parquet(paths[1])
-    delete_folder(spark, paths[0])
-    found = spark.read.schema(found.schema).parquet(paths[1])
+        if entry > 1:
+            model, unknown = train(texts, spell, entry)
+            delete_folder(spark, texts_path)
+            found = losses(rows, model, spell, unknown)
+        else:
+            found = _whole_losses(rows, texts, texts_path, spell)
+        found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
     drop_shuffles(spark)
     sums = {r.half: r for r in found.join(trusted, "doc_id", "left_semi").groupBy("half").agg(
         F.sum("loss").alias("loss"), F.sum("n_symbols").alias("n")).collect()}  # one row a half

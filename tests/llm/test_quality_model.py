@@ -183,6 +183,34 @@ def test_the_query_has_an_entry_for_every_word_and_pair(spark, monkeypatch, tmp_
         assert got[i] == pytest.approx(math.exp((want[i] + quality.PRIOR * entropy[half[i]]) / (size[i] + quality.PRIOR)), rel=1e-4), i
 
 
+@pytest.mark.parametrize("head", [quality.HEAD, 40])
+def test_the_whole_model_is_joined_part_by_part(spark, monkeypatch, head):
+    """No table of all pairs is joined at once; what the parts add up to is the loss by one model, for repeated rows too."""
+    monkeypatch.setattr(quality, "HEAD", head)
+    rows = rows_of(11, 60)
+    rows += [*rows[:7], (None, "the dog runs", "en"), (None, "the dog runs", "en")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    trusted = df.where("doc_id % 3 = 0").dropDuplicates(["doc_id"])
+    texts = trusted.select(quality._half(F.col("doc_id")).alias("half"), "text")
+    spell = quality.spelling(texts)
+    model, unknown = quality.train(texts, spell, 1)
+    want = sorted((str(r.doc_id), r.n_symbols, r.loss) for r in quality.losses(df, model, spell, unknown).collect())
+    sizes, scored = [], quality.losses
+
+    def noting(docs, part, *rest):
+        sizes.append(part.count())
+        return scored(docs, part, *rest)
+
+    monkeypatch.setattr(quality, "losses", noting)
+    path = quality.scratch_path(spark, "texts")
+    got = quality._whole_losses(df, quality._written(texts, path), path, spell)
+    got = sorted((str(r.doc_id), r.n_symbols, r.loss) for r in got.collect())
+    assert len(got) == len(want) == len(rows)
+    for g, w in zip(got, want, strict=True):
+        assert g == (*w[:2], pytest.approx(w[2], rel=1e-5, abs=1e-3))
+    assert sum(sizes) == model.count() and max(sizes) < 0.4 * sum(sizes)
+
+
 def test_character_counts_are_the_same_in_parts(spark, monkeypatch):
     texts = spark.createDataFrame([(i % 2, t) for i, (_, t, _) in enumerate(rows_of(4, 80))], "half int, text string").repartition(3)
     whole = quality.count_ngrams(texts)
