@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from readlens.llm.common import (SPACE_SEPARATED, Words, broadcast_value, fixed_size_sum, frees, fresh, materialize, maybe_in, membership, mix,
@@ -248,15 +248,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     small-star steps until nothing changes."""
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
+    def star(pairs: DataFrame, large: bool, few: bool) -> DataFrame:
         """Each node's neighbours (large: those above it; small: those below and itself) move to its least neighbour.
-        Rows are doubled where they are, not by a union, so that few rows in one partition need no shuffle: Spark keeps a
-        thread for each shuffle of the last minute."""
+        ``few``: rows in one partition, which stay there; the driver keeps a thread for each shuffle of the last minute."""
         other = F.struct(F.col("b" if large else "a").alias("a"), F.col("a").alias("b"))
         around = pairs.select(F.inline(F.array(F.struct("a", "b"), other)))
-        least = around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        moved = around.join(least, "a").where("b > a" if large else "b <> m")
-        return moved.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        if few:
+            moved = around.withColumn("m", F.least("a", F.min("b").over(Window.partitionBy("a"))))
+        else:
+            moved = around.join(around.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "a")
+        return moved.where("b > a" if large else "b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
     mark = None
     while True:
@@ -264,7 +265,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == mark or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark, parts = now, _parts(now[0])
-        e = materialize(star(star(e.coalesce(parts), True).coalesce(parts), False).coalesce(parts))
+        e = materialize(star(star(e.coalesce(parts), True, parts == 1).coalesce(parts), False, parts == 1).coalesce(parts))
 
 
 def _labelled(region: DataFrame, roots: DataFrame) -> DataFrame:

@@ -234,6 +234,11 @@ def test_connected_components(spark):
     assert got == {x: find(x) for e in edges for x in e if find(x) != x}
 
 
+def test_connected_components_of_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PART_ROWS", 20)
+    test_connected_components(spark)
+
+
 def test_few_edges_are_closed_without_shuffles(spark, monkeypatch):
     """The driver keeps a thread for every shuffle of the last minute."""
     steps, kept = [], jaccard_join.materialize
