@@ -544,14 +544,14 @@ def _word_table(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, list[np.
     starts = words.where("c is null").withColumns({"loss": F.lit(0.0), "saved": F.lit(0.0)})
     rest = F.greatest(F.col("off") / F.col("n"), F.lit(1e-6) / F.col("n"))
     table = known.unionByName(starts).withColumn("rest", F.when(F.col("off").isNotNull(), rest).otherwise(F.lit(1.0)))
-    floats = {"loss": F.col("loss"), "rest": F.col("rest"), "value": F.col("saved") - F.log("rest")}
-    return stored(table.select("key", "n", *(c.cast("float").alias(k) for k, c in floats.items())), "quality-word-table"), d, left
+    numbers = {"loss": F.col("loss"), "rest": F.col("rest"), "value": F.col("saved") - F.log("rest")}
+    return stored(table.select("key", "n", *(c.cast("double").alias(k) for k, c in numbers.items())), "quality-word-table"), d, left
 
 
 def _pair_values(pairs: DataFrame, words: DataFrame, d: list[np.ndarray]) -> DataFrame:
     """(key, value, n) of the pairs (v, w, n): the most frequent words are held by every task, pairs with others are joined
     with those."""
-    (keys, total, rest, loss), others = _split(words.withColumn("total", F.col("n").cast("float")), ["key", "total", "rest", "loss"], HEAD // 2)
+    (keys, total, rest, loss), others = _split(words.withColumn("total", F.col("n").cast("double")), ["key", "total", "rest", "loss"], HEAD // 3)
     shared = broadcast_value(pairs.sparkSession, (keys, total, rest, loss))
 
     @frees
@@ -559,7 +559,7 @@ def _pair_values(pairs: DataFrame, words: DataFrame, d: list[np.ndarray]) -> Dat
         keys, total, rest, loss = shared.value
 
         def of(values: np.ndarray, at: np.ndarray, hit: np.ndarray) -> pa.Array:
-            return pa.array(values[at], mask=~hit) if len(values) else pa.nulls(len(at), pa.float32())
+            return pa.array(values[at], mask=~hit) if len(values) else pa.nulls(len(at), pa.float64())
 
         for batch in batches:
             v, w = (batch.column(i).to_numpy() for i in (0, 1))
@@ -567,7 +567,7 @@ def _pair_values(pairs: DataFrame, words: DataFrame, d: list[np.ndarray]) -> Dat
             yield pa.RecordBatch.from_arrays([_signed(_pair_key(v.view(U), w.view(U))), *batch.columns, of(total, *of_v), of(rest, *of_v), of(loss, *of_w)],
                                              names=["key", "v", "w", "n", "total", "rest", "loss"])
 
-    found = pairs.select("v", "w", "n").mapInArrow(find, "key long, v long, w long, n long, total float, rest float, loss float")
+    found = pairs.select("v", "w", "n").mapInArrow(find, "key long, v long, w long, n long, total double, rest double, loss double")
     if others is None:
         return _saved_by_pairs(found, d)
     begun = found.where("total is null").drop("total", "rest").join(others.select(F.col("key").alias("v"), "total", "rest"), "v")
@@ -601,6 +601,9 @@ def _whole_losses(docs: DataFrame, texts: DataFrame, texts_path: str, spell: lis
     return found.select(*same, (F.col("loss") / F.col("rows")).alias("loss"), F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
 
 
+_DTYPES = {"long": np.int64, "float": np.float32, "double": np.float64}
+
+
 def _split(model: DataFrame, columns: list[str], most: int) -> tuple[list[np.ndarray], DataFrame | None]:
     """The columns of the most frequent keys (the first column), at most ``most`` of them, in order of the key; and the others,
     or None."""
@@ -617,7 +620,7 @@ def _split(model: DataFrame, columns: list[str], most: int) -> tuple[list[np.nda
             yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy().tobytes()], pa.binary()) for i in range(len(columns))], names=columns)
 
     parts = model.where(often >= least).select(columns).mapInArrow(pack, ", ".join(f"{c} binary" for c in columns)).collect()  # ``most`` keys, some bytes each
-    held = [np.frombuffer(b"".join(r[c] for r in parts), dtype=np.float32 if i else np.int64) for i, c in enumerate(columns)]
+    held = [np.frombuffer(b"".join(r[c] for r in parts), dtype=_DTYPES[model.schema[c].dataType.typeName()]) for c in columns]
     order = np.argsort(held[0])
     everything = least <= (sizes[-1][0] if sizes else 0) or not sizes
     return [x[order] for x in held], None if everything else model.where(often < least).select(columns)
