@@ -3,7 +3,8 @@
 Words are open: runs of letters, runs of digits and runs of blanks other than one space, and every mark and every
 character of three or four bytes (Chinese, Japanese, Korean ...) alone.  Pairs of a word and the one before it are counted
 over all trusted documents, as are the words, by keys of 64 bits in DataFrames that grow with them.  The query's model
-(``entry`` = 1) has an entry for every word and pair that occurs.  A caller may prune it: with a larger ``entry``, pairs that
+(``entry`` = 1) has an entry for every word and pair that occurs; its keys are counted and joined in ``PARTS`` parts, one after the
+other, so that a part's shuffles are gone before the next part's.  A caller may prune it: with a larger ``entry``, pairs that
 occur less often, and words that occur once, count in every statistic (discounts, contexts, continuations) but have no entry
 of their own, and what they would hold goes to the interpolation.  A word without an entry is spelled: below the words lies a Kneser-Ney model of ``ORDER`` characters in 64
 classes, a table of 2 * 64**4 values that only tells how odd a new word looks.
